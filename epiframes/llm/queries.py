@@ -4,23 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .bytebpe import count_tokens
+from .common import shared_dir, table, text_or_empty
 from .decontaminate import decontaminate
 from .oracles import ORACLES
+from .pieces import encode_decode
 from .quality import quality
 from .sharding import hilbert_shards
+from .tokenfiles import read_token_files, write_token_files
 from .urls import judge_urls
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     got = decontaminate(docs, items, ["doc_id"])
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, folder).withColumnRenamed("key", "doc_id")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "quality.*")
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -34,6 +48,10 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
     fixed = F.col("match.rank") >= 1000  # host and path rules; the others are the method's own words
@@ -41,9 +59,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pieces": op1_pieces,
     "op2_decontaminate": op2_decontaminate,
+    "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op8_token_counts": op8_token_counts,
     "op10_url_rules": op10_url_rules,
 }
 
