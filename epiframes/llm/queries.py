@@ -13,6 +13,7 @@ from .common import shared_dir, table, text_or_empty
 from .decontaminate import decontaminate
 from .oracles import ORACLES
 from .pieces import encode_decode
+from .pii import BASE, digest, personal_data
 from .quality import quality
 from .sharding import hilbert_shards
 from .tokenfiles import read_token_files, write_token_files
@@ -29,6 +30,17 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = personal_data(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] < len(BASE))
+    counts = [_of_kind(code).alias(f"n_{kind}") for code, kind in enumerate(BASE)]
+    return got.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+def _of_kind(code: int):
+    return F.size(F.filter("spans", lambda s: s["kind"] == code)).cast("long")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -61,6 +73,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_decontaminate": op2_decontaminate,
+    "op4_personal_data": op4_personal_data,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_hilbert_shards": op7_hilbert_shards,
