@@ -12,6 +12,7 @@ from .bytebpe import count_tokens
 from .common import shared_dir, table, text_or_empty
 from .decontaminate import decontaminate
 from .oracles import ORACLES
+from .jaccard import near_duplicates
 from .pieces import encode_decode
 from .pii import BASE, digest, personal_data
 from .quality import quality
@@ -64,6 +65,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=4, num=85)
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
     fixed = F.col("match.rank") >= 1000  # host and path rules; the others are the method's own words
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op8_token_counts": op8_token_counts,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_url_rules": op10_url_rules,
 }
 
