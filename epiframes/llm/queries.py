@@ -17,6 +17,7 @@ from .pieces import encode_decode
 from .pii import BASE, digest, personal_data
 from .quality import quality
 from .sharding import hilbert_shards
+from .suffixes import remove_repeats
 from .tokenfiles import read_token_files, write_token_files
 from .urls import judge_urls
 
@@ -31,6 +32,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = personal_data(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
@@ -78,6 +83,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_decontaminate": op2_decontaminate,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_personal_data": op4_personal_data,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
