@@ -1,4 +1,7 @@
 """Registered queries over the test tables, with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import scored  # noqa: F401
+from .bindings import ORACLES, QUERIES
+from .scored import flagship
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
