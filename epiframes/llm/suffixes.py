@@ -36,6 +36,9 @@ from .common import bounded_batches, map_batches, partitions, text_or_empty, wri
 SPAN, K = 50, 24
 SIDE = SPAN - K  # most bytes before an anchor in its window, and after its k-gram
 WIDE = SPAN + SIDE  # bytes of a family: SIDE before the anchor, SPAN from it on
+#: A family as it travels: anchor first, so that sorted rows share their beginnings; and back again.
+TURN = np.concatenate([np.arange(SIDE, WIDE), np.arange(SIDE), [WIDE, WIDE + 1]])
+BACK = np.argsort(TURN)
 BLOCK_BYTES, SEGMENT = 4 << 20, 1 << 20
 SAMPLE_BLOCKS, SAMPLE_EACH = 500, 200
 
@@ -45,8 +48,8 @@ _A = _rng.integers(1, 1 << 63, 5, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def _zip(x: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x)
+def _zip(x: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(x)
 
 
 def _unzip(x: bytes) -> bytes:
@@ -62,7 +65,7 @@ class Block:
         self.start = self.end - size
 
     def packed(self) -> bytes:
-        return _zip(np.int64(len(self.keys)).tobytes() + self.keys.tobytes() + self.null.tobytes() + self.size.tobytes() + self.data.tobytes())
+        return _zip(np.int64(len(self.keys)).tobytes() + self.keys.tobytes() + self.null.tobytes() + self.size.tobytes() + self.data.tobytes(), 7)
 
     @classmethod
     def of(cls, payload: bytes) -> Block:
@@ -200,8 +203,31 @@ def _sorted_unpack(x: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(_unzip(x), np.uint64))
 
 
+def _listed(fp: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct fingerprints in order, whether several documents of the block hold them, and their cuts into n buckets."""
+    order = np.lexsort((key, fp))
+    fp, key = fp[order], key[order]
+    new = np.ones(len(fp), bool)
+    new[1:] = fp[1:] != fp[:-1]
+    at = np.flatnonzero(new)
+    several = key[at] != key[np.append(at[1:], len(fp)) - 1] if len(at) else np.empty(0, bool)
+    fp = fp[at]
+    where = ((fp * np.uint64(n)) >> np.uint64(40)).astype(np.int64)
+    return fp, several, np.searchsorted(where, np.arange(n + 1))
+
+
+def _wanted(fp: np.ndarray, key: np.ndarray, n: int, hits: list) -> np.ndarray:
+    """Sorted fingerprints that two documents hold: the block's own and those that the buckets confirmed."""
+    fp, several, cut = _listed(fp, key, n)
+    keep = several.copy()
+    for bucket, bits in hits:
+        once = cut[bucket] + np.flatnonzero(~several[cut[bucket] : cut[bucket + 1]])
+        keep[once] = np.unpackbits(np.frombuffer(_unzip(bits), np.uint8), count=len(once)).astype(bool)
+    return fp[keep]
+
+
 def shared_anchors(blocks: DataFrame, n: int) -> DataFrame:
-    """For each block the fingerprints of its anchors that two documents hold, here or elsewhere."""
+    """For each block and bucket, which of the fingerprints that it listed once other blocks list too, as bits."""
 
     def send(batches):
         for batch in batches:
@@ -209,15 +235,7 @@ def shared_anchors(blocks: DataFrame, n: int) -> DataFrame:
                 b = Block.of(payload.as_buffer())
                 fp, _, first, _ = b.families()
                 doc = np.searchsorted(b.start, first, "right") - 1
-                order = np.lexsort((b.keys[doc], fp))
-                fp, key = fp[order], b.keys[doc][order]
-                new = np.ones(len(fp), bool)
-                new[1:] = fp[1:] != fp[:-1]
-                at = np.flatnonzero(new)
-                several = key[at] != key[np.append(at[1:], len(fp)) - 1] if len(at) else np.empty(0, bool)
-                fp = fp[at]
-                where = ((fp * np.uint64(n)) >> np.uint64(40)).astype(np.int64)
-                cut = np.searchsorted(where, np.arange(n + 1))
+                fp, several, cut = _listed(fp, b.keys[doc], n)
                 out: list[list] = [[], [], [], []]
                 for i in range(n):
                     mine, many = fp[cut[i] : cut[i + 1]], several[cut[i] : cut[i + 1]]
@@ -230,13 +248,13 @@ def shared_anchors(blocks: DataFrame, n: int) -> DataFrame:
     def match(batches):
         fps, owner, flag, names = [], [], [], []
         for batch in batches:
-            for block, one, many in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for bucket, block, one, many in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 for x, many_here in ((one, False), (many, True)):
                     got = _sorted_unpack(x.as_buffer())
                     fps.append(got)
                     owner.append(np.full(len(got), len(names), np.int32))
                     flag.append(np.full(len(got), many_here))
-                names.append(block)
+                names.append((bucket, block))
         if not fps:
             return
         fp, own, many = np.concatenate(fps), np.concatenate(owner), np.concatenate(flag)
@@ -246,17 +264,18 @@ def shared_anchors(blocks: DataFrame, n: int) -> DataFrame:
         twin = np.zeros(len(fp), bool)
         twin[1:] = fp[1:] == fp[:-1]
         twin[:-1] |= twin[1:]
-        twin |= many
-        fp, own = fp[twin], own[twin]
-        order = np.argsort(own, kind="stable")
-        fp, own = fp[order], own[order]
-        cut = np.searchsorted(own, np.arange(len(names) + 1))
-        for i, block in enumerate(names):
-            if cut[i] < cut[i + 1]:
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_sorted_pack(fp[cut[i] : cut[i + 1]])], pa.binary())], names=["block", "fps"])
+        twin = twin[~many]
+        own, rank = own[~many], np.argsort(np.argsort(own[~many], kind="stable"), kind="stable")
+        answer = np.empty(len(twin), bool)
+        answer[rank] = twin
+        cut = np.searchsorted(np.sort(own), np.arange(len(names) + 1))
+        for i, (bucket, block) in enumerate(names):
+            mine = answer[cut[i] : cut[i + 1]]
+            if mine.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_zip(np.packbits(mine).tobytes())], pa.binary())], names=["block", "bucket", "hits"])
 
     sent = blocks.mapInArrow(send, "bucket int, block long, one binary, many binary")
-    return sent.repartitionById(n, F.col("bucket")).mapInArrow(match, "block long, fps binary")
+    return sent.repartitionById(n, F.col("bucket")).mapInArrow(match, "block long, bucket int, hits binary")
 
 
 def splitters(blocks: DataFrame, n: int) -> np.ndarray:
@@ -278,12 +297,22 @@ def splitters(blocks: DataFrame, n: int) -> np.ndarray:
     return np.unique(leads[[len(leads) * i // n for i in range(1, n)]]) if len(leads) else leads
 
 
-def _runs_row(kind_rows: list, block: int, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
-    kind_rows.append((block, _zip(np.stack([doc, first, last], 1).astype(np.int64).tobytes())))
+def _planes(x: np.ndarray) -> bytes:
+    """Longs byte plane by byte plane: equal high bytes lie together."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(x: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel()
+
+
+def _runs_row(kind_rows: list, block: int, first: np.ndarray, last: np.ndarray) -> None:
+    kind_rows.append((block, _zip(_planes(first) + _planes(last - first))))
 
 
 def removed_runs(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
-    """Rows (block, runs): document number in the block, first and last start of removed windows."""
+    """Rows (block, runs): first starts of removed windows in the block, and how many more follow."""
+    listed = n
     cuts = splitters(blocks, n)
     n = len(cuts) + 1
 
@@ -292,10 +321,12 @@ def removed_runs(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
             for block, payload, lists in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 b = Block.of(payload.as_buffer())
                 fp, pos, first, last = b.families()
-                wanted = np.sort(np.concatenate([_sorted_unpack(x) for x in lists]))
-                hit = wanted[np.minimum(np.searchsorted(wanted, fp), len(wanted) - 1)] == fp
-                pos, first, last = pos[hit], first[hit], last[hit]
                 doc = np.searchsorted(b.start, first, "right") - 1
+                wanted = _wanted(fp, b.keys[doc], listed, [(x["bucket"], x["hits"]) for x in lists or []])
+                if not len(wanted):
+                    continue
+                hit = wanted[np.minimum(np.searchsorted(wanted, fp), len(wanted) - 1)] == fp
+                pos, first, last, doc = pos[hit], first[hit], last[hit], doc[hit]
                 rows = _family_rows(b, pos, first, last)
                 order, new = multikey(_symbols(rows))
                 group = _leads(order, new)
@@ -304,21 +335,20 @@ def removed_runs(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
                 later = b.keys[doc] > least[group]
                 out: list = []
                 if later.any():
-                    _runs_row(out, block, doc[later], first[later], last[later])
+                    _runs_row(out, block, first[later], last[later])
                     yield _sent([(0, 1, *out[0])])
                 keep = order[~later[order]]
                 lead = np.ascontiguousarray(rows[keep, SIDE : SIDE + K]).view(f"S{K}").ravel()
                 where = np.searchsorted(cuts, lead, "right") if len(cuts) else np.zeros(len(keep), np.int64)
-                by = np.argsort(where, kind="stable")
+                by = np.lexsort((lead, where))
                 keep, where = keep[by], where[by]
                 edge = np.searchsorted(where, np.arange(n + 1))
                 sent = []
                 for i in range(n):
                     mine = keep[edge[i] : edge[i + 1]]
                     if len(mine):
-                        d = doc[mine]
-                        body = np.int64(len(mine)).tobytes() + np.ascontiguousarray(rows[mine].T).tobytes()
-                        body += d.astype(np.int32).tobytes() + first[mine].astype(np.int32).tobytes() + last[mine].astype(np.int32).tobytes() + b.keys[d].tobytes()
+                        body = np.int64(len(mine)).tobytes() + rows[mine][:, TURN].tobytes()
+                        body += _planes(first[mine]) + _planes(b.keys[doc[mine]])
                         sent.append((i, 0, block, _zip(body)))
                 if sent:
                     yield _sent(sent)
@@ -333,11 +363,11 @@ def removed_runs(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
                 raw = _unzip(payload.as_buffer())
                 m = int(np.frombuffer(raw, np.int64, 1)[0])
                 at = 8 + m * (WIDE + 2)
-                parts.append((block, np.frombuffer(raw, np.uint8, m * (WIDE + 2), 8).reshape(WIDE + 2, m).T, *[np.frombuffer(raw, np.int32, m, at + 4 * m * j) for j in range(3)], np.frombuffer(raw, np.int64, m, at + 12 * m)))
+                parts.append((block, np.frombuffer(raw, np.uint8, m * (WIDE + 2), 8).reshape(m, WIDE + 2)[:, BACK], _from_planes(raw, m, at), _from_planes(raw, m, at + 8 * m)))
         if parts:
             yield from _bucket_runs(parts)
 
-    joined = blocks.join(shared.groupBy("block").agg(F.collect_list("fps").alias("lists")), "block")
+    joined = blocks.join(shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "hits")).alias("lists")), "block", "left")
     sent = joined.mapInArrow(send, "bucket int, kind byte, block long, payload binary")
     return sent.repartitionById(n, F.col("bucket")).mapInArrow(match, "block long, runs binary")
 
@@ -352,7 +382,8 @@ def _bucket_runs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     names = [p[0] for p in parts]
     own = _runs(np.array([len(p[2]) for p in parts]))
     rows = np.concatenate([p[1] for p in parts])
-    doc, first, last, key = (np.concatenate([p[j] for p in parts]) for j in (2, 3, 4, 5))
+    first, key = (np.concatenate([p[j] for p in parts]) for j in (2, 3))
+    last = first + rows[:, WIDE] - rows[:, WIDE + 1].astype(np.int64)
     del parts
     # anchor and bytes after it lead, then the bytes before it and the offsets
     order, new = multikey(_symbols(np.concatenate([rows[:, SIDE:WIDE], rows[:, :SIDE][:, ::-1], rows[:, WIDE:]], axis=1)))
@@ -389,8 +420,7 @@ def _bucket_runs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     for i, block in enumerate(names):
         mine = slice(edge[i], edge[i + 1])
         if edge[i] < edge[i + 1]:
-            runs = np.stack([doc[at[mine]], lo[mine], hi[mine]], 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_zip(runs.tobytes())], pa.binary())], names=["block", "runs"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_zip(_planes(lo[mine]) + _planes(hi[mine] - lo[mine]))], pa.binary())], names=["block", "runs"])
 
 
 def _window_runs(rows, heads, group, least, members, first, last) -> list[tuple]:
@@ -442,9 +472,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ful
 def _cut(b: Block, lists: list[bytes], full: bool) -> pa.RecordBatch:
     change = np.zeros(len(b.data) + 1, np.int32)
     for x in lists:
-        runs = np.frombuffer(_unzip(x), np.int64).reshape(-1, 3)
-        np.add.at(change, runs[:, 1], 1)
-        np.add.at(change, runs[:, 2] + SPAN, -1)
+        raw = _unzip(x)
+        n = len(raw) // 16
+        first, more = _from_planes(raw, n, 0), _from_planes(raw, n, 8 * n)
+        np.add.at(change, first, 1)
+        np.add.at(change, first + more + SPAN, -1)
     gone = np.cumsum(change[:-1]) > 0
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
