@@ -11,7 +11,8 @@ estimated cost from the band's measured size.
 
 Sets that share a signature are tied in stars: within a task first, so that a hot signature sends one
 row per task, then across tasks.  Star pairs are verified on the real sets, components follow, and where
-one signature still spans several components all pairs between those are verified too, so no link is lost.
+one signature still spans several components its sets are tied to the likeliest hub, and then all pairs between
+the components that are left are verified too, so no link is lost.
 Hashes have 64 bits: with N different n-grams or sets the chance of any clash is about N^2 / 2^65.
 """
 
@@ -30,6 +31,8 @@ from .common import bounded_batches, map_batches, partitions, text_or_empty, wri
 from .components import components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Rounds in which open signatures are tied to their likely hub, before all pairs that are left are checked.
+HUB_ROUNDS = 2
 #: Signatures that a task holds before it passes them on.
 FLUSH = 1 << 20
 
@@ -97,9 +100,12 @@ def allocate(low: int, high: int, n: int, num: int, den: int, chance: float = 0.
             if m0 < 0 or (m0 == 0 and d > 1) or (m0 and d >= m0) or m0 + m1 < 1:
                 continue
             t = size / (m0 + m1)
-            keep = max(0, m0 - d)
-            empty = np.exp(-t) if d == 0 else np.exp(-t) / (1 + d)
-            cost = n * (keep + m1 * (1 + t)) + pair_cost * n * n / 2 * ((keep + m1) * chance**t + keep * empty**2)
+            keep = m0 - d
+            # an empty subset, or one that a deletion empties, agrees with all others like it
+            empty_whole = max(0.0, m0 * np.exp(-t) - d / 2) / max(m0, 1)
+            empty_delete = np.exp(-t) * (1 + t)
+            chance_pairs = n * n / 2 * ((keep + m1) * chance**t + m0 * empty_whole**2 + m1 * empty_delete**2)
+            cost = n * (keep + m1 * (1 + t)) + pair_cost * chance_pairs
             if best is None or cost < best[0]:
                 best = (cost, Plan(low, high, u, m0, m1, min(d, m0)))
     return best[1]
@@ -130,6 +136,12 @@ def signatures(s: np.ndarray, k: int, plan: Plan) -> np.ndarray:
     return np.concatenate(out)
 
 
+def bitmap(s: np.ndarray) -> list[int]:
+    """Parities of the set's counts in 256 cells, as four longs: two sets differ in at least as many elements as their bitmaps in bits."""
+    odd = np.bincount((mix(s ^ _M2) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _bands_for(size: int, plans: list[Plan], num: int, den: int) -> Iterator[int]:
     """Own band and lower ones whose largest set a set of this size can still link with."""
     for k in range(len(plans) - 1, -1, -1):
@@ -244,6 +256,13 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), check, "a long, b long")
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, class, root) of the signatures whose sets are still in several components."""
+    placed = members.join(roots.withColumnRenamed("vertex", "class"), "class", "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
+    spread = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+    return written(placed.join(spread, "sig"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, ``n_shingles``, ``component_id`` (least key reachable over links, itself included).
 
@@ -256,11 +275,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     def described(batch):
         sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-        yield {"key": batch.column(0), "n": [len(s) for s in sets], "class": [class_of(s) for s in sets]}
+        bits = list(zip(*[bitmap(s) for s in sets], strict=True)) or [[]] * 4
+        yield {"key": batch.column(0), "n": [len(s) for s in sets], "class": [class_of(s) for s in sets]} | {f"b{i}": bits[i] for i in range(4)}
 
-    known = written(map_batches(rows, described, "key long, n long, class long"))
+    known = written(map_batches(rows, described, "key long, n long, class long, b0 long, b1 long, b2 long, b3 long"))
     rows = rows.where("key is not null")
-    classes = known.where("class is not null and key is not null").groupBy("class").agg(F.min("key").alias("rep"), F.min("n").alias("n"))
+    marks = ["n", "b0", "b1", "b2", "b3"]
+    classes = known.where("class is not null and key is not null").groupBy("class").agg(F.min("key").alias("rep"), *[F.min(c).alias(c) for c in marks])
     most = known.agg(F.max("n")).head()[0] or 0
     bounds = band_bounds(most)
     lows = [b[0] for b in bounds]
@@ -270,13 +291,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     classes = written(classes)
     edges = written(tied(rows, plans, width, num, den))
-    size = classes.select("class", "n")
+
+    def marked(df: DataFrame, c: str) -> DataFrame:
+        return df.join(classes.select(F.col("class").alias(c), *[F.col(m).alias(f"{c}_{m}") for m in marks]), c)
+
+    both = F.col("a_n") + F.col("b_n")
+    apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in marks[1:]), F.lit(0))
+    may_link = (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num) & (apart * (den + num) <= both * (den - num))
 
     def close(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link, once each."""
+        """Pairs whose sizes and bitmaps allow a link, once each."""
         once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sized = once.join(size.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-        return sized.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
+        return marked(marked(once, "a"), "b").where(may_link).select("a", "b")
 
     star = written(close(edges))
     members = edges.select("sig", F.col("a").alias("class")).union(edges.select("sig", F.col("b").alias("class")))
@@ -291,12 +317,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     links = written(verified(star, sets, num, den))
     roots = components(links)
     # signatures whose sets are still in several components: every pair between those is checked
-    placed = members.distinct().join(roots.withColumnRenamed("vertex", "class"), "class", "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
-    placed = written(placed)
-    open_sigs = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    open_rows = placed.join(open_sigs, "sig")
-    a, b = (open_rows.select("sig", F.col("class").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    crossing = close(a.join(b, "sig").where("ra < rb")).join(star, ["a", "b"], "left_anti")
+    members, known_pairs = members.distinct(), star
+    left = _open(members, roots)
+    for _ in range(HUB_ROUNDS):
+        # in a cluster around one text most sets link with that text only: the set that shares most is the hub
+        size = left.groupBy("sig").agg(F.count("*").alias("m"))
+        weight = left.join(size, "sig").groupBy("class").agg(F.sum("m").alias("w"))
+        hub = left.join(weight, "class").groupBy("sig").agg(F.max_by(F.struct("class", "root"), F.struct("w", "class")).alias("h"))
+        spokes = left.join(hub, "sig").where("root <> h.root").select(F.col("h.class").alias("a"), F.col("class").alias("b"))
+        new = written(close(spokes).join(known_pairs, ["a", "b"], "left_anti"))
+        found = written(verified(new, sets, num, den))
+        known_pairs = known_pairs.union(new)
+        if not found.head(1):
+            break
+        links = links.union(found)
+        roots = components(links)
+        left = _open(left.select("sig", "class"), roots)
+    sides = [marked(left.select("sig", F.col("class").alias(c), F.col("root").alias(f"{c}_root")), c) for c in "ab"]
+    met = sides[0].join(sides[1], "sig").where((F.col("a_root") < F.col("b_root")) & may_link).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crossing = met.join(known_pairs, ["a", "b"], "left_anti")
     more = written(verified(written(crossing), sets, num, den))
     if more.head(1):
         roots = components(links.union(more))
