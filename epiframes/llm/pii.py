@@ -102,25 +102,28 @@ class Vote(NamedTuple):
     shape: Column
     gazetteer: Column
     context: Column
-    variety: Column
+    mixture: Column
     letters: Column
 
 
 def votes(kind: str, match: Column, before: Column, after: Column) -> Vote:
     yes, no, none = F.lit(1), F.lit(-1), F.lit(0)
-    variety = F.size(F.array_distinct(F.split(match, ""))) / F.length(match)
+    turns = F.regexp_count(match, F.lit("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])"))
+    repeated = F.size(F.array_distinct(F.split(match, ""))) * 5 < F.length(match)
     known = F.lower(before).rlike(rf"(?:{GAZETTEER})[^a-z]*$")
     led = before.rlike(r"[=:]\s*[\"']?$")
     noisy = before.rlike(r"[|#$%&*]\s*$") | after.rlike(r"^\s*[|#$%&*]")
     if kind == "secret":
-        shape = F.when(match.rlike("^[0-9a-f]{32,}$") | (match.rlike("[0-9]") & match.rlike("[A-Z]") & match.rlike("[a-z]")), yes).when(~match.rlike("[0-9]"), no).otherwise(none)
+        shape = F.when(match.rlike("^[0-9a-f]{32,}$") | (match.rlike("[0-9]") & match.rlike("[A-Z]") & match.rlike("[a-z]")), yes).when(F.length(F.regexp_replace(match, "[^0-9]", "")) * 6 < F.length(match), no).otherwise(none)
+        mixture = F.when(repeated | (turns < 3), no).otherwise(yes)
     else:
         shape = F.when(F.length(match) == 9, yes).when(F.length(match) < 8, no).otherwise(none)
+        mixture = F.when(repeated, no).otherwise(none)
     return Vote(
         shape,
         F.when(known, yes).otherwise(none),
         F.when(led, yes).when(noisy, no).otherwise(none),
-        F.when(variety > 0.75, none).when(variety < 0.2, no).otherwise(F.when(F.length(match) >= 9, yes).otherwise(none)),
+        mixture,
         F.when(match.rlike("^[A-Za-z_/+=-]+$"), no).otherwise(none),
     )
 
