@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-#: Entries of a worker's cache; when full it is emptied, so memory is bounded and results never change.
-CACHE_ENTRIES = 400_000
+#: Entries of each of a worker's two cache generations: bounds its memory and never changes results.
+CACHE_ENTRIES = 350_000
 #: Characters that are cut and held as pieces at a time.
 SLICE_CHARS = 1 << 20
 #: Marks a piece without a space before it: never part of a valid text.
@@ -20,16 +20,20 @@ class Cache:
     """Piece -> value; ``fill`` computes many missing pieces at once."""
 
     def __init__(self, fill: Callable[[list[str]], list], entries: int = CACHE_ENTRIES) -> None:
-        self.fill, self.entries, self.known = fill, entries, {}
+        self.fill, self.entries = fill, entries
+        self.known: dict = {}
+        self.old: dict = {}
 
     def of(self, groups: list[list[str]]) -> dict:
-        """A dict that has every piece of the groups."""
-        need = set().union(*groups).difference(self.known)
+        """A dict that has every piece of the groups; what a full generation held and is met again moves on."""
+        known = self.known
+        need = {p for g in groups for p in g if p not in known}
+        if need and len(known) + len(need) > self.entries:
+            self.old, self.known, need = known, {}, set().union(*groups)
         if need:
-            if len(self.known) + len(need) > self.entries:
-                self.known = {}
-                need = set().union(*groups)
-            todo = list(need)
+            again = need.intersection(self.old)
+            self.known.update((k, self.old[k]) for k in again)
+            todo = list(need.difference(again))
             self.known.update(zip(todo, self.fill(todo), strict=True))
         return self.known
 

@@ -9,6 +9,7 @@ bytes up in a table of byte counts and gathers all ids of a block at once.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,13 +18,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Cache, grouped, pieces, slices, whole
+from .chunks import HEAD, Cache, grouped, pieces, slices, whole
 from .common import bounded_batches, map_batches, partitions, text_or_empty
 
 MAGIC, VERSION = b"EFTK", 1
 _HEAD = struct.Struct("<4sIqqI")  # magic, version, documents, ids, crc32 of what follows
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 19
+#: Pieces in one call of the library, as lines of one text.
+LINES = 24
+_ODD = re.compile(r"[^\S\n]|\n\n|\n\Z")
+#: A run of symbols that ends a piece.
+_SYMBOLS = re.compile(r"[^\w\s]+\Z")
 #: Bytes of each of the four ids that a control byte describes.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -67,10 +73,47 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
         self.kind = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        newline = self.lib.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if len(newline) == 1 else None
         self.cache = Cache(self.fill)
 
+    def each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
     def fill(self, todo: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast([whole(p) for p in todo], add_special_tokens=False)]
+        """Ids of pieces.  Letters followed by symbols are two pre-tokens: both are looked up or encoded once."""
+        parts = {p: (p[: m.start()], HEAD + m.group()) for p in todo if (m := _SYMBOLS.search(p)) and m.start() > 1 and p[: m.start()].isalpha()}
+        known, old = self.cache.known, self.cache.old
+        want = dict.fromkeys(p for p in todo if p not in parts)
+        want.update(dict.fromkeys(x for pair in parts.values() for x in pair if x not in known and x not in old))
+        got = dict(zip(want, self.in_lines(list(want)), strict=True))
+        find = lambda x: got[x] if x in got else known[x] if x in known else old[x]
+        return [got[p] if p in got else find(parts[p][0]) + find(parts[p][1]) for p in todo]
+
+    def in_lines(self, todo: list[str]) -> list[bytes]:
+        """Pieces without white space, or with single newlines only, go to the library in lines: a single
+        newline is a pre-token of its own, so its id marks where one line ends and the next begins."""
+        texts = [whole(p) for p in todo]
+        out: list[bytes | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and t[0] != "\n" and not _ODD.search(t, 1)] if self.newline is not None else []
+        groups = [plain[a : a + LINES] for a in range(0, len(plain), LINES)]
+        width = self.kind.itemsize
+        for group, e in zip(groups, self.lib.encode_batch_fast(["\n".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            cut = np.flatnonzero(ids == self.newline)
+            own = [texts[i].count("\n") for i in group]  # single newlines inside a piece
+            if len(cut) != len(group) - 1 + sum(own):
+                continue
+            raw, ends = ids.tobytes(), [*cut.tolist(), len(ids)]
+            at = start = 0
+            for i, k in zip(group, own, strict=True):
+                at += k
+                out[i] = raw[width * start : width * ends[at]]
+                start, at = ends[at] + 1, at + 1
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.each([texts[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if len(t) > 1 << 20 or any(s in t for s in self.special) else pieces(t) for t in texts]
@@ -80,8 +123,6 @@ class Encoder:
 
     def piecewise(self, text: str) -> bytes:
         """Long texts in slices; special strings as their own ids."""
-        import re
-
         parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if self.special else [text]
         out = []
         for p in parts:
@@ -142,7 +183,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, key:
             total += np.bincount(np.frombuffer(r.ids, kind), minlength=size)
         yield total
 
-    total = rows.mapPartitions(counts).treeReduce(np.add, depth=2)
+    total = rows.mapPartitions(counts).treeAggregate(np.zeros(size, np.int64), np.add, np.add, depth=2)
     by_rank = np.argsort(-total, kind="stable").astype("<u4")
     rank_of = np.empty(size, np.uint32)
     rank_of[by_rank] = np.arange(size, dtype=np.uint32)
