@@ -306,14 +306,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     star = written(close(edges))
     members = edges.select("sig", F.col("a").alias("class")).union(edges.select("sig", F.col("b").alias("class")))
-    wanted = members.select("class").distinct().join(classes, "class").select(F.col("rep").alias("key")).distinct()
-
     def sets_of(batch):
         sets = [shingles(t, width) for t in batch.column(0).to_pylist()]
         have = [s for s in sets if len(s)]
         yield {"class": [class_of(s) for s in have], "set": [s.tobytes() for s in have]}
 
-    sets = written(map_batches(rows.join(wanted, "key", "left_semi").select("text"), sets_of, "class long, set binary").dropDuplicates(["class"]), codec="none")
+    def sets_for(pairs: DataFrame, have: DataFrame | None) -> DataFrame:
+        """Sets of the classes in the pairs, read from the texts of one document each; those at hand stay."""
+        wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+        if have is not None:
+            wanted = wanted.join(have.select("class"), "class", "left_anti")
+        keys = written(wanted.join(classes.select("class", F.col("rep").alias("key")), "class"))
+        if have is not None and not keys.head(1):
+            return have
+        texts = rows.join(keys.select("key").distinct(), "key", "left_semi").select("text")
+        got = map_batches(texts, sets_of, "class long, set binary").join(keys.select("class"), "class", "left_semi")
+        got = written(got.dropDuplicates(["class"]), codec="none")
+        return got if have is None else have.unionByName(got)
+
+    sets = sets_for(star, None)
     links = written(verified(star, sets, num, den))
     roots = components(links)
     # signatures whose sets are still in several components: every pair between those is checked
@@ -326,6 +337,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         hub = left.join(weight, "class").groupBy("sig").agg(F.max_by(F.struct("class", "root"), F.struct("w", "class")).alias("h"))
         spokes = left.join(hub, "sig").where("root <> h.root").select(F.col("h.class").alias("a"), F.col("class").alias("b"))
         new = written(close(spokes).join(known_pairs, ["a", "b"], "left_anti"))
+        sets = sets_for(new, sets)
         found = written(verified(new, sets, num, den))
         known_pairs = known_pairs.union(new)
         if not found.head(1):
@@ -336,7 +348,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     sides = [marked(left.select("sig", F.col("class").alias(c), F.col("root").alias(f"{c}_root")), c) for c in "ab"]
     met = sides[0].join(sides[1], "sig").where((F.col("a_root") < F.col("b_root")) & may_link).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     crossing = met.join(known_pairs, ["a", "b"], "left_anti")
-    more = written(verified(written(crossing), sets, num, den))
+    crossing = written(crossing)
+    more = written(verified(crossing, sets_for(crossing, sets), num, den))
     if more.head(1):
         roots = components(links.union(more))
     roots = written(roots)
