@@ -6,18 +6,24 @@ factor of some item.  Where that length reaches the window, the window's words a
 of words that the items know, and that are long enough to hold a window, enter the automaton.
 
 Items are taken in blocks of at most ``BLOCK_WORDS`` words, so what a task holds has a fixed bound however
-many items there are; each further block is one more pass over the documents' words.
+many items there are; each further block is one more pass over the documents' words.  The driver and each
+worker hold one block at a time; an item longer than a block is cut into pieces that overlap by a window
+less one word, which have the same windows.  With several blocks each pass writes the runs and items of the
+documents that it hits, and these are merged per document at the end.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, text_or_empty
+from .common import bounded_batches, map_batches, shared_dir, text_or_empty, written
 
 BLOCK_WORDS = 100_000
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -133,19 +139,51 @@ class ItemAutomaton:
                         runs.append((a, i + 1))
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, limit: int) -> Iterable[list[tuple[str, list[bytes]]]]:
-    """Items with words, streamed to the driver one partition at a time and cut into bounded blocks."""
-    block, size = [], 0
-    rows = items.select(F.col(item_id).cast("string").alias("i"), text_or_empty(text).alias("t")).toLocalIterator()
-    for r in rows:
-        words = words_of(r.t)
-        if size and size + len(words) > limit:
-            yield block
-            block, size = [], 0
-        if words:
-            block.append(("" if r.i is None else r.i, words))
-            size += len(words)
-    yield block
+def item_pieces(items: DataFrame, item_id: str, text: str, limit: int, window: int) -> DataFrame:
+    """Rows (chunk, n, item, words), written: items with words, cut where longer than ``limit`` words.
+
+    Each task deals its pieces to chunks of at most ``limit`` words.
+    """
+
+    def deal(batches):
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(t)
+                step = limit if len(words) <= limit else limit - window + 1
+                for i in range(0, len(words) if len(words) <= limit else len(words) - window + 1, step):
+                    piece = words[i : i + limit]
+                    if size + len(piece) > limit:
+                        chunk, size = chunk + 1, 0
+                    size += len(piece)
+                    for col, x in zip(out, (chunk, len(piece), name or "", b" ".join(piece)), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["chunk", "n", "item", "words"])
+
+    if limit < window:
+        raise ValueError("a block must hold a window")
+    rows = items.select(F.col(item_id).cast("string").alias("i"), text_or_empty(text).alias("t"))
+    return written(rows.mapInArrow(deal, "chunk long, n long, item string, words binary"))
+
+
+def item_blocks(pieces: DataFrame, limit: int) -> list[list[int]]:
+    """Chunks, by their sizes only, put together to blocks of at most ``limit`` words; one empty block if there are none."""
+    blocks: list[list[int]] = [[]]
+    size = 0
+    for r in pieces.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy("chunk").collect():
+        if blocks[-1] and size + r.n > limit:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(r.chunk)
+        size += r.n
+    return blocks
+
+
+def _block(pieces: DataFrame, chunks: list[int]) -> tuple:
+    """What is broadcast for one block: a mark of its own, and its items' words."""
+    rows = pieces.where(F.col("chunk").isin(chunks)).select("item", "words").collect() if chunks else []
+    return uuid.uuid4().hex, [(r.item, bytes(r.words).split()) for r in rows]
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: list[str], window: int = 13, text: str = "text", item_id: str = "item_id", coverage: int = 20, cut: bool = False) -> DataFrame:
@@ -158,44 +196,94 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: list[str], window: int
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    blocks = [spark.sparkContext.broadcast(tuple(b)) for b in item_blocks(items, item_id, text, BLOCK_WORDS)]
-    n_key = len(key)
-    schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in key)
-    schema += ", n_words long, n_hit long, items array<string>, runs array<int>, contaminated boolean" + (", clean_text string" if cut else "")
+    pieces = item_pieces(items, item_id, text, BLOCK_WORDS, window)
+    blocks = item_blocks(pieces, BLOCK_WORDS)
+    keys = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in key)
+    schema = keys + ", n_words long, n_hit long, items array<string>, runs array<int>, contaminated boolean" + (", clean_text string" if cut else "")
+    texts = docs.select(*key, text_or_empty(text).alias("_text"))
+    if len(blocks) > 1:
+        return _judged_by_blocks(texts, pieces, blocks, key, keys, schema, window, coverage, cut)
+    n_key, block = len(key), spark.sparkContext.broadcast(_block(pieces, blocks[0]))
 
     def judged(batch):
-        automata = _automata(blocks, window)
+        automaton = _automaton(block, window)
         out = {k: batch.column(i) for i, k in enumerate(key)}
         rows = []
         for t in batch.column(n_key).to_pylist():
             words = words_of(t)
-            runs: list[tuple[int, int]] = []
-            who: set[str] = set()
-            for a in automata:
-                r, w = a.match(words)
-                runs += r
-                who |= w
-            if len(automata) > 1:
-                runs = merged(runs)
-            hit = sum(b - a for a, b in runs)
-            row = [len(words), hit, sorted(who), [x for r in runs for x in r], hit > 0 and coverage * hit >= len(words)]
-            rows.append(row + [without(t, runs)] if cut else row)
-        names = ("n_words", "n_hit", "items", "runs", "contaminated", "clean_text")[: 5 + cut]
-        yield out | {name: [r[i] for r in rows] for i, name in enumerate(names)}
-
-    return map_batches(docs.select(*key, text_or_empty(text).alias("_text")), judged, schema)
+            runs, who = automaton.match(words)
+            rows.append(_verdict(len(words), runs, who, coverage) + ([without(t, runs)] if cut else []))
+        yield out | _columns(rows, cut)
+
+    return map_batches(texts, judged, schema)
+
+
+def _verdict(n_words: int, runs: list[tuple[int, int]], who: Iterable[str], coverage: int) -> list:
+    hit = sum(b - a for a, b in runs)
+    return [n_words, hit, sorted(who), [x for r in runs for x in r], hit > 0 and coverage * hit >= n_words]
+
+
+def _columns(rows: list[list], cut: bool) -> dict[str, list]:
+    names = ("n_words", "n_hit", "items", "runs", "contaminated", "clean_text")[: 5 + cut]
+    return {name: [r[i] for r in rows] for i, name in enumerate(names)}
+
+
+def _judged_by_blocks(texts: DataFrame, pieces: DataFrame, blocks: list[list[int]], key: list[str], keys: str, schema: str, window: int, coverage: int, cut: bool) -> DataFrame:
+    """One pass for each block; its hits are kept by key and digest of the text, as keys may be null or repeated."""
+    spark, n_key = texts.sparkSession, len(key)
+    texts = texts.withColumn("_digest", F.sha2("_text", 256))
+    folder = shared_dir(spark)
+    found = keys + ", _digest string, _runs array<int>, _items array<string>"
+    for i, chunks in enumerate(blocks):
+        block = spark.sparkContext.broadcast(_block(pieces, chunks))
+        map_batches(texts, _hits_of(block, window, key), found).write.parquet(f"{folder}/{i}")
+        block.destroy()
+    hits = spark.read.schema(found).parquet(*[f"{folder}/{i}" for i in range(len(blocks))])
+    hits = hits.groupBy(*key, "_digest").agg(F.flatten(F.collect_set("_runs")).alias("_runs"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("_items"))
+
+    def counted(batch):
+        kept = {k: batch.column(i) for i, k in enumerate([*key, "_text", "_digest"])}
+        kept["_n"] = [len(words_of(t)) for t in kept["_text"].to_pylist()]
+        yield kept
+
+    def judged(batch):
+        out = {k: batch.column(i) for i, k in enumerate(key)}
+        rows = []
+        for n, flat, who, *t in zip(*[c.to_pylist() for c in batch.columns[n_key:]], strict=True):
+            runs = merged(list(zip(flat[::2], flat[1::2], strict=True))) if flat else []
+            rows.append(_verdict(n, runs, who or (), coverage) + ([without(t[0], runs)] if cut else []))
+        yield out | _columns(rows, cut)
+
+    left = map_batches(texts, counted, keys + ", _text string, _digest string, _n long" if cut else keys + ", _digest string, _n long").alias("l")
+    same = F.col("l._digest") == F.col("r._digest")
+    for k in key:
+        same &= F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
+    both = left.join(hits.alias("r"), same, "left")
+    return map_batches(both.select(*[F.col(f"l.`{k}`") for k in key], "l._n", "r._runs", "r._items", *(["l._text"] if cut else [])), judged, schema)
+
+
+def _hits_of(block, window: int, key: list[str]):
+    def hits(batch):
+        automaton = _automaton(block, window)
+        found = [automaton.match(words_of(t)) for t in batch.column(len(key)).to_pylist()]
+        at = [i for i, (runs, _) in enumerate(found) if runs]
+        out = {k: batch.column(i).take(pa.array(at, pa.int32())) for i, k in enumerate(key)}
+        out["_digest"] = batch.column(len(key) + 1).take(pa.array(at, pa.int32()))
+        yield out | {"_runs": [[x for r in found[i][0] for x in r] for i in at], "_items": [sorted(found[i][1]) for i in at]}
+
+    return hits
 
 
 _BUILT: dict = {}
 
 
-def _automata(blocks: list, window: int) -> list[ItemAutomaton]:
-    """Built once per Python worker and broadcast."""
-    mark = (tuple(b._path if getattr(b, "_path", None) else id(b) for b in blocks), window)
-    if mark not in _BUILT:
+def _automaton(block, window: int) -> ItemAutomaton:
+    """Built once per Python worker and block; a worker holds one."""
+    mark, items = block.value
+    if (mark, window) not in _BUILT:
         _BUILT.clear()
-        _BUILT[mark] = [ItemAutomaton(b.value, window) for b in blocks]
-    return _BUILT[mark]
+        _BUILT[mark, window] = ItemAutomaton(items, window)
+    return _BUILT[mark, window]
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

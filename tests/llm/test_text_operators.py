@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -98,6 +99,33 @@ def test_decontaminate(spark):
     assert tuple(none) == (0, 0)
 
 
+def test_decontaminate_holds_one_bounded_block(spark, monkeypatch):
+    from epiframes.llm import decontaminate as module
+
+    vocab = [f"w{i}" for i in range(14)]
+    items = [*enumerate(made(vocab, 40, 40, 13, " ")), (40, " ".join(random.Random(14).choices(vocab, k=500))), (None, "Alpha, Beta"), (33, "Alpha, Beta")]
+    rnd = random.Random(15)
+    texts = [" ".join(rnd.choice([items[rnd.randrange(40)][1], "x y z", items[40][1][rnd.randrange(900) :][:120], "ALPHA beta!"]) for _ in range(rnd.randint(0, 6))) for _ in range(120)] + [None, ""]
+    rows = [*enumerate(texts), (None, texts[0]), (None, texts[1]), (3, texts[4]), (5, texts[5])]
+    monkeypatch.setattr(module, "BLOCK_WORDS", 200)
+    sizes, live, put, drop = [], [], type(spark.sparkContext).broadcast, Broadcast.destroy
+
+    def broadcast(sc, value):
+        assert not live
+        sizes.append(sum(len(words) for _, words in value[1]))
+        live.append(1)
+        return put(sc, value)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", lambda b, *a: (live.clear(), drop(b, *a)))
+    df, ds = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    got = decontaminate(df, ds, ["doc_id"], cut=True).collect()
+    want = [(i, *brute.contamination(t, [("" if k is None else k, x) for k, x in items])) for i, t in rows]
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated)) for r in got)
+    assert all(len(brute.item_words(r.clean_text)) == r.n_words - r.n_hit for r in got)
+    assert len(sizes) > 6 and max(sizes) <= 200
+
+
 def test_suffixes(spark):
     rnd = random.Random(3)
     base = ["".join(rnd.choice("abcd e") for _ in range(n)) for n in (60, 80, 150, 400, 49, 50, 51)]
