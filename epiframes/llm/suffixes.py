@@ -13,6 +13,9 @@ suffix at the anchor plus the few bytes before it.
    their leading bytes.  The splitters compare whole anchors, so suffixes that could match never
    straddle a boundary.  Buckets sort by multikey quicksort (eight bytes a symbol, only ties go on to the
    next) and compare neighbours: first whole families, then the single windows of families that differ.
+   Anchors with many different families in the sample (a common line with different text around it)
+   are hot: their single windows, once per block and document, are dealt by a hash of the window's
+   bytes, so that equal windows meet and one anchor is spread over all buckets.
 4. Removed runs return to their blocks, which cut the documents.
 
 Within a block only the least document of equal families travels, so a string in a third of all
@@ -41,6 +44,10 @@ TURN = np.concatenate([np.arange(SIDE, WIDE), np.arange(SIDE), [WIDE, WIDE + 1]]
 BACK = np.argsort(TURN)
 BLOCK_BYTES, SEGMENT = 4 << 20, 1 << 20
 SAMPLE_BLOCKS, SAMPLE_EACH = 500, 200
+#: An anchor is hot from this share of a bucket on, and from so many different families in the sample.
+HOT_PART, HOT_LEAST = 4, 8
+#: Families whose windows are compared at a time.
+STEP = 20_000
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -278,23 +285,32 @@ def shared_anchors(blocks: DataFrame, n: int) -> DataFrame:
     return sent.repartitionById(n, F.col("bucket")).mapInArrow(match, "block long, bucket int, hits binary")
 
 
-def splitters(blocks: DataFrame, n: int) -> np.ndarray:
-    """n - 1 anchors that cut a bounded sample of all anchors into equal parts."""
+def splitters(blocks: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors that cut a bounded sample of all others into n equal parts, and the hot anchors (at most HOT_PART * n)."""
     total = blocks.count()
 
     def some(batch):
-        out = []
+        out, fresh = [], []
         for payload in batch.column(0):
             b = Block.of(payload.as_buffer())
-            _, pos, _, _ = b.families()
-            for p in pos[:: max(1, len(pos) // SAMPLE_EACH)][:SAMPLE_EACH].tolist():
-                out.append(b.data[p : p + K].tobytes())
-        yield {"lead": out}
+            _, pos, first, last = b.families()
+            at = np.arange(0, len(pos), max(1, len(pos) // SAMPLE_EACH))[:SAMPLE_EACH]
+            if len(at):
+                rows = _family_rows(b, pos[at], first[at], last[at])
+                out += [x.tobytes() for x in rows[:, SIDE : SIDE + K]]
+                new = np.zeros(len(at), bool)
+                new[np.unique(np.ascontiguousarray(rows).view(f"V{WIDE + 2}").ravel(), return_index=True)[1]] = True
+                fresh += new.tolist()
+        yield {"lead": out, "fresh": fresh}
 
     share = min(1.0, SAMPLE_BLOCKS / max(total, 1))
     few = blocks.select("payload") if share == 1.0 else blocks.sample(share, seed=7).select("payload")
-    leads = np.array(sorted(bytes(r.lead) for r in map_batches(few, some, "lead binary").collect()), f"S{K}")
-    return np.unique(leads[[len(leads) * i // n for i in range(1, n)]]) if len(leads) else leads
+    got = map_batches(few, some, "lead binary, fresh boolean").collect()
+    leads = np.array([bytes(r.lead) for r in got], f"S{K}")
+    different, weight = np.unique(leads[np.array([r.fresh for r in got], bool)], return_counts=True)
+    hot = different[(weight >= HOT_LEAST) & (weight * HOT_PART * n >= len(leads))]
+    leads = np.sort(leads[~np.isin(leads, hot)])
+    return np.unique(leads[[len(leads) * i // n for i in range(1, n)]]) if len(leads) else leads, hot
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -312,9 +328,8 @@ def _runs_row(kind_rows: list, block: int, first: np.ndarray, last: np.ndarray)
 
 def removed_runs(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
     """Rows (block, runs): first starts of removed windows in the block, and how many more follow."""
-    listed = n
-    cuts = splitters(blocks, n)
-    n = len(cuts) + 1
+    cuts, hot = splitters(blocks, n)
+    ranges = len(cuts) + 1
 
     def send(batches):
         for batch in batches:
@@ -322,7 +337,7 @@ def removed_runs(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
                 b = Block.of(payload.as_buffer())
                 fp, pos, first, last = b.families()
                 doc = np.searchsorted(b.start, first, "right") - 1
-                wanted = _wanted(fp, b.keys[doc], listed, [(x["bucket"], x["hits"]) for x in lists or []])
+                wanted = _wanted(fp, b.keys[doc], n, [(x["bucket"], x["hits"]) for x in lists or []])
                 if not len(wanted):
                     continue
                 hit = wanted[np.minimum(np.searchsorted(wanted, fp), len(wanted) - 1)] == fp
@@ -336,15 +351,22 @@ def removed_runs(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
                 out: list = []
                 if later.any():
                     _runs_row(out, block, first[later], last[later])
-                    yield _sent([(0, 1, *out[0])])
+                    yield _sent([(_home(block, n), 1, *out[0])])
                 keep = order[~later[order]]
                 lead = np.ascontiguousarray(rows[keep, SIDE : SIDE + K]).view(f"S{K}").ravel()
+                if len(hot):
+                    many = hot[np.minimum(np.searchsorted(hot, lead), len(hot) - 1)] == lead
+                    mine = keep[many][np.argsort(lead[many], kind="stable")]
+                    for i in range(0, len(mine), STEP):
+                        part = mine[i : i + STEP]
+                        yield from _hot_windows(rows[part], first[part], b.keys[doc[part]], block, n)
+                    keep, lead = keep[~many], lead[~many]
                 where = np.searchsorted(cuts, lead, "right") if len(cuts) else np.zeros(len(keep), np.int64)
                 by = np.lexsort((lead, where))
                 keep, where = keep[by], where[by]
-                edge = np.searchsorted(where, np.arange(n + 1))
+                edge = np.searchsorted(where, np.arange(ranges + 1))
                 sent = []
-                for i in range(n):
+                for i in range(ranges):
                     mine = keep[edge[i] : edge[i + 1]]
                     if len(mine):
                         body = np.int64(len(mine)).tobytes() + rows[mine][:, TURN].tobytes()
@@ -355,17 +377,24 @@ def removed_runs(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
 
     def match(batches):
         parts: list[tuple] = []
+        windows: list[tuple] = []
         for batch in batches:
             for kind, block, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if kind:
+                if kind == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([payload.as_py()], pa.binary())], names=["block", "runs"])
                     continue
                 raw = _unzip(payload.as_buffer())
                 m = int(np.frombuffer(raw, np.int64, 1)[0])
+                if kind == 2:
+                    at = 8 + m * SPAN
+                    windows.append((block, np.frombuffer(raw, np.uint8, m * SPAN, 8).reshape(m, SPAN), _from_planes(raw, m, at), _from_planes(raw, m, at + 8 * m)))
+                    continue
                 at = 8 + m * (WIDE + 2)
                 parts.append((block, np.frombuffer(raw, np.uint8, m * (WIDE + 2), 8).reshape(m, WIDE + 2)[:, BACK], _from_planes(raw, m, at), _from_planes(raw, m, at + 8 * m)))
         if parts:
             yield from _bucket_runs(parts)
+        if windows:
+            yield from _equal_windows(windows)
 
     joined = blocks.join(shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "hits")).alias("lists")), "block", "left")
     sent = joined.mapInArrow(send, "bucket int, kind byte, block long, payload binary")
@@ -377,6 +406,71 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "kind", "block", "payload"])
 
 
+def _home(block: int, n: int) -> int:
+    """A bucket for rows that only pass through."""
+    return (block + (block >> 32)) % n
+
+
+def _expanded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The single windows of families: whose, offset before the anchor, and starts after the family's first."""
+    far, near = rows[:, WIDE].astype(np.int64), rows[:, WIDE + 1].astype(np.int64)
+    many = far - near + 1
+    who = _runs(many)
+    after = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+    return who, far[who] - after, after
+
+
+def _window_hash(cols: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(cols[0]), np.uint64)
+    for col in cols:
+        h = (h ^ col) * _A[0]
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _hot_windows(rows: np.ndarray, first: np.ndarray, key: np.ndarray, block: int, n: int) -> Iterator[pa.RecordBatch]:
+    """Windows of hot families, to buckets by a hash of their bytes; those that an earlier document of the block holds go at once."""
+    who, offset, after = _expanded(rows)
+    windows = np.lib.stride_tricks.sliding_window_view(rows[:, :WIDE], SPAN, axis=1)[who, SIDE - offset]
+    cols = _symbols(windows)
+    place, key, where = first[who] + after, key[who], (_window_hash(cols) % np.uint64(n)).astype(np.int64)
+    order, new = multikey(cols)
+    same = _leads(order, new)
+    low = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, same, key)
+    later = key > low[same]
+    sent: list = []
+    if later.any():
+        out: list = []
+        _runs_row(out, block, place[later], place[later])
+        sent.append((_home(block, n), 1, *out[0]))
+    keep = order[~later[order]]
+    keep = keep[np.argsort(where[keep], kind="stable")]
+    edge = np.searchsorted(where[keep], np.arange(n + 1))
+    for i in range(n):
+        mine = keep[edge[i] : edge[i + 1]]
+        if len(mine):
+            sent.append((i, 2, block, _zip(np.int64(len(mine)).tobytes() + windows[mine].tobytes() + _planes(place[mine]) + _planes(key[mine]))))
+    yield _sent(sent)
+
+
+def _equal_windows(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Give back the windows of hot anchors that an earlier document holds."""
+    place, key = (np.concatenate([p[j] for p in parts]) for j in (2, 3))
+    order, new = multikey(_symbols(np.concatenate([p[1] for p in parts])))
+    same = _leads(order, new)
+    low = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, same, key)
+    later, at = key > low[same], 0
+    for block, _, mine, _ in parts:
+        gone = mine[later[at : at + len(mine)]]
+        at += len(mine)
+        if len(gone):
+            rows: list = []
+            _runs_row(rows, block, gone, gone)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([rows[0][1]], pa.binary())], names=["block", "runs"])
+
+
 def _bucket_runs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Sort a bucket's families, compare neighbours, and give back what goes."""
     names = [p[0] for p in parts]
@@ -403,15 +497,16 @@ def _bucket_runs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     if len(heads):
         members = np.flatnonzero(~later)
         members = members[np.argsort(group[members], kind="stable")]
-        step = 20_000
         edges = [0]
         while edges[-1] < len(heads):
-            e = min(len(heads), edges[-1] + step)
+            e = min(len(heads), edges[-1] + STEP)
             while e < len(heads) and number[e] == number[e - 1]:
                 e += 1
             edges.append(e)
         for a, e in zip(edges[:-1], edges[1:], strict=True):
-            gone += _window_runs(rows, heads[a:e], group, least, members, first, last)
+            times = -(-(e - a) // STEP)
+            for i in range(times):
+                gone += _window_runs(rows, heads[a:e], group, least, members, first, i, times)
     at = np.concatenate([g[0] for g in gone])
     lo, hi = np.concatenate([g[1] for g in gone]), np.concatenate([g[2] for g in gone])
     by = np.argsort(own[at], kind="stable")
@@ -423,13 +518,20 @@ def _bucket_runs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_zip(_planes(lo[mine]) + _planes(hi[mine] - lo[mine]))], pa.binary())], names=["block", "runs"])
 
 
-def _window_runs(rows, heads, group, least, members, first, last) -> list[tuple]:
-    """Windows of the heads that an earlier document holds, for all members of their families."""
-    far, near = rows[heads, WIDE].astype(np.int64), rows[heads, WIDE + 1].astype(np.int64)
-    many = far - near + 1
-    who = _runs(many)
-    offset = far[who] - (np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many))
+def _window_runs(rows, heads, group, least, members, first, part, parts) -> list[tuple]:
+    """Windows of the heads that an earlier document holds, for all members of their families; of several parts, those with one rest of the hash."""
     view = np.lib.stride_tricks.sliding_window_view(rows[:, :WIDE], SPAN, axis=1)
+    found: list[list] = [[], [], []]
+    for i in range(0, len(heads), STEP):
+        who, offset, after = _expanded(rows[heads[i : i + STEP]])
+        if parts > 1:
+            mine = _window_hash(_symbols(view[heads[i + who], SIDE - offset])) % np.uint64(parts) == part
+            who, offset, after = who[mine], offset[mine], after[mine]
+        for col, x in zip(found, (who + i, offset, after), strict=True):
+            col.append(x)
+    who, offset, after = (np.concatenate(x) for x in found)
+    if not len(who):
+        return []
     order, new = multikey(_symbols(view[heads[who], SIDE - offset]))
     same = _leads(order, new)
     owner = least[group[heads]][who]
@@ -443,7 +545,7 @@ def _window_runs(rows, heads, group, least, members, first, last) -> list[tuple]
     a, b = np.searchsorted(group[members], family, "left"), np.searchsorted(group[members], family, "right")
     times = b - a
     pick = members[np.repeat(a, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
-    place = first[pick] + np.repeat(far[who[out]] - offset[out], times)
+    place = first[pick] + np.repeat(after[out], times)
     return [(pick, place, place)]
 
 

@@ -144,6 +144,53 @@ def test_suffixes(spark):
     assert [tuple(int(c[i]) for c in cols) for i in order] == sorted(zip(*[c.tolist() for c in cols], strict=True)) and new.tolist() == [True, False, True, True, True]
 
 
+def test_suffixes_spread_a_hot_anchor(spark, monkeypatch):
+    rnd = random.Random(31)
+    line = "".join(rnd.choice("abcdefgh ") for _ in range(45))
+    around = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(40))
+    rows = [(i, around()[:35] + rnd.choice("xy") + line + rnd.choice("xyz") + around()) for i in range(3000)]
+    rows += [(4000 + i, rows[i][1][:70]) for i in range(0, 900, 3)]
+    sent, deal = [], type(spark.range(0)).repartitionById
+    monkeypatch.setattr(type(spark.range(0)), "repartitionById", lambda df, *a: (sent.append(df), deal(df, *a))[1])
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        assert sorted(tuple(r) for r in remove_repeats(df).collect()) == brute.repeats(rows)
+        sizes = [r.n for r in sent[-1].where("kind <> 1").groupBy("bucket").agg(F.sum(F.length("payload")).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert max(sizes) < 0.2 * sum(sizes)
+
+
+def test_suffixes_compare_a_bounded_number_of_windows(monkeypatch):
+    from epiframes.llm import suffixes
+
+    rng = np.random.default_rng(32)
+    n, wide = 50_000, suffixes.WIDE
+    rows = np.zeros((n, wide + 2), np.uint8)
+    rows[:, :wide] = rng.integers(97, 100, (n, wide), dtype=np.uint8)
+    rows[:, suffixes.SIDE : suffixes.SIDE + suffixes.K + 18] = 120
+    rows[:, wide] = suffixes.SIDE
+    most, sort = [], suffixes.multikey
+    monkeypatch.setattr(suffixes, "multikey", lambda cols: (most.append(len(cols[0])), sort(cols))[1])
+    first, key = np.arange(n) * 100, np.arange(n)
+    got = list(suffixes._bucket_runs([(1, rows, first, key)]))
+    gone = np.zeros(100 * n, bool)
+    for batch in got:
+        for x in batch.column(1).to_pylist():
+            raw = suffixes._unzip(x)
+            a = suffixes._from_planes(raw, len(raw) // 16, 0)
+            more = suffixes._from_planes(raw, len(raw) // 16, len(raw) // 2)
+            for j, m in zip(a.tolist(), more.tolist(), strict=True):
+                gone[j : j + m + 1] = True
+    seen: dict = {}
+    for i in range(n):
+        for j in range(suffixes.SIDE + 1):
+            assert gone[100 * i + j] == (seen.setdefault(rows[i, j : j + suffixes.SPAN].tobytes(), i) < i)
+    assert max(most) < 1.2 * 27 * 20_000
+
+
 def test_personal_data(spark):
     parts = ["a@b.c", "_x@d.fr", "@", ".", "1.2.3.4", "256.1.1.1", "0001.2.3.4", "4111111111111111", "4111 1111 1111 1111", "-", " ", "+1 (234) 567-8901", "+", "12", "é", 'token = "', "04dbebab91ab85687d33eeaaf9ac699e1188f962", '"', "x", "字", "a.b%c@d-e.co.uk", "+44 20 7946 0958..", "\n", "🙂"]
     texts = [*made(parts, 500, 14, 5), "a" * 20000, "1" * 20000, "1 " * 9000, "a@" * 6000, "1." * 6000, None, ""]
