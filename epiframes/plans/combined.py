@@ -491,6 +491,15 @@ def _(spark, d):
     return wide.unpivot(["model"], ["0", "1"], "location", "wis")
 
 
+_PLACES = ["0", "1", "2", "3"]
+
+
+@query("V06_score_long_all", f"WITH {SCORES} " + " UNION ALL ".join(f"SELECT model, '{p}' AS location, round(sum(CASE WHEN location = '{p}' THEN wis END), 3) AS wis FROM scores GROUP BY model" for p in _PLACES))
+def _(spark, d):
+    wide = scores(spark, d).groupBy("model").pivot("location", _PLACES).agg(F.round(F.sum("wis"), 3))
+    return wide.unpivot(["model"], _PLACES, "location", "wis")
+
+
 # masks
 
 

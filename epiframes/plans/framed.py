@@ -262,11 +262,19 @@ def _(spark, d):
     return fr.main_origin(fr.build_frames(observations(spark, d), axis(spark, d), MIX, "zeros"))
 
 
-@query("F17_frames_to_tensor", f"""WITH {FRAMES}, {_OWN}, {_padded('own')}, c AS (SELECT frame_id, season_week - 1 AS w, CAST(location_code AS INTEGER) - 1 AS p, value FROM padded)
-SELECT frame_id, CAST(w AS INTEGER) AS w, list(coalesce(value, 0) ORDER BY p) AS v FROM (SELECT x.frame_id, x.w, x.p, c.value FROM (SELECT frame_id, w, unnest(range(0, 64)) AS p FROM (SELECT DISTINCT frame_id, unnest(range(0, 64)) AS w FROM own)) x LEFT JOIN c ON c.frame_id = x.frame_id AND c.w = x.w AND c.p = x.p) WHERE w IN (0, 20, 52, 63) GROUP BY frame_id, w""")
+_F17 = f"""WITH {FRAMES}, {_OWN}, {_padded('own')}, c AS (SELECT frame_id, season_week - 1 AS w, CAST(location_code AS INTEGER) - 1 AS p, value FROM padded)
+SELECT frame_id, CAST(w AS INTEGER) AS w, list(coalesce(value, 0) ORDER BY p) AS v FROM (SELECT x.frame_id, x.w, x.p, c.value FROM (SELECT frame_id, w, unnest(range(0, 64)) AS p FROM (SELECT DISTINCT frame_id, unnest(range(0, 64)) AS w FROM own)) x LEFT JOIN c ON c.frame_id = x.frame_id AND c.w = x.w AND c.p = x.p) WHERE w IN (0, 20, 52, 63) GROUP BY frame_id, w"""
+
+
+@query("F17_frames_to_tensor", _F17)
 def _(spark, d):
+    return tensor_rows(spark, d).where(F.col("w").isin(0, 20, 52, 63))
+
+
+@query("F17_frames_to_tensor_all", _F17.replace(" WHERE w IN (0, 20, 52, 63)", ""))
+def tensor_rows(spark, d):
     t = tn.frames_to_tensor(fr.pad_weeks(_own(spark, d), axis(spark, d)), placed_axis(spark, d))
-    return t.select("frame_id", F.posexplode("tensor").alias("w", "v")).where(F.col("w").isin(0, 20, 52, 63))
+    return t.select("frame_id", F.posexplode("tensor").alias("w", "v"))
 
 
 def placed_axis(spark, d):
@@ -323,8 +331,23 @@ def _(spark, d):
 _CELLS = f"{FRAMES}, {_OWN}, cells AS (SELECT frame_id, location_code, season_week - 1 AS week_idx, value FROM own WHERE frame_id NOT LIKE '%copy%')"
 
 
-def cells(spark, d):
-    return _own(spark, d).where("frame_id NOT LIKE '%copy%'").select("frame_id", "location_code", (F.col("season_week") - 1).alias("week_idx"), "value")
+_FIRST = " WHERE frame_id NOT LIKE '%copy%'"
+
+
+def every_cell(spark, d):
+    return _own(spark, d).select("frame_id", "location_code", (F.col("season_week") - 1).alias("week_idx"), "value")
+
+
+def on_cells(name, sql=None):
+    """Register a transform of every frame as name_all; as name, with a twin, of the frames that are not copies."""
+
+    def keep(fn):
+        if sql is None:
+            return query(name)(lambda spark, d: fn(every_cell(spark, d)))
+        query(name, sql)(lambda spark, d: fn(every_cell(spark, d).where("frame_id NOT LIKE '%copy%'")))
+        return query(f"{name}_all", sql.replace(_FIRST, ""))(lambda spark, d: fn(every_cell(spark, d)))
+
+    return keep
 
 
 def _u(seed: str, keys: str) -> str:
@@ -337,44 +360,44 @@ def _(spark, d):
     return out.withColumn("std", F.round("std", 3))
 
 
-@query("M01_scale", f"WITH {_CELLS} SELECT frame_id, round(sum(value * 2.5), 4) AS scaled, round(sum(value * 2.5 / 2.5), 4) AS back FROM cells GROUP BY ALL")
-def _(spark, d):
+@on_cells("M01_scale", f"WITH {_CELLS} SELECT frame_id, round(sum(value * 2.5), 4) AS scaled, round(sum(value * 2.5 / 2.5), 4) AS back FROM cells GROUP BY ALL")
+def _(c):
     v = F.col("value")
-    return r6(cells(spark, d).groupBy("frame_id").agg(F.sum(tr.scale(v, 2.5)).alias("scaled"), F.sum(tr.unscale(tr.scale(v, 2.5), 2.5)).alias("back")))
+    return r6(c.groupBy("frame_id").agg(F.sum(tr.scale(v, 2.5)).alias("scaled"), F.sum(tr.unscale(tr.scale(v, 2.5), 2.5)).alias("back")))
 
 
-@query("M02_sqrt", f"WITH {_CELLS} SELECT frame_id, location_code, week_idx, round(sqrt(value), 4) AS root, round(sqrt(value) * sqrt(value), 4) AS back FROM cells")
-def _(spark, d):
-    return r6(cells(spark, d).select("frame_id", "location_code", "week_idx", F.sqrt("value").alias("root"), tr.square(F.sqrt("value")).alias("back")))
+@on_cells("M02_sqrt", f"WITH {_CELLS} SELECT frame_id, location_code, week_idx, round(sqrt(value), 4) AS root, round(sqrt(value) * sqrt(value), 4) AS back FROM cells")
+def _(c):
+    return r6(c.select("frame_id", "location_code", "week_idx", F.sqrt("value").alias("root"), tr.square(F.sqrt("value")).alias("back")))
 
 
-@query("M03_shift", f"WITH {_CELLS} SELECT frame_id, sum(value - 1) AS moved, sum(value - 1 + 1) AS back FROM cells GROUP BY ALL")
-def _(spark, d):
+@on_cells("M03_shift", f"WITH {_CELLS} SELECT frame_id, sum(value - 1) AS moved, sum(value - 1 + 1) AS back FROM cells GROUP BY ALL")
+def _(c):
     v = F.col("value")
-    return cells(spark, d).groupBy("frame_id").agg(F.sum(tr.shift(v)).alias("moved"), F.sum(tr.unshift(tr.shift(v))).alias("back"))
+    return c.groupBy("frame_id").agg(F.sum(tr.shift(v)).alias("moved"), F.sum(tr.unshift(tr.shift(v))).alias("back"))
 
 
-@query("M04_roll_in_time", f"WITH {_CELLS} SELECT frame_id, location_code, CAST((week_idx + 20) % 64 AS INTEGER) AS week_idx, value FROM cells")
-def _(spark, d):
-    return tr.roll_in_time(cells(spark, d), 20)
+@on_cells("M04_roll_in_time", f"WITH {_CELLS} SELECT frame_id, location_code, CAST((week_idx + 20) % 64 AS INTEGER) AS week_idx, value FROM cells")
+def _(c):
+    return tr.roll_in_time(c, 20)
 
 
 _SH = f"CAST(-15 + floor({_u('7', 'frame_id')} * 30) AS INTEGER)"
 
 
-@query("M05_random_roll_in_time", f"WITH {_CELLS} SELECT frame_id, location_code, CAST((week_idx + {_SH} + 64) % 64 AS INTEGER) AS week_idx, value FROM cells")
-def _(spark, d):
-    return tr.random_roll(cells(spark, d), -15, 15, 7)
+@on_cells("M05_random_roll_in_time", f"WITH {_CELLS} SELECT frame_id, location_code, CAST((week_idx + {_SH} + 64) % 64 AS INTEGER) AS week_idx, value FROM cells")
+def _(c):
+    return tr.random_roll(c, -15, 15, 7)
 
 
-@query("M06_random_pad_in_time", f"WITH {_CELLS}, s AS (SELECT frame_id, location_code, {_SH} AS s, CAST((week_idx + {_SH} + 64) % 64 AS INTEGER) AS week_idx, value FROM cells) SELECT frame_id, location_code, week_idx, CASE WHEN (s > 0 AND week_idx < s) OR (s < 0 AND week_idx >= 64 + s) THEN 0 ELSE value END AS value FROM s")
-def _(spark, d):
-    return tr.random_pad(cells(spark, d), -15, 15, 7)
+@on_cells("M06_random_pad_in_time", f"WITH {_CELLS}, s AS (SELECT frame_id, location_code, {_SH} AS s, CAST((week_idx + {_SH} + 64) % 64 AS INTEGER) AS week_idx, value FROM cells) SELECT frame_id, location_code, week_idx, CASE WHEN (s > 0 AND week_idx < s) OR (s < 0 AND week_idx >= 64 + s) THEN 0 ELSE value END AS value FROM s")
+def _(c):
+    return tr.random_pad(c, -15, 15, 7)
 
 
-@query("M07_random_scale", f"WITH {_CELLS} SELECT frame_id, location_code, week_idx, round(value * (0.1 + {_u('7', 'frame_id')} * 1.8), 4) AS value FROM cells")
-def _(spark, d):
-    return r6(tr.random_scale(cells(spark, d), 0.1, 1.9, 7))
+@on_cells("M07_random_scale", f"WITH {_CELLS} SELECT frame_id, location_code, week_idx, round(value * (0.1 + {_u('7', 'frame_id')} * 1.8), 4) AS value FROM cells")
+def _(c):
+    return r6(tr.random_scale(c, 0.1, 1.9, 7))
 
 
 _K3 = "frame_id || '|' || week_idx || '|' || location_code"
@@ -384,24 +407,24 @@ def _z(seed: str) -> str:
     return f"(sqrt(-2 * ln(greatest({_u(seed + 'a', _K3)}, 1e-12))) * cos(2 * pi() * {_u(seed + 'b', _K3)}))"
 
 
-@query("M08_random_noise", f"WITH {_CELLS} SELECT frame_id, location_code, week_idx, round(value * (1 + 0.1 * {_z('7')}), 3) AS value FROM cells")
-def _(spark, d):
-    return tr.random_noise(cells(spark, d), 0.1, 7).withColumn("value", F.round("value", 3))
+@on_cells("M08_random_noise", f"WITH {_CELLS} SELECT frame_id, location_code, week_idx, round(value * (1 + 0.1 * {_z('7')}), 3) AS value FROM cells")
+def _(c):
+    return tr.random_noise(c, 0.1, 7).withColumn("value", F.round("value", 3))
 
 
-@query("M09_skewed_noise")
-def _(spark, d):
-    return r6(tr.skewed_noise(cells(spark, d), 4.0, 0.9, 0.2, 7))
+@on_cells("M09_skewed_noise")
+def _(c):
+    return r6(tr.skewed_noise(c, 4.0, 0.9, 0.2, 7))
 
 
-@query("M10_poisson")
-def _(spark, d):
-    return tr.poisson(cells(spark, d), 7)
+@on_cells("M10_poisson")
+def _(c):
+    return tr.poisson(c, 7)
 
 
-@query("M11_enrich_recipes")
-def _(spark, d):
-    return r6(tr.enrich(cells(spark, d), "PoisPadScaleSmall", 7))
+@on_cells("M11_enrich_recipes")
+def _(c):
+    return r6(tr.enrich(c, "PoisPadScaleSmall", 7))
 
 
 _ST = "st AS (SELECT max(value) AS most, avg(value) AS mean, stddev_pop(value) AS std FROM cells)"
@@ -411,17 +434,15 @@ def _stats(c):
     return c.agg(F.max("value").alias("most"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
-@query("M12_transform_recipes", f"WITH {_CELLS}, {_ST} SELECT frame_id, location_code, week_idx, round(2 * value / most, 4) AS lins, round(2 * sqrt(value / most), 4) AS root, round((ln(1 + value) - ln(mean)) / ln(std), 4) AS logzs, round((value - mean) / std, 4) AS linszs FROM cells, st")
-def _(spark, d):
-    c = cells(spark, d)
+@on_cells("M12_transform_recipes", f"WITH {_CELLS}, {_ST} SELECT frame_id, location_code, week_idx, round(2 * value / most, 4) AS lins, round(2 * sqrt(value / most), 4) AS root, round((ln(1 + value) - ln(mean)) / ln(std), 4) AS logzs, round((value - mean) / std, 4) AS linszs FROM cells, st")
+def _(c):
     s = [F.col("most"), F.col("mean"), F.col("std")]
     j = c.join(F.broadcast(_stats(c)))
     return r6(j.select("frame_id", "location_code", "week_idx", *[tr.forward(n, F.col("value"), *s).alias(a) for n, a in (("Lins", "lins"), ("Sqrt", "root"), ("LogZs", "logzs"), ("LinsZs", "linszs"))]))
 
 
-@query("M13_roundtrip_check", f"WITH {_CELLS} SELECT unnest(['Lins', 'Sqrt', 'LogZs', 'LinsZs']) AS transform, true AS ok FROM (SELECT count(*) FROM cells)")
-def _(spark, d):
-    c = cells(spark, d)
+@on_cells("M13_roundtrip_check", f"WITH {_CELLS} SELECT unnest(['Lins', 'Sqrt', 'LogZs', 'LinsZs']) AS transform, true AS ok FROM (SELECT count(*) FROM cells)")
+def _(c):
     return tr.roundtrip_check(c, _stats(c)).select("transform", (F.col("largest") < 1e-5).alias("ok"))
 
 
