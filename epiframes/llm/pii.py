@@ -33,6 +33,8 @@ CANDIDATES = {
     "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+",
     "id_number": r"(?<![0-9A-Za-z.+-])[0-9]{7,13}+(?![0-9A-Za-z])",
 }
+#: What a text must hold for a kind's pattern to be looked for: no match of the pattern is without it.
+GUARDS = {"secret": "[A-Za-z0-9_/+=-]{20}", "id_number": "[0-9]{7}"}
 #: Words that announce a secret or an identity number.
 GAZETTEER = "token|key|secret|password|passwd|apikey|bearer|auth|credential|ssn|passport|account|iban|tax|licence|license"
 KINDS = (*BASE, *CANDIDATES)
@@ -158,8 +160,8 @@ def candidate_spans(text: Column, base: Column) -> Column:
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(code).alias("kind"), F.array(*votes(kind, s["match"], before, after)).alias("votes"), F.array(*features(kind, s["match"], before, after)).alias("features"))
 
         free = F.filter(located(text, pattern), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        parts.append(_shaped(free, shaped).cast(_SPAN))
-    return F.when(text.rlike("[0-9]"), F.concat(*parts)).otherwise(F.array().cast(_SPAN))
+        parts.append(F.when(text.rlike(GUARDS[kind]), _shaped(free, shaped).cast(_SPAN)).otherwise(F.array().cast(_SPAN)))
+    return F.concat(*parts)
 
 
 def _shaped(free: Column, fn) -> Column:

@@ -21,7 +21,7 @@ from epiframes.llm.components import components
 from epiframes.llm.decontaminate import decontaminate
 from epiframes.llm.jaccard import allocate, band_bounds, near_duplicates
 from epiframes.llm.pieces import PieceCoder, encode_decode
-from epiframes.llm.pii import BASE, digest, masked, personal_data, reliabilities
+from epiframes.llm.pii import _SPAN, BASE, KINDS, candidate_spans, digest, masked, personal_data, reliabilities
 from epiframes.llm.quality import quality
 from epiframes.llm.sharding import hilbert_index, hilbert_shards, write_shards
 from epiframes.llm.suffixes import multikey, remove_repeats
@@ -206,6 +206,14 @@ def test_personal_data(spark):
     assert 0.3 < prior < 0.7 and table[0][1][1] > table[0][1][0]
 
 
+def test_personal_data_candidates_need_no_digit_elsewhere(spark):
+    secret = 'password = "abcdefghijklmnopqrstuvwxyzABCD" '
+    texts = [secret, secret + "7", "7 and 12345678 here", "none of them here", "a" * 19, "1234567"]
+    df = frame(spark, texts).withColumn("spans", candidate_spans(F.col("text"), F.array().cast(_SPAN)))
+    got = {r.doc_id: [(KINDS[s.kind], s.start, s.end) for s in r.spans] for r in df.collect()}
+    assert got == {0: [("secret", 12, 42)], 1: [("secret", 12, 42)], 2: [("id_number", 6, 14)], 3: [], 4: [], 5: [("id_number", 0, 7)]}
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
