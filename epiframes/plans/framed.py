@@ -93,6 +93,11 @@ def _(spark, d):
 def _(spark, d):
     return days(spark, d).where("d BETWEEN '1996-12-29' AND '1997-03-01'").withColumn("horizon", se.horizon_of(F.lit("1997-01-02").cast("date"), F.col("d")))
 
+@query("D12_horizon_of_all", f"WITH {_DAYS} SELECT d, CAST(ceil((d - DATE '1997-01-04') / 7.0) AS INTEGER) AS horizon FROM days")
+def _(spark, d):
+    return days(spark, d).withColumn("horizon", se.horizon_of(F.lit("1997-01-02").cast("date"), F.col("d")))
+
+
 
 # frames
 

@@ -340,3 +340,31 @@ def _(spark, d):
 def _(spark, d):
     q = hub(spark, d).where("target_end_date BETWEEN '1996-12-28' AND '1997-02-15'").withColumn("forecast_date", F.lit("1997-01-02").cast("date")).withColumnRenamed("output_type_id", "quantile")
     return r6(fc.export_hub_2022(q))
+
+
+_WHOLE = f"""WITH {HUB}, n AS (SELECT model, target_end_date, sample_id, sum(value) AS value FROM samples GROUP BY ALL),
+us AS (SELECT model, target_end_date, unnest({QS}) AS q, unnest(quantile_cont(value, {QS})) AS value FROM n GROUP BY model, target_end_date),
+c AS (SELECT location, target_end_date, output_type_id AS q, value, CAST(((target_end_date - DATE '1995-01-07') // 7) % 4 AS INTEGER) AS h FROM hub
+  UNION ALL SELECT 'US', target_end_date, q, value, CAST(((target_end_date - DATE '1995-01-07') // 7) % 4 AS INTEGER) FROM us),
+f AS (SELECT *, CAST(target_end_date - 7 * h AS DATE) AS f FROM c)"""
+
+
+def whole_hub(spark, d, reference):
+    """Quantiles of all places and of their national sums, for each of the hub's own reference dates.
+
+    Values are rounded to five places: quantiles of cents are multiples of 0.00005, so there are no ties.
+    """
+    own = hub(spark, d).select("target_end_date", "reference_date", "location", F.col("output_type_id").alias("quantile"), "value")
+    us = fc.national_quantiles(samples(spark, d), ["model", "target_end_date"])
+    us = us.join(own.select("target_end_date", "reference_date").distinct(), "target_end_date")
+    return own.unionByName(us.select(*own.columns)).withColumnRenamed("reference_date", reference)
+
+
+@query("H01_export_hub_2023_all", f"{_WHOLE} SELECT f AS reference_date, 'wk inc flu hosp' AS target, h AS horizon, target_end_date, location, 'quantile' AS output_type, rtrim(printf('%.3f', q), '0') AS output_type_id, round(value, 5) AS value FROM f")
+def _(spark, d):
+    return fc.export_hub_2023(whole_hub(spark, d, "reference_date")).withColumn("value", F.round("value", 5))
+
+
+@query("H02_export_hub_2022_all", f"{_WHOLE} SELECT f AS forecast_date, target_end_date, location, 'quantile' AS type, printf('%.3f', q) AS quantile, round(value, 5) AS value, printf('%d wk ahead inc flu hosp', h + 1) AS target FROM f")
+def _(spark, d):
+    return fc.export_hub_2022(whole_hub(spark, d, "forecast_date")).withColumn("value", F.round("value", 5))

@@ -41,3 +41,11 @@ def test_whole_queries(spark, name):
 def test_transforms_without_twins_take_copies(spark):
     for name in ("M09_skewed_noise", "M10_poisson", "M11_enrich_recipes"):
         assert __spark_entry__.queries()[name](spark, DATA).where("frame_id LIKE '%copy%'").count() > 0
+
+
+@pytest.mark.parametrize("name", ["D12_horizon_of_all", "H01_export_hub_2023_all", "H02_export_hub_2022_all"])
+def test_whole_exports(spark, name):
+    got, want = both(spark, name)
+    assert canonical(got) == canonical(want) and got
+    assert len({r[0] for r in got}) > 50
+    assert name.startswith("D12") or {"US", "0", "3"} <= {x for r in got for x in r if isinstance(x, str)}
