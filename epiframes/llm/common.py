@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Rows of a few longs that may be broadcast: some 50 MB in an executor.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -26,13 +28,21 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder under the cluster's spark.checkpoint.dir; where that is unset, a local one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master.partition("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A hint to broadcast a written table, if it has at most ``BROADCAST_ROWS`` rows; else Spark joins as it sees fit."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut lineage: write to the shared folder and read again, so lost executors cost no recomputation."""
     path = shared_dir(df.sparkSession)

@@ -40,3 +40,13 @@ def test_pipeline(spark, tmp_path):
     assert all(kept["personal_data"][i].text == texts[i] for i in range(20))
     assert set(kept["sentencepiece"]) == {*range(20), 23}
     assert all(list(r.asDict())[:5] == list(corpus_pipeline.COLUMNS) for k in list(kept)[:4] for r in kept[k].values())
+
+
+def test_near_duplicate_stage_with_repeated_ids_and_rows(spark, tmp_path):
+    near = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, near), (7, near), (7, "a clean text that shares its id with a copy of another one"), (9, "the same row twice is one document"), (9, "the same row twice is one document"), (None, near), (None, near), (4, None), (4, None), (5, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, class string, first int"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "c", 1) for i, t in rows], schema)
+    left = sorted((r.doc_id or -1, r.text or "") for r in corpus_pipeline.jaccard_join(spark, df, str(tmp_path)).collect())
+    want = [(-1, near), (-1, near), (3, near), (4, ""), (4, ""), (5, ""), (7, rows[2][1]), (9, rows[3][1])]
+    assert left == want

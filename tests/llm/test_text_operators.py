@@ -279,6 +279,38 @@ def test_jaccard(spark, width, num):
     assert all(p.whole + 2 * p.delete >= p.budget + 1 + p.spare and p.spare <= p.whole for p in plans)
 
 
+def _edited(rnd, base, edits, tag):
+    w = list(base)
+    for k in rnd.sample(range(len(w)), edits):
+        w[k] = f"{tag}x{k}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize(("width", "num"), [(4, 85), (5, 80)])
+def test_jaccard_of_a_cluster_around_a_hub_and_of_a_common_passage(spark, monkeypatch, width, num):
+    from epiframes.llm import jaccard
+
+    rnd = random.Random(6)
+    vocab = [f"v{i}" for i in range(3000)]
+    hub, passage = rnd.choices(vocab, k=150), rnd.choices(vocab, k=45)
+    texts = [" ".join(hub)] + [_edited(rnd, hub, rnd.choice([1, 2, 2, 3, 3, 4, 4, 5, 6, 8]), f"t{i}") for i in range(500)]
+    texts += [_edited(rnd, texts[i].split(), rnd.choice([1, 2, 3]), f"u{i}") for i in range(1, 500, 5)]  # copies of copies
+    texts += [" ".join([*rnd.choices(vocab, k=rnd.randint(2, 90)), *passage, *rnd.choices(vocab, k=rnd.randint(2, 90))]) for _ in range(500)]
+    texts += [" ".join([*passage, *rnd.choices(vocab, k=rnd.randint(1, 12))]) for _ in range(200)]
+    met = []
+    count = jaccard._met_in_prefix
+    monkeypatch.setattr(jaccard, "_met_in_prefix", lambda *a: (met.append(count(*a)), met[-1])[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, texts), width, num).collect()}
+    assert got == brute.jaccard(list(enumerate(texts)), width, num)
+    assert met[0].count() < 3 * len(texts)
+
+
+def test_jaccard_names_rows_by_id_and_text(spark):
+    rows = [(3, "a b c d e f g h"), (7, "a b c d e f g h"), (7, "other words that are here and clean"), (9, "one two three four five six"), (9, "one two three four five six"), (None, "a b c d e f g h"), (5, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows_too=True).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.first) for r in got) == [(-1, 4, True), (3, 4, True), (5, 0, True), (7, 3, True), (7, 4, False), (9, 2, True), (9, 2, True)]
+
+
 def test_jaccard_empty_and_null_keys(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id) for r in near_duplicates(df).collect()) == [(-1, None), (3, 3), (4, 3)]
