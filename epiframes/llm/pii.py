@@ -11,6 +11,7 @@ reaches the driver are counts by vote and feature pattern, whose number is bound
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -38,27 +39,87 @@ GUARDS = {"secret": "[A-Za-z0-9_/+=-]{20}", "id_number": "[0-9]{7}"}
 #: Words that announce a secret or an identity number.
 GAZETTEER = "token|key|secret|password|passwd|apikey|bearer|auth|credential|ssn|passport|account|iban|tax|licence|license"
 KINDS = (*BASE, *CANDIDATES)
+#: Values that are folded at a time, characters of a page, and base spans that candidates are compared with one by one.
+BLOCK, PAGE, FEW = 512, 1024, 16
 _SPAN = "array<struct<start:int,end:int,kind:int,votes:array<int>,features:array<int>>>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches as structs (start, end, match): lengths of the matches and of the gaps between them add up."""
+def running(values: Column, merge: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """What ``merge`` makes of 0 and all earlier values, for each value of an int array.
+
+    Arrays are folded in blocks of ``BLOCK`` and the blocks' results in turn, so the work is linear.
+    """
+
+    def folded(v: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(v, zero, step, lambda acc: acc["out"])
+
+    def blocked(v: Column, level: int) -> Column:
+        if level == 1:
+            return folded(v)
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / BLOCK).cast("int")), lambda i: F.slice(v, i * BLOCK + 1, F.lit(BLOCK)))
+
+        def joined(b: Column) -> Column:
+            totals = F.transform(b, lambda x: F.aggregate(x, F.lit(0), merge))
+            return let(totals, lambda t: F.flatten(F.zip_with(b, blocked(t, level - 1), lambda x, at: F.transform(folded(x), lambda y: merge(at, y)))))
+
+        return F.when(F.size(v) <= BLOCK, folded(v)).otherwise(let(blocks, joined))
+
+    return blocked(values, levels)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def located(text: Column, pattern: str, contexts: bool = False) -> Column:
+    """All matches as structs (start, end, match): lengths of the matches and of the gaps between them add up.
+
+    With ``contexts`` also the 24 characters before and the 8 after: four gaps and three matches of at least 7
+    characters hold the former, a gap and a match the latter.
+    """
 
     def place(m: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+        def with_gaps(gaps: Column) -> Column:
+            lengths = F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, x: F.length(g) + F.length(x))
+
+            def made(at: Column) -> Column:
+                def one(x: Column, i: Column) -> Column:
+                    start = at[i] + F.length(gaps[i])
+                    fields = [start.alias("start"), (start + F.length(x)).alias("end"), x.alias("match")]
+                    if contexts:
+                        earlier = [y for k in (3, 2, 1) for y in (F.coalesce(F.get(gaps, i - k), F.lit("")), F.coalesce(F.get(m, i - k), F.lit("")))]
+                        fields += [F.right(F.concat(*earlier, gaps[i]), F.lit(24)).alias("before"), F.left(F.concat(gaps[i + 1], F.coalesce(F.get(m, i + 1), F.lit(""))), F.lit(8)).alias("after")]
+                    return F.struct(*fields)
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["match"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
+                return F.transform(m, one)
 
-        gaps = F.split(text, pattern, -1)
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, x: F.struct(g.alias("gap"), x.alias("match")))
-        return F.when(F.size(m) == 0, zero["out"]).otherwise(F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
+            return let(running(lengths, _sum), made)
+
+        kind = "array<struct<start:int,end:int,match:string" + (",before:string,after:string>>" if contexts else ">>")
+        return F.when(F.size(m) == 0, F.array().cast(kind)).otherwise(let(F.split(text, pattern, -1), with_gaps))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
+def paged(text: Column) -> Column:
+    """The text in pages of ``PAGE`` characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def cut(pages: Column, start: Column, end: Column) -> Column:
+    """Characters from start to end: only pages that hold them are read."""
+    page = lambda i: F.coalesce(F.get(pages, i), F.lit(""))
+    p, q = (start / PAGE).cast("int"), (end / PAGE).cast("int")
+    across = F.concat(F.substring(page(p), start % PAGE + 1, F.lit(PAGE)), F.array_join(F.slice(pages, p + 2, F.greatest(q - p - 1, F.lit(0))), ""), F.substring(page(q), F.lit(1), end % PAGE))
+    return F.when(p == q, F.substring(page(p), start % PAGE + 1, end - start)).otherwise(across)
+
+
 def luhn(digits: Column) -> Column:
     def value(c: Column, i: Column) -> Column:
         v = c.cast("int") * (1 + i % 2)
@@ -148,22 +209,43 @@ def features(kind: str, match: Column, before: Column, after: Column) -> list[Co
     ]
 
 
-def candidate_spans(text: Column, base: Column) -> Column:
-    """Candidates that overlap no base span, with votes and features."""
+def candidate_spans(text: Column, base: Column, marks: Column | None = None) -> Column:
+    """Candidates that overlap no base span, with votes and features.  ``marks`` serves texts with many base spans."""
     parts = []
     for kind, pattern in CANDIDATES.items():
         code = KINDS.index(kind)
 
         def shaped(s: Column, kind: str = kind, code: int = code) -> Column:
-            before = F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"]))
-            after = F.substring(text, s["end"] + 1, F.lit(8))
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(code).alias("kind"), F.array(*votes(kind, s["match"], before, after)).alias("votes"), F.array(*features(kind, s["match"], before, after)).alias("features"))
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(code).alias("kind"), F.array(*votes(kind, s["match"], s["before"], s["after"])).alias("votes"), F.array(*features(kind, s["match"], s["before"], s["after"])).alias("features"))
 
-        free = F.filter(located(text, pattern), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        found = located(text, pattern, contexts=True)
+        free = _without(found, base) if marks is None else let(found, lambda x: F.when(F.size(base) <= FEW, _without(x, base)).otherwise(_outside(x, marks)))
         parts.append(F.when(text.rlike(GUARDS[kind]), _shaped(free, shaped).cast(_SPAN)).otherwise(F.array().cast(_SPAN)))
     return F.concat(*parts)
 
 
+def _without(found: Column, base: Column) -> Column:
+    return F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+
+def _outside(found: Column, marks: Column) -> Column:
+    return F.filter(found, lambda s: ~F.contains(cut(marks, s["start"], s["end"]), F.lit("1")))
+
+
+def marked(base: Column) -> Column:
+    """Pages with a character for each one of the text: 1 in base spans, else 0."""
+
+    def line(spans: Column, far: Column) -> Column:
+        def mark(s: Column, i: Column) -> Column:
+            gap, own = F.greatest(s["start"] - far[i], F.lit(0)), F.greatest(s["end"] - F.greatest(s["start"], far[i]), F.lit(0))
+            return F.concat(F.repeat(F.lit("0"), gap), F.repeat(F.lit("1"), own))
+
+        return paged(F.array_join(F.transform(spans, mark), ""))
+
+    ordered = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    return let(ordered, lambda spans: let(running(F.transform(spans, lambda s: s["end"]), _most), lambda far: line(spans, far)))
+
+
 def _shaped(free: Column, fn) -> Column:
     return F.transform(free, lambda s: fn(s))
 
@@ -220,11 +302,14 @@ def personal_data(docs: DataFrame, key: list[str], text: str = "text", threshold
     """Per row: key columns and ``spans``, structs (start, end, kind) by start, then kind.
 
     Offsets are code points, the end exclusive.  Null and empty texts have no spans; repeated rows get
-    the same spans; with no candidates at all only base spans are given.
+    the same spans; with no candidates at all only base spans are given.  Spans that start together are in the
+    order of their kinds.  Very long texts are read whole, in time linear in the text and its matches.  An
+    empty table gives none; columns that are not named in ``key`` are left out.
     """
     rows = docs.select(*key, text_or_empty(text).alias("_text"))
-    found = rows.select(*key, let(F.col("_text"), lambda t: let(base_spans(t), lambda b: F.concat(b, candidate_spans(t, b)))).alias("spans"))
-    found = written(found)
+    found = rows.withColumn("_base", base_spans(F.col("_text")))
+    found = found.withColumn("_marks", F.when(F.size("_base") > FEW, marked(F.col("_base"))))
+    found = written(found.select(*key, F.concat("_base", candidate_spans(F.col("_text"), F.col("_base"), F.col("_marks"))).alias("spans")))
     seen = found.select(F.explode("spans").alias("s")).where(F.col("s.kind") >= len(BASE)).groupBy(F.col("s.votes").alias("votes"), F.col("s.features").alias("features")).agg(F.count("*").alias("n"))
     counted = [(tuple(r.votes), tuple(r.features), r.n) for r in seen.collect()]
     by_vote: dict[tuple[int, ...], int] = {}
@@ -252,12 +337,16 @@ def digest(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span (overlaps joined) replaced by its kind in angle brackets."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     name = F.lit([f"<{k}>" for k in KINDS])
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        new = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], gap, name[s["kind"]])).otherwise(acc["out"]).alias("out"))
+    def replaced(pages: Column) -> Column:
+        def parts(far: Column) -> Column:
+            def part(s: Column, i: Column) -> Column:
+                return F.when(s["start"] >= far[i], F.concat(cut(pages, far[i], s["start"]), name[s["kind"]])).otherwise(F.lit(""))
+
+            rest = cut(pages, F.greatest(F.element_at(far, -1), F.element_at(spans, -1)["end"]), F.length(text))
+            return F.array_join(F.concat(F.transform(spans, part), F.array(rest)), "")
+
+        return let(running(F.transform(spans, lambda s: s["end"]), _most), parts)
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(paged(text), replaced))
