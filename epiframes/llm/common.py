@@ -64,7 +64,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
     def run(batches):
         for batch in batches:
             for cols in fn(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := cols[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

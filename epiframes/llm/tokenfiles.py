@@ -9,32 +9,38 @@ bytes up in a table of byte counts and gathers all ids of a block at once.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytebpe import PATTERN, byte_symbols
 from .chunks import HEAD, Cache, grouped, pieces, slices, whole
 from .common import bounded_batches, map_batches, partitions, text_or_empty
 
-MAGIC, VERSION = b"EFTK", 1
-_HEAD = struct.Struct("<4sIqqI")  # magic, version, documents, ids, crc32 of what follows
+MAGIC, VERSION = b"EFTK", 2
+_HEAD = struct.Struct("<4sIqqqI")  # magic, version, documents, those of them with a null key (they come first), ids, crc32 of what follows
+#: Bytes of ids that are counted at once.
+COUNT_BYTES = 1 << 20
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 19
-#: Pieces in one call of the library, as lines of one text.
-LINES = 24
-_ODD = re.compile(r"[^\S\n]|\n\n|\n\Z")
-#: A run of symbols that ends a piece.
-_SYMBOLS = re.compile(r"[^\w\s]+\Z")
+#: Characters below are letters, digits or neither in every version of Unicode; others are left to the library.
+SETTLED = "\u0500"
 #: Bytes of each of the four ids that a control byte describes.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
 
-def pack_block(keys: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> bytes:
+def pack_block(keys: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, nulls: int = 0) -> bytes:
     ranks = ranks.astype("<u4")
     code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     four = np.zeros(-(-len(code) // 4) * 4, np.uint8)
@@ -43,12 +49,12 @@ def pack_block(keys: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> bytes:
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
     body = keys.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + control.tobytes() + data.tobytes()
-    return _HEAD.pack(MAGIC, VERSION, len(keys), len(ranks), zlib.crc32(body)) + body
+    return _HEAD.pack(MAGIC, VERSION, len(keys), nulls, len(ranks), zlib.crc32(body)) + body
 
 
-def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, sizes and ranks of a block."""
-    magic, version, n_docs, n_ids, crc = _HEAD.unpack_from(block)
+def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Keys, sizes and ranks of a block, and how many keys at its start are null."""
+    magic, version, n_docs, nulls, n_ids, crc = _HEAD.unpack_from(block)
     body = memoryview(block)[_HEAD.size :]
     if magic != MAGIC or version != VERSION or zlib.crc32(body) != crc:
         raise ValueError("not a block of token ids, or a damaged one")
@@ -61,61 +67,66 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in (1, 2, 3):
         longer = np.flatnonzero(size > k)
         ranks[longer] |= data[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
-    return keys, sizes, ranks
+    return keys, sizes, ranks, nulls
 
 
 class Encoder:
-    """The library's ids, text by text, with a bounded cache of pieces between cuts no token crosses."""
+    """The library's ids, text by text, with a bounded cache of pieces between cuts no token crosses.
+
+    Pieces that are not known fall into pre-tokens, and only pre-tokens that are not known go to the library's
+    model.  Cuts and splits hold for byte-level BPE as such; with any other set-up whole texts are encoded.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the cores out
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
         self.kind = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        newline = self.lib.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else None
+        spec = json.loads(self.lib.to_str())
+        way = spec["pre_tokenizer"] or {}
+        self.by_pieces = way.get("type") == "ByteLevel" and way.get("use_regex") and not way.get("add_prefix_space") and not (spec["normalizer"] or spec["truncation"] or spec["padding"])
+        self.bytes_to_symbols = dict(enumerate(byte_symbols()))
+        self.pattern = regex.compile(PATTERN)
         self.cache = Cache(self.fill)
 
     def each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def fill(self, todo: list[str]) -> list[bytes]:
-        """Ids of pieces.  Letters followed by symbols are two pre-tokens: both are looked up or encoded once."""
-        parts = {p: (p[: m.start()], HEAD + m.group()) for p in todo if (m := _SYMBOLS.search(p)) and m.start() > 1 and p[: m.start()].isalpha()}
+        """Ids of pieces, from those of their pre-tokens.  A pre-token is kept as the piece it would be."""
         known, old = self.cache.known, self.cache.old
-        want = dict.fromkeys(p for p in todo if p not in parts)
-        want.update(dict.fromkeys(x for pair in parts.values() for x in pair if x not in known and x not in old))
-        got = dict(zip(want, self.in_lines(list(want)), strict=True))
-        find = lambda x: got[x] if x in got else known[x] if x in known else old[x]
-        return [got[p] if p in got else find(parts[p][0]) + find(parts[p][1]) for p in todo]
-
-    def in_lines(self, todo: list[str]) -> list[bytes]:
-        """Pieces without white space, or with single newlines only, go to the library in lines: a single
-        newline is a pre-token of its own, so its id marks where one line ends and the next begins."""
-        texts = [whole(p) for p in todo]
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and t[0] != "\n" and not _ODD.search(t, 1)] if self.newline is not None else []
-        groups = [plain[a : a + LINES] for a in range(0, len(plain), LINES)]
-        width = self.kind.itemsize
-        for group, e in zip(groups, self.lib.encode_batch_fast(["\n".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.kind)
-            cut = np.flatnonzero(ids == self.newline)
-            own = [texts[i].count("\n") for i in group]  # single newlines inside a piece
-            if len(cut) != len(group) - 1 + sum(own):
-                continue
-            raw, ends = ids.tobytes(), [*cut.tolist(), len(ids)]
-            at = start = 0
-            for i, k in zip(group, own, strict=True):
-                at += k
-                out[i] = raw[width * start : width * ends[at]]
-                start, at = ends[at] + 1, at + 1
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self.each([texts[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
+        parts: dict[str, list[str]] = {}
+        got: dict[str, bytes] = {}
+        strange = []
+        for p in todo:
+            if p.isascii() and p.isalpha():
+                got[p] = b""
+            elif p[:-1].isascii() and p[:-1].isalpha() and p[-1] in ".,;:!?":
+                parts[p] = [p[:-1], HEAD + p[-1]]
+            elif max(p[1:], default="") < SETTLED and (p[0] < SETTLED or p[0] == HEAD):
+                pre = self.pattern.findall(whole(p))
+                if len(pre) == 1:
+                    got[p] = b""
+                else:
+                    parts[p] = [x[1:] if x[0] == " " and len(x) > 1 else HEAD + x for x in pre]
+            else:
+                strange.append(p)
+        for x in {x for pair in parts.values() for x in pair}:
+            if x not in got:
+                got[x] = known[x] if x in known else old[x] if x in old else b""
+        kind, tokenize = "H" if self.kind.itemsize == 2 else "I", self.lib.model.tokenize
+        for p, ids in got.items():
+            if not ids:
+                symbols = "\u0120" + p if p.isascii() and p.isalpha() else whole(p).encode().decode("latin-1").translate(self.bytes_to_symbols)
+                got[p] = array(kind, [t.id for t in tokenize(symbols)]).tobytes()
+        got.update(zip(strange, self.each([whole(p) for p in strange]), strict=True))
+        return [got[p] if p in got else b"".join(map(got.__getitem__, parts[p])) for p in todo]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_pieces:
+            return self.each(texts)
         cut = [None if len(t) > 1 << 20 or any(s in t for s in self.special) else pieces(t) for t in texts]
         known = self.cache.of([c for c in cut if c is not None]).__getitem__
         out = [b"".join(map(known, c)) if c is not None else None for c in cut]
@@ -144,44 +155,75 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def ordered_ids(docs: DataFrame, key: str, path: str, end_id: int, text: str) -> tuple[DataFrame, int, str]:
-    """Rows (key, ids) in ascending order of the key over the partitions, ids as little-endian bytes."""
+class Order(NamedTuple):
+    """Runs of the order null keys first, then ascending keys; rows of one key by the hash of their text.
+
+    A key that fills several runs, and the null keys, are dealt over their runs by that hash, in its order.
+    """
+
+    nulls: int  # runs of null keys alone
+    cuts: np.ndarray  # sorted; a value that is there k times has k + 1 runs
+
+    def run(self, key: np.ndarray, null: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """``share``: the hash's place between 0 and 1."""
+        first, last = np.searchsorted(self.cuts, key, "left"), np.searchsorted(self.cuts, key, "right")
+        own = self.nulls + first + ((last - first + 1) * share).astype(np.int64)
+        return np.where(null, (max(self.nulls, 1) * share).astype(np.int64), own).astype(np.int32)
+
+
+def _order(docs: DataFrame, key: str, n: int) -> Order:
+    long = F.col(key).cast("long")
+    rows, nulls, cuts = docs.agg(F.count("*"), F.count_if(long.isNull()), F.percentile_approx(long, [i / max(n, 2) for i in range(1, max(n, 2))], 10_000)).head()
+    k = min(n - 1, round(n * nulls / rows)) if rows else 0
+    cuts = np.array(cuts or [], np.int64)
+    return Order(k, cuts[np.round(np.linspace(0, len(cuts) - 1, n - k + 1)[1:-1]).astype(np.int64)] if len(cuts) and n - k > 1 else cuts[:0])
+
+
+def ordered_ids(docs: DataFrame, key: str, path: str, end_id: int, text: str) -> tuple[DataFrame, str]:
+    """Rows (k, h, ids) in ascending order of the key (null first, k is null) over the partitions, ids as little-endian bytes."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n = partitions(spark)
     kind = encoder(path).kind.str
-    cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).head()[0] if n > 1 else None
+    order = _order(docs, key, n)
 
     def encoded(batch):
         out: list[bytes] = []
         end = np.array([end_id], kind).tobytes()
         for group in grouped(batch.column(1).to_pylist()):
             out += [x + end for x in encoder(path).encode(group)]
-        yield {"k": batch.column(0), "ids": out}
+        share = (batch.column(2).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) / 2.0**64  # in the order of signed longs
+        null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        yield {"run": order.run(batch.column(0).fill_null(0).to_numpy(), null, np.minimum(share, 1 - 2.0**-53)), "k": batch.column(0), "h": batch.column(2), "ids": out}
 
-    rows = map_batches(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), text_or_empty(text).alias("_text")), encoded, "k long, ids binary")
-    cuts = sorted(set(cuts or []))
-    # sorted cuts: the run of a key is how many cuts lie at or below it
-    run = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("k"))) if cuts else F.lit(0)
-    return rows.repartitionById(n, run.cast("int")).sortWithinPartitions("k"), n, kind
+    rows = map_batches(docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("_text"), F.xxhash64(text_or_empty(text)).alias("h")), encoded, "run int, k long, h long, ids binary")
+    return rows.repartitionById(n, "run").sortWithinPartitions("k", "h", "ids").select("k", "ids"), kind
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Encode all texts and write ``folder``/ids (blocks) and ``folder``/ranks (one row: ids by rank).
 
-    Null and empty texts hold the end id only.  A null key is written as the least long.  Both passes,
-    counting and writing, read the same shuffled partitions; a lost part is recomputed by Spark.
+    Null and empty texts hold the end id only.  Null keys stay null and come first; rows of one key are in the
+    order of a hash of their texts, so repeated ids and ties give the same files each time, and repeated rows
+    stay.  Very long texts are encoded in slices.  An empty table gives files without blocks; other columns are
+    left out.  Both passes, counting and writing, read the same shuffled partitions; a lost part is recomputed
+    by Spark.
     """
     spark = docs.sparkSession
-    ordered, _, kind = ordered_ids(docs, key, path, end_id, text)
+    ordered, kind = ordered_ids(docs, key, path, end_id, text)
     rows = ordered.rdd
     size = max(encoder(path).lib.get_vocab_size(), end_id + 1)
 
     def counts(part) -> Iterator[np.ndarray]:
         total = np.zeros(size, np.int64)
+        held, n = [], 0
         for r in part:
-            total += np.bincount(np.frombuffer(r.ids, kind), minlength=size)
-        yield total
+            held.append(r.ids)
+            n += len(r.ids)
+            if n >= COUNT_BYTES:
+                total += np.bincount(np.frombuffer(b"".join(held), kind), minlength=size)
+                held, n = [], 0
+        yield total + np.bincount(np.frombuffer(b"".join(held), kind), minlength=size)
 
     total = rows.mapPartitions(counts).treeAggregate(np.zeros(size, np.int64), np.add, np.add, depth=2)
     by_rank = np.argsort(-total, kind="stable").astype("<u4")
@@ -190,7 +232,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, key:
     shared = spark.sparkContext.broadcast(rank_of)
 
     def blocks(run: int, part) -> Iterator[tuple]:
-        keys: list[int] = []
+        keys: list[int | None] = []
         held: list[np.ndarray] = []
         n = start = block = 0
         for r in part:
@@ -207,8 +249,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, key:
     spark.createDataFrame([(bytearray(by_rank.tobytes()),)], "by_rank binary").write.parquet(f"{folder}/ranks")
 
 
-def _packed(keys: list[int], held: list[np.ndarray], rank_of: np.ndarray) -> bytes:
-    return pack_block(np.array(keys, np.int64), np.array([len(h) for h in held], np.uint32), rank_of[np.concatenate(held)])
+def _packed(keys: list[int | None], held: list[np.ndarray], rank_of: np.ndarray) -> bytes:
+    nulls = sum(k is None for k in keys)
+    return pack_block(np.array([k or 0 for k in keys], np.int64), np.array([len(h) for h in held], np.uint32), rank_of[np.concatenate(held)], nulls)
 
 
 def read_token_files(spark, folder: str, full: bool = False) -> DataFrame:
@@ -225,11 +268,11 @@ def read_token_files(spark, folder: str, full: bool = False) -> DataFrame:
     def decoded(batch):
         by_rank, offset = shared.value
         for run, start, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            keys, sizes, rank = unpack_block(block.as_py())
+            keys, sizes, rank, nulls = unpack_block(block.as_py())
             raw = by_rank[rank]
             ends = np.cumsum(sizes.astype(np.int64))
             starts = ends - sizes
-            out = {"key": keys, "start": starts + start + offset[run], "n_tokens": sizes.astype(np.int64)}
+            out = {"key": pa.array(keys, mask=np.arange(len(keys)) < nulls), "start": starts + start + offset[run], "n_tokens": sizes.astype(np.int64)}
             out["ids_crc32"] = [zlib.crc32(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield out | ({"ids": [raw[a:b].tolist() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]} if full else {})
 

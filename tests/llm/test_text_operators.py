@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import sys
 import zlib
 
@@ -21,7 +22,7 @@ from epiframes.llm.components import components
 from epiframes.llm.decontaminate import decontaminate
 from epiframes.llm.jaccard import allocate, band_bounds, near_duplicates
 from epiframes.llm.pieces import PieceCoder, encode_decode
-from epiframes.llm.pii import _SPAN, BASE, KINDS, candidate_spans, digest, masked, personal_data, reliabilities
+from epiframes.llm.pii import _SPAN, BASE, CANDIDATES, KINDS, base_spans, candidate_spans, digest, located, marked, masked, personal_data, reliabilities
 from epiframes.llm.quality import quality
 from epiframes.llm.sharding import hilbert_index, hilbert_shards, write_shards
 from epiframes.llm.suffixes import multikey, remove_repeats
@@ -214,6 +215,59 @@ def test_personal_data_candidates_need_no_digit_elsewhere(spark):
     assert got == {0: [("secret", 12, 42)], 1: [("secret", 12, 42)], 2: [("id_number", 6, 14)], 3: [], 4: [], 5: [("id_number", 0, 7)]}
 
 
+def test_personal_data_in_texts_of_many_matches(spark):
+    rnd = random.Random(8)
+    bits = ["1234567 ", "4111111111111111 ", "+44 20 7946 0958, ", "1.2.3.4 ", "a@b.co ", "ключ = ", "token=04dbebab91ab85687d33eeaaf9ac699e1188f962 ", "12 ", "\n", "🙂 "]
+    texts = [" ".join(rnd.choices(bits, k=k)) for k in (20, 300, 3000, 20000)]
+    df = frame(spark, texts)
+    found = personal_data(df, ["doc_id", "text"])
+    rows = found.select("doc_id", "text", "spans", digest(F.filter("spans", lambda s: s["kind"] < len(BASE))).alias("b"), masked(F.col("text"), F.col("spans")).alias("m")).collect()
+    for r in rows:
+        assert r.b == brute.personal(r.text)
+        out, at = [], 0
+        for start, kind, end in r.spans:
+            if start >= at:
+                out.append(r.text[at:start] + f"<{KINDS[kind]}>")
+            at = max(at, end)
+        assert r.m == "".join(out) + r.text[at:]
+    none = F.array().cast(_SPAN)
+    for r in df.select("text", located(F.col("text"), CANDIDATES["id_number"], contexts=True).alias("f")).collect():
+        assert [(x.start, x.end, x.match) for x in r.f] == [(*m.span(), m.group()) for m in re.finditer(r"(?<![0-9A-Za-z.+-])[0-9]{7,13}(?![0-9A-Za-z])", r.text)]
+        assert all(x.before == r.text[max(0, x.start - 24) : x.start] and x.after == r.text[x.end : x.end + 8] for x in r.f)
+    few = df.select("doc_id", candidate_spans(F.col("text"), none).alias("all"), "text").collect()
+    based = df.withColumn("b", base_spans(F.col("text"))).withColumn("m", marked(F.col("b")))
+    kept = {r.doc_id: r for r in based.select("doc_id", "b", candidate_spans(F.col("text"), F.col("b"), F.col("m")).alias("c")).collect()}
+    for r in few:
+        taken = bytearray(len(r.text))
+        for x in kept[r.doc_id].b:
+            taken[x.start : x.end] = b"\1" * (x.end - x.start)
+        want = [(x.start, x.end, x.kind) for x in r["all"] if not any(taken[x.start : x.end])]
+        assert [(x.start, x.end, x.kind) for x in kept[r.doc_id].c] == want
+
+
+def test_personal_data_finds_planted_secrets_and_numbers(spark):
+    rnd = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rnd.choices(letters, k=rnd.randint(2, 9)))
+    secret = lambda: rnd.choice(["".join(rnd.choices("0123456789abcdef", k=40)), "".join(rnd.choices(letters + letters.upper() + "0123456789", k=32))])
+    texts, planted = [], {}
+    for i in range(900):
+        before, after = " ".join(word() for _ in range(rnd.randint(3, 40))), " ".join(word() for _ in range(rnd.randint(3, 40)))
+        if i % 3 == 0:
+            what = ("secret", secret()) if i % 2 else ("id_number", "".join(rnd.choices("0123456789", k=9)))
+            head = rnd.choice(['api token = "', 'my password: "', 'auth key = "']) if what[0] == "secret" else rnd.choice(["ssn: ", "passport = ", "tax account: "])
+            texts.append(f"{before} {head}{what[1]}" + ('" ' if what[0] == "secret" else " ") + after)
+            planted[i] = (what[0], len(before) + 1 + len(head), len(before) + 1 + len(head) + len(what[1]))
+        else:
+            noise = rnd.choice(["".join(word() for _ in range(5)), "| 1234567 | 7654321 |", "-" * 30, "aaaaaaaa" * 4, "very_long_name_of_a_thing_without_digits", "the 20000000 people"])
+            texts.append(f"{before} {noise} {after}")
+    got = {r.doc_id: [(KINDS[s.kind], s.start, s.end) for s in r.spans] for r in personal_data(frame(spark, texts), ["doc_id"]).collect()}
+    caught = {k: [planted[i] in got[i] for i in planted if planted[i][0] == k] for k in ("secret", "id_number")}
+    clean = [not got[i] for i in range(900) if i not in planted]
+    shares = {k: sum(v) / len(v) for k, v in caught.items()} | {"clean": sum(clean) / len(clean)}
+    assert min(shares.values()) >= 0.9, shares
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
@@ -260,6 +314,18 @@ def test_token_files(spark, tmp_path):
     assert read_token_files(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_with_null_repeated_and_hot_ids(spark, tmp_path):
+    rows = [(None, f"null {i}") for i in range(40)] + [(7, f"hot {i % 30}") for i in range(60)] + [(i, f"text {i}") for i in range(30)] + [(-(1 << 63), "least"), (3, None)]
+    for name, seed in (("a", 1), ("b", 2)):
+        random.Random(seed).shuffle(rows)
+        write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / name), BPE, 2)
+    runs = [r["count"] for r in spark.read.parquet(str(tmp_path / "a" / "ids")).groupBy("run").count().collect()]
+    a, b = (sorted(map(tuple, read_token_files(spark, str(tmp_path / x)).collect()), key=lambda r: r[1]) for x in "ab")
+    assert a == b and len(a) == len(rows) and len(runs) == 4
+    assert [r[0] for r in a] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r[1] for r in a] == [sum(x[2] for x in a[:i]) for i in range(len(a))]
+
+
 @pytest.mark.parametrize(("width", "num"), [(4, 85), (5, 80)])
 def test_jaccard(spark, width, num):
     rnd = random.Random(5)
