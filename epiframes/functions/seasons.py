@@ -63,6 +63,12 @@ def saturdays(spark: SparkSession, first: str, last: str) -> DataFrame:
     return spark.range(1).select(F.explode(days).alias("saturday"))
 
 
+def season_saturdays(spans: DataFrame, first: str = "first", last: str = "last") -> DataFrame:
+    """All Saturdays between the two dates of each row, once each."""
+    days = F.sequence(F.next_day(F.date_sub(first, 1), "SAT"), F.col(last), F.expr("interval 7 days"))
+    return spans.where(F.next_day(F.date_sub(first, 1), "SAT") <= F.col(last)).select(F.explode(days).alias("saturday")).distinct()
+
+
 def first_epiweek_end(year: Column) -> Column:
     """Saturday that ends the year's first epidemiological week."""
     return F.next_day(F.make_date(year, F.lit(1), F.lit(3)), "SAT")

@@ -44,7 +44,12 @@ def job_grid(models: DataFrame, seasons: dict[str, tuple[str, str]], configs: tu
     named = F.explode(F.lit(list(configs)))
     grid = models.select("scenario_id", "run_id").join(F.broadcast(dates)).select("*", named.alias("config"))
     pos = F.array_position(F.lit(list(configs)), F.col("config"))
-    return grid.withColumn("job_id", F.row_number().over(Window.orderBy("scenario_id", "date", pos)))
+    # numbered within each scenario; one row for each scenario meets in one window
+    own = Window.partitionBy("scenario_id").orderBy("date", pos)
+    each = grid.groupBy("scenario_id").agg(F.count("*").alias("_n"))
+    before = each.select("scenario_id", (F.sum("_n").over(Window.orderBy("scenario_id")) - F.col("_n")).alias("_before"))
+    numbered = grid.withColumn("_own", F.row_number().over(own)).join(before, "scenario_id")
+    return numbered.withColumn("job_id", (F.col("_own") + F.col("_before")).cast("int")).drop("_own", "_before")
 
 
 def remaining_jobs(jobs: DataFrame, done: DataFrame) -> DataFrame:
@@ -63,7 +68,7 @@ def failed_jobs(folders: DataFrame, jobs: DataFrame) -> DataFrame:
 def attach_scenario(board: DataFrame, grid: DataFrame) -> DataFrame:
     from ..functions.names import scenario_id_of_model
 
-    return board.withColumn("scenario_id", scenario_id_of_model(F.col("model"))).join(F.broadcast(grid), "scenario_id")
+    return board.withColumn("scenario_id", scenario_id_of_model(F.col("model"))).join(grid, "scenario_id")
 
 
 def loss_vs_score(losses: DataFrame, board: DataFrame) -> DataFrame:

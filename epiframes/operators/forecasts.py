@@ -94,7 +94,7 @@ def prune_trends(national: DataFrame, keys: list[str], date: str, start: str, en
 def rescale_to_last_obs(samples: DataFrame, last: DataFrame, start: DataFrame, noise: float = 0.05, clip: float = 0.1, seed: str = "rescale") -> DataFrame:
     """Each place's samples times (last observed / forecast at the start) times clipped noise."""
     z = F.greatest(F.lit(1 - clip), F.least(F.lit(1 + clip), 1 + noise * normal(seed, "sample_id", "location")))
-    j = samples.join(F.broadcast(last.select("location", F.col("value").alias("_o"))), "location").join(start.select("location", "sample_id", F.col("value").alias("_s")), ["location", "sample_id"])
+    j = samples.join(last.select("location", F.col("value").alias("_o")), "location").join(start.select("location", "sample_id", F.col("value").alias("_s")), ["location", "sample_id"])
     return j.withColumn("value", F.when(F.col("_s") > 0, F.col("value") * F.col("_o") / F.col("_s") * z).otherwise(F.col("value"))).drop("_o", "_s")
 
 

@@ -100,32 +100,42 @@ def fill_lookup(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fill_random_donors(missing: DataFrame, obs: DataFrame, seed: int = 0) -> DataFrame:
-    """For each missing (frame, location) the donor key and the note for its origin.
+    """For each missing (frame, location) the donor key and the note for its origin; null where there is none.
 
     Tier 1: same H1, another year; tier 2: same H1 and year, another sample; tier 3: the first other H1,
     any year.  Within the best tier the candidate with the least hash is taken; each copy draws anew.
+    Donors are arrays per place, so each missing pair stays one row, and a tier is looked at only where
+    the one before it has nothing.
     """
     by_year, by_sample = fill_lookup(obs)
+    donor = F.struct("datasetH1", "datasetH2", "fluseason", "sample").alias("x")
+    years = by_year.select("location_code", donor).groupBy("location_code", F.col("x.datasetH1").alias("h1")).agg(F.collect_list("x").alias("years"))
+    samples = by_sample.select("location_code", donor).groupBy("location_code", F.col("x.datasetH1").alias("h1"), F.col("x.fluseason").alias("year")).agg(F.collect_list("x").alias("samples"))
+    sources = years.groupBy("location_code").agg(F.sort_array(F.collect_list(F.struct("h1", "years"))).alias("sources"))
     m = missing.select("frame_id", "location_code", F.col("datasetH1").alias("h1"), F.col("fluseason").alias("year"), F.col("sample").alias("smp"), "origin")
-    tag = lambda *c: F.concat(*c)
-    y, s = F.col("fluseason").cast("string"), F.col("sample")
-    cols = ["frame_id", "location_code", "origin", "tier", "datasetH1", "datasetH2", "fluseason", "sample", "note"]
-    t1 = m.join(by_year, "location_code").where("datasetH1 = h1 AND fluseason <> year").withColumns({"tier": F.lit(1), "note": tag(F.lit("filled_same_location_year_"), y, F.lit("_sample_"), s)})
-    t2 = m.join(by_sample, "location_code").where("datasetH1 = h1 AND fluseason = year AND sample <> smp").withColumns({"tier": F.lit(2), "note": tag(F.lit("filled_same_location_sample_"), s)})
-    other = m.join(by_year, "location_code").where("datasetH1 <> h1")
-    least = other.groupBy("frame_id", "location_code").agg(F.min("datasetH1").alias("datasetH1"))
-    t3 = other.join(least, ["frame_id", "location_code", "datasetH1"]).withColumns({"tier": F.lit(3), "note": tag(F.lit("filled_same_location_"), F.col("datasetH1"), F.lit("_year_"), y)})
-    all_tiers = t1.select(*cols).union(t2.select(*cols)).union(t3.select(*cols))
-    draw = hashed(seed, "frame_id", "location_code", "datasetH1", "datasetH2", "fluseason", "sample")
-    best = all_tiers.groupBy("frame_id", "location_code", "origin").agg(F.min_by(F.struct("tier", "datasetH1", "datasetH2", "fluseason", "sample", "note"), F.struct("tier", draw.alias("h"))).alias("b"))
-    return best.select("frame_id", "location_code", "origin", "b.*")
+    j = m.join(years, ["location_code", "h1"], "left").join(samples, ["location_code", "h1", "year"], "left").join(sources, "location_code", "left")
+
+    def least(candidates, note):
+        """The candidate with the least hash as (datasetH1, ..., note), or null."""
+        draw = lambda x: hashed(seed, "frame_id", "location_code", x["datasetH1"], x["datasetH2"], x["fluseason"], x["sample"])
+        best = F.array_min(F.transform(candidates, lambda x: F.struct(draw(x).alias("h"), F.struct(x["datasetH1"].alias("datasetH1"), x["datasetH2"].alias("datasetH2"), x["fluseason"].alias("fluseason"), x["sample"].alias("sample"), note(x).alias("note")).alias("d"))))
+        return best["d"]
+
+    y = lambda x: x["fluseason"].cast("string")
+    # fixed values: the notes' wording
+    one = least(F.filter("years", lambda x: x["fluseason"] != F.col("year")), lambda x: F.concat(F.lit("filled_same_location_year_"), y(x), F.lit("_sample_"), x["sample"]))
+    two = least(F.filter("samples", lambda x: x["sample"] != F.col("smp")), lambda x: F.concat(F.lit("filled_same_location_sample_"), x["sample"]))
+    other = F.get(F.filter("sources", lambda x: x["h1"] != F.col("h1")), F.lit(0))["years"]
+    three = least(other, lambda x: F.concat(F.lit("filled_same_location_"), x["datasetH1"], F.lit("_year_"), y(x)))
+    return j.select("frame_id", "location_code", "origin", F.coalesce(one, two, three).alias("b")).select("frame_id", "location_code", "origin", "b.*")
 
 
 def fill_random(missing: DataFrame, obs: DataFrame, seed: int = 0) -> DataFrame:
+    """Rows of the donors.  A pair that has no donor stops the job that needs it."""
     donors = fill_random_donors(missing, obs, seed)
-    lost = missing.join(donors, ["frame_id", "location_code"], "left_anti")
-    fill_error(lost)
-    rows = donors.join(obs.select(*KEY, "location_code", "season_week", "value", "week_enddate"), [*KEY, "location_code"])
+    lost = F.raise_error(F.concat(F.lit("Missing required locations: "), F.col("frame_id"), F.lit(":"), F.col("location_code")))
+    sure = donors.withColumn("datasetH1", F.when(F.col("datasetH1").isNull(), lost).otherwise(F.col("datasetH1")))
+    rows = sure.join(obs.select(*KEY, "location_code", "season_week", "value", "week_enddate"), [*KEY, "location_code"])
     return rows.select("frame_id", "location_code", "season_week", "value", "week_enddate", F.concat("origin", F.lit("["), "note", F.lit("]")).alias("origin"))
 
 
@@ -149,16 +159,26 @@ def frame_peaks(rows: DataFrame) -> DataFrame:
     return weekly.groupBy("frame_id").agg(F.max("v").alias("peak"))
 
 
+def ranked_by(rows: DataFrame, value: str, width: float = 1.0) -> DataFrame:
+    """``rank`` from 1 by a number, nulls left out: counted within steps of ``width``, and over the steps before."""
+    stepped = rows.where(F.col(value).isNotNull()).withColumn("_step", F.floor(F.col(value) / width))
+    before = stepped.groupBy("_step").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_step")) - F.col("_n")).drop("_n")
+    within = stepped.withColumn("rank", F.row_number().over(Window.partitionBy("_step").orderBy(value)))
+    return within.join(before, "_step").withColumn("rank", F.col("rank") + F.col("_before")).drop("_step", "_before")
+
+
 def season_peak_scale(rows: DataFrame, targets: DataFrame, seed: int = 0, keep_fill_origin: bool = False) -> DataFrame:
     """Scale each frame so that its national peak meets a target drawn from the distribution.
 
-    ``targets`` (peak) is a small table; the note goes on the frame's first origin for all its rows
-    unless fill origins are kept.  Frames without a positive peak keep their values.
+    ``targets`` (peak) is ranked by counts of its distinct peaks; the note goes on the frame's first origin for
+    all its rows unless fill origins are kept.  Frames without a positive peak keep their values.
     """
-    ordered = targets.agg(F.sort_array(F.collect_list("peak")).alias("t"))
-    n = F.size("t")
-    pick = F.get("t", F.floor(uniform(seed, "frame_id") * n).cast("int"))
-    drawn = frame_peaks(rows).join(F.broadcast(ordered)).select("frame_id", pick.alias("target"), F.when(F.col("peak") > 0, pick / F.col("peak")).otherwise(1.0).alias("factor"))
+    ranked = ranked_by(targets, "peak").select((F.col("rank") - 1).alias("pick"), F.col("peak").alias("target"))
+    n = targets.agg(F.count("*").alias("n"))
+    pick = F.floor(uniform(seed, "frame_id") * F.col("n")).cast("long")
+    drawn = frame_peaks(rows).join(F.broadcast(n)).select("frame_id", "peak", pick.alias("pick")).join(ranked, "pick", "left")
+    drawn = drawn.select("frame_id", "target", F.when(F.col("peak") > 0, F.col("target") / F.col("peak")).otherwise(1.0).alias("factor"))
     first = rows.groupBy("frame_id").agg(F.min_by("origin", F.struct("location_code", "season_week")).alias("top"))
     out = rows.join(drawn.join(first, "frame_id"), "frame_id")
     note = F.concat(F.lit("[scaled_to_"), F.format_string("%.1f", F.bround("target", 1)), F.lit("]"))
@@ -206,12 +226,21 @@ def main_origin(rows: DataFrame) -> DataFrame:
     return n.groupBy("frame_id").agg(F.min_by("origin", F.struct(-F.col("n"), "origin")).alias("main_origin"))
 
 
-def origin_segments(mains: DataFrame, order: str = "frame_id") -> DataFrame:
-    """Runs of frames from the same top source: (segment, source, first, last, n).  One row per frame, so one window."""
-    w = Window.orderBy(order)
-    tops = mains.select(order, origin_top(F.col("main_origin")).alias("source"))
-    new = tops.withColumn("pos", F.row_number().over(w) - 1).withColumn("new", F.coalesce((F.col("source") != F.lag("source").over(w)).cast("int"), F.lit(0)))
-    return new.withColumn("segment", F.sum("new").over(w)).groupBy("segment", "source").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"))
+def origin_segments(mains: DataFrame, order: str = "frame_id", prefix: int = 12) -> DataFrame:
+    """Runs of frames from the same top source: (segment, source, first, last, n).
+
+    Frames are numbered within the first ``prefix`` characters of their order; only one row for each prefix
+    meets in one window.
+    """
+    tops = mains.select(F.col(order).alias("o"), F.substring(order, 1, prefix).alias("p"), origin_top(F.col("main_origin")).alias("source"))
+    own = Window.partitionBy("p").orderBy("o")
+    rows = tops.withColumn("pos", F.row_number().over(own) - 1).withColumn("new", F.coalesce((F.col("source") != F.lag("source").over(own)).cast("int"), F.lit(0))).withColumn("seg", F.sum("new").over(own))
+    part = rows.groupBy("p").agg(F.count("*").alias("m"), F.max("seg").alias("turns"), F.min_by("source", "pos").alias("head"), F.max_by("source", "pos").alias("tail"))
+    w = Window.orderBy("p")
+    turned = F.coalesce((F.col("head") != F.lag("tail").over(w)).cast("int"), F.lit(0))
+    part = part.withColumn("turned", turned).select("p", (F.sum("m").over(w) - F.col("m")).cast("int").alias("before"), (F.sum("turned").over(w) + F.sum("turns").over(w) - F.col("turns")).alias("segs"))
+    placed = rows.join(part, "p").select((F.col("seg") + F.col("segs")).alias("segment"), "source", (F.col("pos") + F.col("before")).alias("pos"))
+    return placed.groupBy("segment", "source").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"))
 
 
 def sample_trajectories(obs: DataFrame, keys: list[str], n: int, seed: str = "sample") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Codes of the territories that are left out.
 TERRITORIES = ("72", "60", "66", "69")
 
 

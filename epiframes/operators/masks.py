@@ -59,6 +59,7 @@ def named_masks(grid: DataFrame, season: int) -> DataFrame:
     """
     y, z = season, season + 1
     mid, peak, gap, past = (f"{y}-12-07", f"{z}-01-07"), (f"{z}-02-01", f"{z}-02-15"), (f"{z}-12-07", f"{z}-02-15"), (f"{z}-08-01", f"{z}-01-07")
+    # fixed values: the masks' names, dates and block sizes
     half = F.col("place") < F.floor(F.lit(grid.select("place").distinct().count()) / 2)
     at = lambda codes: F.col("location_code").isin(*codes)
     last = season_week(week_saturday(F.lit(y), F.lit(52)))
@@ -90,5 +91,5 @@ def masked_quantiles(samples: DataFrame, mask: DataFrame, keys: list[str], most_
 
     hidden = mask.where("keep = 0").select("location_code", "season_week").distinct()
     few = hidden.select("location_code").distinct().orderBy("location_code").limit(most_places)
-    cells = samples.join(F.broadcast(hidden.join(few, "location_code", "left_semi")), ["location_code", "season_week"], "left_semi")
+    cells = samples.join(hidden.join(few, "location_code", "left_semi"), ["location_code", "season_week"], "left_semi")
     return ensemble_quantiles(cells, keys)

@@ -14,10 +14,14 @@ def frames_to_tensor(rows: DataFrame, axis: DataFrame, size: int = SIZE) -> Data
     ``axis`` has (location_code, place), place from 0.
     """
     placed = rows.join(F.broadcast(axis.select("location_code", "place")), "location_code")
-    cell = F.struct(((F.col("season_week") - 1) * size + F.col("place")).cast("int").alias("at"), F.coalesce("value", F.lit(0.0)).alias("v"))
-    maps = placed.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(cell)).alias("m"))
     span = F.sequence(F.lit(0), F.lit(size - 1))
-    return maps.select("frame_id", F.transform(span, lambda w: F.transform(span, lambda p: F.coalesce(F.element_at("m", w * size + p), F.lit(0.0)))).alias("tensor"))
+    # a week's places first, then a frame's weeks: look-ups scan one week or one frame's weeks, never all cells
+    cell = F.struct(F.col("place").cast("int").alias("place"), F.coalesce("value", F.lit(0.0)).alias("v"))
+    weeks = placed.repartition("frame_id").groupBy("frame_id", "season_week").agg(F.map_from_entries(F.collect_list(cell)).alias("m"))
+    rows = weeks.select("frame_id", (F.col("season_week") - 1).cast("int").alias("w"), F.transform(span, lambda p: F.coalesce(F.element_at("m", p), F.lit(0.0))).alias("row"))
+    maps = rows.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "row"))).alias("m"))
+    empty = F.array_repeat(F.lit(0.0), size)
+    return maps.select("frame_id", F.transform(span, lambda w: F.coalesce(F.element_at("m", w), empty)).alias("tensor"))
 
 
 def tensor_to_long(tensors: DataFrame, axis: DataFrame, weeks: int = 53) -> DataFrame:

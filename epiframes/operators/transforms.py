@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import hashed, integer_between, normal, skew_normal, uniform_between
+from ..functions.draws import hashed, integer_between, normal, skew_normal, uniform, uniform_between
 
 
 def scale(x: Column, s) -> Column:
@@ -63,17 +59,22 @@ def skewed_noise(rows: DataFrame, alpha: float, location: float, spread: float,
     return rows.withColumn("value", F.greatest(F.lit(0.0), F.col("value") * skew_normal(alpha, location, spread, seed, *keys)))
 
 
-def poisson(rows: DataFrame, seed: int = 0) -> DataFrame:
-    """Poisson draws with mean ``value``: each cell's generator is seeded by its keys, so reruns agree."""
-    keyed = rows.withColumn("_k", F.conv(F.substring(hashed(seed, "frame_id", "week_idx", "location_code"), 1, 15), 16, 10).cast("long"))
+#: Means up to which Poisson draws invert the distribution; above it they are rounded normal draws.
+EXACT_MEAN = 30
+
 
-    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            mean = np.maximum(pdf["value"].fillna(0.0).to_numpy(), 0)
-            pdf["value"] = [float(np.random.Generator(np.random.PCG64(k)).poisson(m)) for k, m in zip(pdf["_k"], mean, strict=True)]
-            yield pdf.drop(columns="_k")
+def poisson(rows: DataFrame, seed: object = 0, keys: tuple[str, ...] = ("frame_id", "week_idx", "location_code")) -> DataFrame:
+    """Poisson draws with mean ``value``: the hashed uniform of a cell is inverted term by term."""
+    mean, u = F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0)), uniform(seed, *keys)
+    zero = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
 
-    return keyed.mapInPandas(draw, rows.schema)
+    def step(acc: Column, k: Column) -> Column:
+        p = acc["p"] * mean / k
+        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), (acc["k"] + (acc["c"] <= u).cast("int")).alias("k"))
+
+    inverted = F.aggregate(F.sequence(F.lit(1), F.lit(4 * EXACT_MEAN)), zero, step, lambda acc: acc["k"].cast("double"))
+    rounded = F.greatest(F.lit(0.0), F.floor(mean + F.sqrt(mean) * normal(seed, *keys) + 0.5).cast("double"))
+    return rows.withColumn("value", F.when(mean <= EXACT_MEAN, inverted).otherwise(rounded))
 
 
 def enrich(rows: DataFrame, recipe: str, seed: int = 0) -> DataFrame:
@@ -83,6 +84,7 @@ def enrich(rows: DataFrame, recipe: str, seed: int = 0) -> DataFrame:
     out = poisson(rows, seed)
     if recipe == "Pois":
         return out
+    # fixed values: the recipes' ranges
     low, high, least, most = {"PoisPadScale": (-15, 15, 0.1, 1.9), "PoisPadScaleSmall": (-4, 4, 0.7, 1.3)}[recipe]
     return random_scale(random_pad(out, low, high, f"{seed}pad"), least, most, f"{seed}scale")
 
@@ -97,13 +99,20 @@ def inverse(name: str, y: Column, most: Column, mean: Column, std: Column) -> Co
 
 
 def roundtrip_check(rows: DataFrame, stats: DataFrame, names: tuple[str, ...] = ("Lins", "Sqrt", "LogZs", "LinsZs")) -> DataFrame:
-    """Largest difference after a transform and back, per transform."""
+    """Largest difference after a transform and back, per transform; ``stats`` is one row."""
     j = rows.join(F.broadcast(stats))
     s = [F.col("most"), F.col("mean"), F.col("std")]
     wide = j.agg(*[F.max(F.abs(inverse(n, forward(n, F.col("value"), *s), *s) - F.col("value"))).alias(n) for n in names])
     return wide.unpivot([], list(names), "transform", "largest")
 
 
+def roundtrip(rows: DataFrame, stats: DataFrame, names: tuple[str, ...] = ("Lins", "Sqrt", "LogZs", "LinsZs")) -> DataFrame:
+    """Each cell's value after each transform and back; ``stats`` is one row."""
+    j = rows.join(F.broadcast(stats))
+    s = [F.col("most"), F.col("mean"), F.col("std")]
+    return j.select(*rows.columns, *[inverse(n, forward(n, F.col("value"), *s), *s).alias(n) for n in names])
+
+
 def repeat_dataset(frames: DataFrame, times: int, seed: object = 0) -> DataFrame:
     """Frame ids repeated and shuffled by hash; ``position`` orders them."""
     out = frames.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("repeat"))

@@ -1,6 +1,6 @@
 """Registered queries over the test tables, with their SQL twins."""
 
-from . import combined, framed, scored  # noqa: F401
+from . import combined, filed, framed, scored  # noqa: F401
 from .bindings import ORACLES, QUERIES
 from .scored import flagship
 

@@ -11,7 +11,7 @@ from ..operators import harmonize as hz
 from ..operators import masks as mk
 from ..operators import picks as pk
 from ..operators import truth as tu
-from .bindings import HUB, OBS, SCORES, TRAJ, TRUTH, hub, observations, query, r6, read, scores, season_sql, trajectories, truth, week_sql
+from .bindings import HUB, OBS, QS, SCORES, TRAJ, TRUTH, hub, observations, query, r6, read, scores, season_sql, trajectories, truth, week_sql
 from .framed import axis, placed_axis
 
 # revisions, locations and run logs from events, nation and orders
@@ -251,6 +251,11 @@ def _(spark, d):
     return ex.scenario_grid(spark).join(runs(spark, d).groupBy("scenario_id").agg(F.count("*").alias("n")), "scenario_id")
 
 
+@query("J12_scenario_grid_all", f"WITH {GRID}, {RUNS} SELECT g.*, r.run_id, r.status FROM runs r JOIN grid g ON r.scenario_id = g.scenario_id")
+def _(spark, d):
+    return runs(spark, d).select("scenario_id", "run_id", "status").join(ex.scenario_grid(spark), "scenario_id")
+
+
 _ESS = f"ess AS (SELECT *, row_number() OVER (ORDER BY scenario_id) - 1 AS i FROM grid WHERE {_CHANGED} <= 1)"
 
 
@@ -271,6 +276,11 @@ def _(spark, d):
     return _essential_runs(spark, d).groupBy("scenario_id").agg(F.count("*").alias("n"))
 
 
+@query("J13_essential_scenarios_all", f"WITH {_ERUNS} SELECT scenario_id, ddpm_name, unet_name, dataset_name, transform_name, enrich_name, run_id FROM eruns")
+def _(spark, d):
+    return _essential_runs(spark, d).select("scenario_id", *ex.OPTIONS, "run_id")
+
+
 _JOBS = f"""jobs AS (SELECT *, CAST(row_number() OVER (ORDER BY scenario_id, date, pos) AS INTEGER) AS job_id FROM (SELECT m.scenario_id, m.run_id, s.season, CAST(unnest(generate_series(s.a, s.b, INTERVAL 14 DAY)) AS DATE) AS date, c.config, c.pos
 FROM (SELECT scenario_id, max(run_id) AS run_id FROM runs GROUP BY scenario_id) m, (VALUES ('1996', TIMESTAMP '1996-10-12', TIMESTAMP '1997-04-26'), ('1997', TIMESTAMP '1997-10-11', TIMESTAMP '1998-04-25')) s(season, a, b), (VALUES ('celebahq_noTTJ5', 1), ('celebahq_try3', 2), ('celebahq', 3)) c(config, pos)))"""
 
@@ -474,6 +484,11 @@ def _(spark, d):
     return pk.even_samples(trajectories(spark, d), 40, 5).groupBy("sample_id").agg(F.count("*").alias("n"))
 
 
+@query("W13_even_samples_all", f"WITH {TRAJ} SELECT * FROM traj WHERE sample_id IN (0, 9, 19, 29, 39)")
+def _(spark, d):
+    return pk.even_samples(trajectories(spark, d), 40, 5)
+
+
 @query("W14_best_row", f"WITH {SCORES}, m AS (SELECT model, sum(wis) AS score FROM scores GROUP BY ALL) SELECT model, round(score, 3) AS score FROM m ORDER BY score, model LIMIT 1")
 def _(spark, d):
     m = scores(spark, d).groupBy("model").agg(F.sum("wis").alias("score"))
@@ -538,6 +553,41 @@ def _(spark, d):
     return mk.named_masks(grid(spark, d), 2023).where(F.col("mask").isin(*shown)).groupBy("mask").agg(F.count_if(F.col("keep") == 0).alias("hidden"))
 
 
+def _hidden(a: int, b: int) -> str:
+    return f"season_week BETWEEN {a} AND {b}"
+
+
+_MID, _PEAK, _GAP, _SIXTH = _hidden(19, 23), _hidden(27, 29), _hidden(19, 29), "location_code IN ('06', '37', '15', '42', '53')"
+_MASKS = {
+    "missing_midseason": _MID, "missing_midseason_peak": _PEAK, "missing_midseason_biggap": None, "missing_past": None, "missing_half_subpop": "place < half",
+    "missing_nc": "location_code = '37'", "missing_ca": "location_code = '06'", "missing_il": "location_code = '17'", "missing_five": _SIXTH, "missing_five2": "location_code IN ('13', '49', '18', '36', '24')",
+    "missing_midseason_biggap_halfpop": None, "missing_midseason_doublegap": f"{_MID} OR {_PEAK}", "missing_five_after_dec07": f"{_SIXTH} AND {_hidden(19, 52)}",
+    "missing_checkerboard_4x4": "((season_week - 1) // 4 + place // 4) % 2 = 0", "missing_checkerboard_2x2": "((season_week - 1) // 2 + place // 2) % 2 = 0", "missing_first_half_selected": f"{_SIXTH} AND season_week <= 26",
+}
+
+
+def _week(day: str) -> str:
+    return week_sql(f"DATE '{day}'")
+
+
+_MASKS |= {
+    "missing_midseason_biggap": f"season_week BETWEEN {_week('2024-12-07')} AND {_week('2024-02-15')}",
+    "missing_past": f"season_week BETWEEN {_week('2024-08-01')} AND {_week('2024-01-07')}",
+    "missing_midseason_biggap_halfpop": f"season_week BETWEEN {_week('2024-12-07')} AND {_week('2024-02-15')} OR place < half",
+}
+
+
+@query("K05_named_masks_all", f"WITH {_PAX}, h AS (SELECT count(*) // 2 AS half FROM pax), g AS (SELECT cells.*, half FROM cells, h) " + " UNION ALL ".join(f"SELECT '{k}' AS mask, season_week, location_code, CASE WHEN {v} THEN 0 ELSE 1 END AS keep FROM g" for k, v in _MASKS.items()))
+def _(spark, d):
+    return mk.named_masks(grid(spark, d), 2023)
+
+
+@query("K06_masked_quantiles_all", f"WITH {OBS}, q AS (SELECT location_code, season_week, unnest({QS}) AS quantile, unnest(quantile_cont(value, {QS})) AS value FROM obs WHERE location_code IN ('02', '05') AND season_week BETWEEN 19 AND 23 GROUP BY location_code, season_week) SELECT location_code, season_week, round(quantile, 4) AS quantile, round(value, 4) AS value FROM q")
+def _(spark, d):
+    m = mk.mask_dates_for_locations(grid(spark, d), [("2023-12-07", "2024-01-07")], ["02", "05"])
+    return r6(mk.masked_quantiles(observations(spark, d), m, ["location_code", "season_week"]))
+
+
 @query("K06_masked_quantiles", f"WITH {OBS} SELECT location_code, season_week, round(quantile_cont(value, 0.5), 4) AS value FROM obs WHERE location_code IN ('02', '05') AND season_week BETWEEN 19 AND 23 GROUP BY ALL")
 def _(spark, d):
     m = mk.mask_dates_for_locations(grid(spark, d), [("2023-12-07", "2024-01-07")], ["02", "05"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import draws as dr
@@ -68,8 +70,12 @@ query("D07_season_calendar", f"WITH {_CAL} SELECT * FROM calendar")(calendar)
 
 @query("D08_season_saturdays", f"WITH {_DAYS}, b AS (SELECT min(d) AS a, max(d) AS z FROM days) SELECT CAST(unnest(generate_series(CAST(a + CAST(6 - dayofweek(a) AS INTEGER) AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS saturday FROM b")
 def _(spark, d):
-    a, z = days(spark, d).agg(F.min("d"), F.max("d")).head()
-    return se.saturdays(spark, str(a), str(z))
+    return se.season_saturdays(days(spark, d).agg(F.min("d").alias("first"), F.max("d").alias("last")))
+
+
+@query("D08_season_saturdays_all", f"WITH {_DAYS}, b AS (SELECT {season_sql('d')} AS season, min(d) AS a, max(d) AS z FROM days GROUP BY season) SELECT DISTINCT CAST(unnest(generate_series(CAST(a + CAST(6 - dayofweek(a) AS INTEGER) AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS saturday FROM b")
+def _(spark, d):
+    return se.season_saturdays(days(spark, d).groupBy(se.season_year(F.col("d"))).agg(F.min("d").alias("first"), F.max("d").alias("last")))
 
 
 @query("D09_epiweek_to_enddate", f"WITH {_DAYS} SELECT DISTINCT CAST(year({_SATD} - 3) * 100 + {_EPI} AS INTEGER) AS epiweek, CAST({_SATD} AS DATE) AS end_date FROM days")
@@ -417,19 +423,34 @@ def _(c):
     return tr.random_noise(c, 0.1, 7).withColumn("value", F.round("value", 3))
 
 
-@on_cells("M09_skewed_noise")
-def _(c):
-    return r6(tr.skewed_noise(c, 4.0, 0.9, 0.2, 7))
+_ALL = f"{_CELLS.replace(_FIRST, '')}"
+_DELTA = 4 / math.sqrt(17)
 
 
-@on_cells("M10_poisson")
-def _(c):
-    return tr.poisson(c, 7)
+@query("M09_skewed_noise", f"WITH {_ALL} SELECT frame_id, location_code, week_idx, round(greatest(0, value * (0.9 + 0.2 * ({_DELTA!r} * abs({_z('7x')}) + {math.sqrt(1 - _DELTA * _DELTA)!r} * {_z('7y')}))), 4) + 0 AS value FROM cells")
+def _(spark, d):
+    return r6(tr.skewed_noise(every_cell(spark, d), 4.0, 0.9, 0.2, 7))
 
 
-@on_cells("M11_enrich_recipes")
-def _(c):
-    return r6(tr.enrich(c, "PoisPadScaleSmall", 7))
+_POIS = f"""draws AS (SELECT frame_id, location_code, week_idx, value AS m, {_u('7', _K3)} AS u, {_z('7')} AS z FROM cells),
+terms AS (SELECT DISTINCT m, CAST(unnest(range(0, 121)) AS INTEGER) AS k FROM draws WHERE m <= 30),
+cdf AS (SELECT m, k, sum(exp(CASE WHEN k = 0 THEN 0 ELSE k * ln(m) END - m - lgamma(k + 1))) OVER (PARTITION BY m ORDER BY k) AS c FROM terms WHERE m > 0),
+small AS (SELECT frame_id, location_code, week_idx, CAST(count(c) AS DOUBLE) AS value FROM draws LEFT JOIN cdf ON cdf.m = draws.m AND cdf.k < 120 AND cdf.c <= u WHERE draws.m <= 30 GROUP BY ALL),
+pois AS (SELECT * FROM small UNION ALL SELECT frame_id, location_code, week_idx, greatest(0, floor(m + sqrt(m) * z + 0.5)) FROM draws WHERE m > 30)"""
+
+
+@query("M10_poisson", f"WITH {_ALL}, {_POIS} SELECT * FROM pois")
+def _(spark, d):
+    return tr.poisson(every_cell(spark, d), 7)
+
+
+_PAD = f"CAST(-4 + floor({_u('7pad', 'frame_id')} * 8) AS INTEGER)"
+
+
+@query("M11_enrich_recipes", f"""WITH {_ALL}, {_POIS}, s AS (SELECT frame_id, location_code, {_PAD} AS s, CAST((week_idx + {_PAD} + 64) % 64 AS INTEGER) AS week_idx, value FROM pois)
+SELECT frame_id, location_code, week_idx, round((CASE WHEN (s > 0 AND week_idx < s) OR (s < 0 AND week_idx >= 64 + s) THEN 0 ELSE value END) * (0.7 + {_u('7scale', 'frame_id')} * 0.6), 4) AS value FROM s""")
+def _(spark, d):
+    return r6(tr.enrich(every_cell(spark, d), "PoisPadScaleSmall", 7))
 
 
 _ST = "st AS (SELECT max(value) AS most, avg(value) AS mean, stddev_pop(value) AS std FROM cells)"
@@ -451,6 +472,13 @@ def _(c):
     return tr.roundtrip_check(c, _stats(c)).select("transform", (F.col("largest") < 1e-5).alias("ok"))
 
 
+@query("M13_roundtrip_values", f"""WITH {_ALL}, {_ST}, f AS (SELECT frame_id, location_code, week_idx, most, mean, std, 2 * value / most AS l, 2 * sqrt(value / most) AS r, (ln(1 + value) - ln(mean)) / ln(std) AS g, (value - mean) / std AS z FROM cells, st)
+SELECT frame_id, location_code, week_idx, round(l * most / 2, 4) AS lins, round(pow(r / 2, 2) * most, 4) AS root, round(exp(g * ln(std) + ln(mean)) - 1, 4) + 0 AS logzs, round(z * std + mean, 4) + 0 AS linszs FROM f""")
+def _(spark, d):
+    c = every_cell(spark, d)
+    return r6(tr.roundtrip(c, _stats(c)).drop("value").withColumnsRenamed({"Lins": "lins", "Sqrt": "root", "LogZs": "logzs", "LinsZs": "linszs"}))
+
+
 @query("M14_repeat_dataset", f"WITH {FRAMES} SELECT frame_id, CAST(r AS INTEGER) AS repeat, md5('0|' || frame_id || '|' || r) AS position FROM (SELECT frame_id, unnest(range(0, 9)) AS r FROM frames)")
 def _(spark, d):
     return tr.repeat_dataset(frames(spark, d)[1], 9)
@@ -461,6 +489,14 @@ def _(spark, d):
     return tn.place_columns(observations(spark, d), "week_enddate", ["01", "02"])
 
 
+_TWELVE = [f"{i:02d}" for i in range(1, 13)]
+
+
+@query("V03_place_columns_all", f"WITH {OBS} SELECT week_enddate, " + ", ".join(f"sum(CASE WHEN location_code = '{p}' THEN value END) AS \"{p}\"" for p in _TWELVE) + " FROM obs GROUP BY ALL")
+def _(spark, d):
+    return tn.place_columns(observations(spark, d), "week_enddate", _TWELVE)
+
+
 @query("draws_uniform", f"WITH {OBS} SELECT datasetH2, fluseason, sample, round({_u('x', 'datasetH2 || chr(124) || fluseason || chr(124) || sample')}, 6) AS u FROM (SELECT DISTINCT datasetH2, fluseason, sample FROM obs)")
 def _(spark, d):
     k = observations(spark, d).select("datasetH2", "fluseason", "sample").distinct()

@@ -56,10 +56,10 @@ def read_trajectories(spark: SparkSession, path: str, example: str = "example")
     for c, kind in (("run_grouping", "double"), ("stochastic_run", "string"), ("output_type_id", "double")):
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast(kind))
-    rows = raw.select("*", F.col("_metadata.file_path").alias("_file")).withColumn("model", F.regexp_extract("_file", r"/([^/]+)/[^/]+$", 1))
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_file")).withColumn("model", F.url_decode(F.regexp_extract("_file", r"/([^/]+)/[^/]+$", 1)))
     rows = rows.where(~F.contains("model", F.lit(example)))
     first = rows.where("output_type = 'sample'").groupBy("model").agg(F.min("_file").alias("_file"))
-    return rows.join(F.broadcast(first), ["model", "_file"], "left_semi").drop("_file")
+    return rows.join(first, ["model", "_file"], "left_semi").drop("_file")
 
 
 def read_surveillance_csv(spark: SparkSession, path: str, value: str, region: str = "region", week: str = "epiweek") -> DataFrame:
@@ -75,9 +75,9 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OBSERVATIONS).parquet(path).withColumn("sample", F.col("sample").cast("string"))
 
 
-def read_sample_tensors(spark: SparkSession, path: str) -> DataFrame:
-    """.npy ensembles (samples, weeks, places) or (samples, features, weeks, places) as rows
-    (file, sample_id, feature, week_idx, place, value); one file at a time per task, no pickles."""
+def sample_tensors(files: DataFrame) -> DataFrame:
+    """.npy ensembles (samples, weeks, places) or (samples, features, weeks, places), given as (path, content), as
+    rows (file, sample_id, feature, week_idx, place, value); one file at a time per task, no pickles."""
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -88,10 +88,13 @@ def read_sample_tensors(spark: SparkSession, path: str) -> DataFrame:
                     f, w, p = np.indices(a.shape[1:])
                     yield pd.DataFrame({"file": file, "sample_id": s, "feature": f.ravel(), "week_idx": w.ravel(), "place": p.ravel(), "value": a[s].ravel().astype(float)})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInPandas(unpack, "file string, sample_id int, feature int, week_idx int, place int, value double")
 
 
+def read_sample_tensors(spark: SparkSession, path: str) -> DataFrame:
+    return sample_tensors(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path))
+
+
 def read_run_log(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", finished: bool = True) -> DataFrame:
     raw = spark.read.schema(schema).format(fmt).option("header", True).load(path)
     return raw.where(F.col("status") == "FINISHED") if finished and "status" in raw.columns else raw

@@ -70,8 +70,10 @@ def test_tensors(spark, tmp_path):
 def test_hub_files_and_summary(spark, tmp_path):
     rows = [("m1", dt.date(2023, 10, 14), "01", 1.0), ("m1", dt.date(2023, 10, 14), "02", 2.0), ("m2", dt.date(2023, 10, 21), "01", 3.0)]
     sk.write_hub_forecasts(spark.createDataFrame(rows, "model string, reference_date date, location string, value double"), str(tmp_path / "h"))
-    files = sorted(p.parent.relative_to(tmp_path / "h").as_posix() for p in (tmp_path / "h").rglob("*.csv"))
-    assert files == ["model=m1/reference_date_dir=2023-10-14", "model=m2/reference_date_dir=2023-10-21"]
+    files = sorted(p.relative_to(tmp_path / "h").as_posix() for p in (tmp_path / "h").rglob("*.csv"))
+    assert files == ["m1/2023-10-14-m1.csv", "m2/2023-10-21-m2.csv"]
+    back = rd.read_hub_forecasts(spark, str(tmp_path / "h")).select("model", "reference_date", "location", F.col("value").cast("double"), "file_date").collect()
+    assert sorted(tuple(r) for r in back) == [(m, str(d), p, v, d) for m, d, p, v in rows]
     sk.write_summary_json(spark.range(3).agg(F.count("*").alias("n")), str(tmp_path / "s"))
     assert [json.loads(x) for p in (tmp_path / "s").glob("*.json") for x in p.read_text().splitlines()] == [{"n": 3}]
 
