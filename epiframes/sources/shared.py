@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Folders that this process has made and not released yet.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str = "data") -> str:
     """A new folder under the cluster's spark.checkpoint.dir; where that is unset, a local one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,4 +21,18 @@ def shared_dir(spark: SparkSession, name: str = "data") -> str:
         if master.partition("[")[0] != "local":
             raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> int:
+    """How many folders there are: a mark for ``release``."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the folders made since a mark, once no table that reads them is needed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    while len(_MADE) > since:
+        path = place(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -24,4 +24,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from epiframes.sources.shared import release
+
+    release(s)
     s.stop()
