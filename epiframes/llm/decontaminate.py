@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, shared_dir, text_or_empty, written
+from ..sources.shared import shared_dir
+from .common import bounded_batches, map_batches, text_or_empty, written
 
 BLOCK_WORDS = 100_000
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"

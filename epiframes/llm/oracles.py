@@ -1,7 +1,7 @@
 """DuckDB SQL twins of the text queries, where SQL can express them."""
 
 from .quality import RULES, STOP_WORDS
-from .urls import BLOCKED_WORDS, PREFIX_RULES
+from .urls import BLOCKED_PATHS, BLOCKED_WORDS, PREFIX_RULES
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -38,7 +38,8 @@ WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 h AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
 SELECT page_id, host, path, CASE {" ".join(f"{f} '{h}{p}'" for f, (_, h, p) in zip(_fits, _sorted, strict=True))} END AS rule,
   CASE {" ".join(f"{f} '{v}'" for f, (v, _, _) in zip(_fits, _sorted, strict=True))}
-  WHEN regexp_matches(host, '(^|[^0-9a-z_])({"|".join(BLOCKED_WORDS)})($|[^0-9a-z_])') THEN 'block' ELSE 'allow' END AS verdict
+  WHEN regexp_matches(host, '(^|[^0-9a-z_])({"|".join(BLOCKED_WORDS)})($|[^0-9a-z_])') THEN 'block'
+  WHEN len(list_intersect(regexp_split_to_array(path, '[^0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+'), {list(BLOCKED_PATHS)!r})) > 0 THEN 'block' ELSE 'allow' END AS verdict
 FROM h
 """
 

@@ -82,7 +82,9 @@ def hilbert_shards(rows: DataFrame, dims: list[str], ties: list[str], shards: in
     """Add ``curve`` (index), ``shard`` and ``slot`` (gapless in the shard) to rows of metadata.
 
     Shards are runs of the order (curve, ties); their row counts differ by one at most.  Rows equal in all
-    of these are interchangeable; nulls sort first; an empty table gives an empty result.
+    of these are interchangeable; nulls sort first; repeated rows have slots of their own; an empty table
+    gives an empty result.  All columns of ``rows`` stay but ``curve``, ``shard``, ``slot``, ``run`` and ``rank``,
+    which are replaced.
     """
     n_parts = partitions(rows.sparkSession)
     order = ["curve", *ties]
@@ -101,6 +103,8 @@ def hilbert_shards(rows: DataFrame, dims: list[str], ties: list[str], shards: in
     return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("rank") - first).cast("long")).drop("run", "rank")
 
 
-def write_shards(rows: DataFrame, path: str) -> None:
-    """One folder per shard, rows in slot order: each shard is a run of the curve."""
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """One folder per shard, rows in slot order.  Each of about ``files`` files (as many as shuffle partitions, if
+    not given) is a run of the curve within a shard, so its dimensions span little and scans skip it by its statistics."""
+    n = files or partitions(rows.sparkSession)
+    rows.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

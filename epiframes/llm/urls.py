@@ -3,8 +3,8 @@
 A rule is an anchored pattern over ``host + path`` with the literal tokens that every match must hold.
 The rules are filed in a hash table under the one of their tokens that is rarest in the data; a URL's
 tokens fetch its candidate rules from the table, and only those candidates run their regular expression.
-The table is a literal array of buckets, so a look-up costs one array access and nothing is shuffled.
-It holds rules, not data; ``MAX_RULES`` bounds it.
+Up to ``MAX_RULES`` rules the table is a literal array of buckets, so a look-up costs one array access and nothing
+is shuffled.  With more rules it is a table of its own that the tokens of the distinct URLs are joined with.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality import let
 
-MAX_RULES = 20_000
+#: Rules up to which the table is a literal in the plan.
+MAX_RULES = 2_000
 _SPLIT = "[^0-9A-Za-z_\\x{80}-\\x{10FFFF}]+"
 
 
@@ -44,6 +45,11 @@ def word_rule(verdict: str, word: str) -> UrlRule:
     return UrlRule(word, verdict, f"^[^/]*(?<![0-9a-z_]){re.escape(word)}(?![0-9a-z_])[^/]*(?:/|$)", (word,), len(word))
 
 
+def path_rule(verdict: str, word: str) -> UrlRule:
+    """A word as a whole token of the path."""
+    return UrlRule("/" + word, verdict, f"^[^/]*/(?:.*[^0-9A-Za-z_])?{re.escape(word)}(?![0-9A-Za-z_\\x{{80}}-\\x{{10FFFF}}])", (word,), len(word))
+
+
 #: Fixed values: (verdict, host, path).
 PREFIX_RULES = (
     ("allow", "org", "/"),
@@ -52,7 +58,12 @@ PREFIX_RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-BLOCKED_WORDS = ("spam", "pills", "casino", "porn", "viagra", "malware", "phishing")
+#: The method's own rules: whole tokens of hosts, and whole tokens of paths.
+BLOCKED_WORDS = (
+    "spam", "pills", "casino", "porn", "viagra", "malware", "phishing", "xxx", "sex", "cialis", "poker", "gambling", "betting", "jackpot", "payday", "escort",
+    "hentai", "torrent", "warez", "keygen", "adserver", "doubleclick", "clickbait", "spyware", "ransomware", "botnet",
+)
+BLOCKED_PATHS = ("porn", "xxx", "viagra", "cialis", "casino", "warez", "keygen", "crack", "torrent", "phishing", "malware", "exe", "apk", "adclick", "popunder")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -72,8 +83,6 @@ def token_counts(pages: DataFrame, url: str, rules: list[UrlRule]) -> dict[str,
 
 def bucket_table(rules: list[UrlRule], counts: dict[str, int]) -> tuple[Column, int]:
     """Rules by hash of their rarest token, as one literal array of buckets."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the table takes {MAX_RULES}")
     size = 1 << max(4, (2 * len(rules) - 1).bit_length())
     buckets: list[list] = [[] for _ in range(size)]
     for r in rules:
@@ -92,23 +101,48 @@ def _crc(token: str) -> int:
     return zlib.crc32(token.encode())
 
 
+def rule_table(spark: SparkSession, keys: DataFrame, rules: list[UrlRule]) -> DataFrame:
+    """Rules with their rarest token among the keys' tokens, as a table."""
+    if any(not r.tokens for r in rules):
+        raise ValueError("each rule needs a whole literal token")
+    rows = spark.createDataFrame(rules, "rule string, verdict string, pattern string, tokens array<string>, rank int")
+    each = rows.withColumn("token", F.explode("tokens"))
+    held = keys.select(F.explode(_tokens(F.concat("host", "path"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    rarest = each.join(held, "token", "left").groupBy("rule", "verdict", "pattern", "rank").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    return rarest
+
+
+def _tokens(key: Column) -> Column:
+    return F.array_distinct(F.split(key, _SPLIT))
+
+
 def judge_urls(pages: DataFrame, url: str = "url", rules: list[UrlRule] | None = None, default: str = "allow") -> DataFrame:
     """Add ``host``, ``path`` and ``match`` (the winning rule as a struct, or null).
 
-    Null URLs and URLs without ``://`` have an empty host and path and match nothing; repeated rows are
-    judged alike; other columns pass through.  ``default`` is for the caller: see ``verdict``.
+    Null and empty URLs and URLs without ``://`` have an empty host and path and match nothing; repeated rows are
+    judged alike; very long URLs are split and matched whole; an empty table gives none.  Of rules of equal rank the
+    greater name, then verdict, wins.  Other columns pass through; ``host``, ``path`` and ``match`` are replaced.
+    ``default`` is for the caller: see ``verdict``.
     """
     rules = default_rules() if rules is None else rules
-    table, size = bucket_table(rules, token_counts(pages, url, rules))
     host, path = split_url(F.col(url))
+    named = lambda r: F.struct(r["rank"].alias("rank"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))
+    if len(rules) > MAX_RULES:
+        placed = pages.withColumns({"host": host, "path": path}).drop("match")
+        keys = placed.select("host", "path").distinct()
+        key = F.concat("host", "path")
+        fetched = keys.withColumn("token", F.explode(_tokens(key))).join(rule_table(pages.sparkSession, keys, rules), "token")
+        best = fetched.where(F.regexp_like(key, F.col("pattern"))).groupBy("host", "path").agg(F.max(F.struct("rank", "rule", "verdict")).alias("match"))
+        return placed.join(best, ["host", "path"], "left").select(*placed.columns, "match")
+    table, size = bucket_table(rules, token_counts(pages, url, rules))
 
     def best(key: Column) -> Column:
-        tokens = F.array_distinct(F.split(key, _SPLIT))
-        fetched = F.flatten(F.transform(tokens, lambda t: F.filter(F.get(table, F.pmod(F.crc32(t.cast("binary")), F.lit(size)).cast("int")), lambda r: r["token"] == t)))
-        return F.array_max(F.transform(F.filter(fetched, lambda r: F.regexp_like(key, r["pattern"])), lambda r: F.struct(r["rank"].alias("rank"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
+        fetched = F.flatten(F.transform(_tokens(key), lambda t: F.filter(F.get(table, F.pmod(F.crc32(t.cast("binary")), F.lit(size)).cast("int")), lambda r: r["token"] == t)))
+        return F.array_max(F.transform(F.filter(fetched, lambda r: F.regexp_like(key, r["pattern"])), named))
 
     return pages.withColumns({"host": host, "path": path, "match": let(F.concat(host, path), best)})
 
 
 def default_rules() -> list[UrlRule]:
-    return [prefix_rule(*r) for r in PREFIX_RULES] + [word_rule("block", w) for w in BLOCKED_WORDS]
+    own = [word_rule("block", w) for w in BLOCKED_WORDS] + [path_rule("block", w) for w in BLOCKED_PATHS]
+    return [prefix_rule(*r) for r in PREFIX_RULES] + own

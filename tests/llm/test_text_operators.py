@@ -68,6 +68,64 @@ def test_urls(spark):
         judge_urls(df, rules=[prefix_rule("block", "", "/")])
 
 
+@pytest.mark.parametrize("most", [100_000, 100])
+def test_thousands_of_url_rules(spark, monkeypatch, most):
+    from epiframes.llm import urls as module
+
+    monkeypatch.setattr(module, "MAX_RULES", most)
+    rnd = random.Random(17)
+    label = lambda: rnd.choice(["a", "b", "cc", "news", "shop", "x1"]) + str(rnd.randint(0, 60))
+    rules = {}
+    for _ in range(3000):
+        r = module.prefix_rule(rnd.choice(["allow", "block"]), ".".join(label() for _ in range(rnd.randint(1, 3))), "/" + "/".join(label() for _ in range(rnd.randint(0, 2))))
+        rules[r.rule] = r
+    rules = list(rules.values()) + [module.word_rule("block", w) for w in ("news1", "shop2")]
+    urls = ["http://" + ".".join(label() for _ in range(rnd.randint(1, 4))) + "/" + "/".join(label() for _ in range(rnd.randint(0, 3))) for _ in range(1500)] + [None, "", "http://news1", "x"]
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls + urls[:20])), "page_id long, url string"), rules=rules).collect()
+    compiled = [(r.rank, r.rule, r.verdict, re.compile(r.pattern)) for r in rules]
+    assert len(got) == len(urls) + 20
+    for r in got:
+        want = max(((k, n, v) for k, n, v, p in compiled if p.search(r.host + r.path)), default=None)
+        assert (tuple(r.match) if r.match else None) == want
+
+
+def test_url_paths_and_empty_pages(spark):
+    urls = ["http://a.net/x/crack/", "http://a.net/cracker", "http://a.net/a.exe", "http://a.net/exed", "http://crack.net/", "http://poker.a.net/", "http://example.com/fr/xxx"]
+    got = [r.match.verdict if r.match else None for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
+    assert got == ["block", None, "block", None, None, "block", "allow"]
+    assert judge_urls(spark.createDataFrame([], "page_id long, url string, match int")).count() == 0
+
+
+def test_op7_against_brute_force(spark, tmp_path):
+    rnd = random.Random(23)
+    texts = [None, "", "é漢🙂", "x" * (1 << 20), *("w " * rnd.randint(0, 300) for _ in range(400))]
+    rows = [(i if i % 17 else None, t, rnd.choice(["en", "fr", None]), rnd.choice(["a", "b", "c"]), 3) for i, t in enumerate(texts)] + [(5, "same", "en", "a", 3)] * 3
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = tq.op7_hilbert_shards(spark, str(tmp_path)).collect()
+    want = sorted(repr((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))) for i, t, *_ in rows)
+    assert sorted(repr((r.doc_id, r["size"], r.text_crc32)) for r in got) == want
+    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    slots = {s: sorted(r.slot for r in got if r.shard == s) for s in range(16)}
+    assert all(x == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    order = [r.curve for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
+
+
+def test_shards_are_skipped_by_any_dimension(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(29)
+    rows = [(i, rnd.randint(0, 10**6), rnd.randint(0, 10**6), f"s{rnd.randint(0, 40)}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, score long, source string").repartition(5)
+    write_shards(hilbert_shards(df, ["size", "score"], ["doc_id"], 16), str(tmp_path / "s"), files=128)
+    files = [pq.ParquetFile(p).metadata.row_group(0) for p in (tmp_path / "s").rglob("*.parquet")]
+    assert len(files) >= 100 and sum(f.num_rows for f in files) == len(rows)
+    for name in ("size", "score"):
+        at = [f.column(i).statistics for f in files for i in range(f.num_columns) if f.column(i).path_in_schema == name]
+        met = sum(x.min <= 110_000 and x.max >= 100_000 for x in at)
+        assert met < 0.4 * len(at), (name, met, len(at))
+
+
 def test_hilbert(spark, tmp_path):
     side = spark.range(16)
     grid = side.select(F.col("id").alias("x")).crossJoin(side.select(F.col("id").alias("y")))
