@@ -12,12 +12,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiframes.llm.common import broadcast_if_small, shared_dir, table, text_or_empty, written
+from epiframes.llm.common import broadcast_if_small, table, text_or_empty, written
 from epiframes.llm.decontaminate import decontaminate
 from epiframes.llm.jaccard import near_duplicates
 from epiframes.llm.pieces import encode_decode
 from epiframes.llm.pii import masked, personal_data
 from epiframes.llm.quality import quality
+from epiframes.sources.shared import made, release, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -98,9 +99,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table; what a stage has put aside goes once its result is written."""
     docs = table(spark, sf_dir, "documents", *COLUMNS)
     folder = shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
+        mark = made()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        release(spark, mark)
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
