@@ -99,8 +99,12 @@ class Merger:
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; special strings inside a text are one token each."""
         out = [self._long(t) if len(t) > SLICE_CHARS else self._pieces(t) for t in texts]
-        known = self.cache.of([x[1] for x in out if not isinstance(x, int)]).__getitem__
-        return [x if isinstance(x, int) else x[0] + sum(map(known, x[1])) for x in out]
+        counts, at = self.cache.values([p for x in out if not isinstance(x, int) for p in x[1]]), 0
+        for i, x in enumerate(out):
+            if not isinstance(x, int):
+                out[i] = x[0] + sum(counts[at : at + len(x[1])])
+                at += len(x[1])
+        return out
 
     def _parts(self, text: str) -> list[str]:
         return self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
@@ -114,8 +118,7 @@ class Merger:
         n = len(parts) - 1
         for p in parts:
             for first, s in slices(p):
-                cut = pieces(s, first)
-                n += sum(map(self.cache.of([cut]).__getitem__, cut))
+                n += sum(self.cache.values(pieces(s, first)))
         return n
 
 

@@ -38,6 +38,23 @@ class Cache:
         return self.known
 
 
+    def values(self, flat: list[str]) -> list:
+        """The value of each piece, with one look-up for those that are known."""
+        out = list(map(self.known.get, flat))
+        gaps = [i for i, v in enumerate(out) if v is None]
+        todo = {flat[i] for i in gaps}
+        if todo:
+            if len(self.known) + len(todo) > self.entries:
+                self.old, self.known = self.known, {}
+            new = {p: self.old[p] for p in todo.intersection(self.old)}
+            todo = list(todo.difference(new)) if new else list(todo)
+            new.update(zip(todo, self.fill(todo), strict=True))
+            self.known.update(new)
+            for i in gaps:
+                out[i] = new[flat[i]]
+        return out
+
+
 def slices(text: str, limit: int = SLICE_CHARS) -> Iterator[tuple[bool, str]]:
     """A text in parts of about ``limit`` characters, each later one cut off after a boundary space."""
     first, at = True, 0

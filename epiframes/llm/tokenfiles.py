@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
 import zlib
 from array import array
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import PATTERN, byte_symbols
-from .chunks import HEAD, Cache, grouped, pieces, slices, whole
+from .chunks import HEAD, SLICE_CHARS, Cache, grouped, pieces, slices, whole
 from .common import bounded_batches, map_batches, partitions, text_or_empty
 
 MAGIC, VERSION = b"EFTK", 2
@@ -36,6 +37,8 @@ COUNT_BYTES = 1 << 20
 BLOCK_IDS = 1 << 19
 #: Characters below are letters, digits or neither in every version of Unicode; others are left to the library.
 SETTLED = "\u0500"
+#: ASCII characters that are neither letters, digits nor white space.
+SYMBOLS = string.punctuation
 #: Bytes of each of the four ids that a control byte describes.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -87,50 +90,60 @@ class Encoder:
         spec = json.loads(self.lib.to_str())
         way = spec["pre_tokenizer"] or {}
         self.by_pieces = way.get("type") == "ByteLevel" and way.get("use_regex") and not way.get("add_prefix_space") and not (spec["normalizer"] or spec["truncation"] or spec["padding"])
-        self.bytes_to_symbols = dict(enumerate(byte_symbols()))
+        self.symbols = byte_symbols()
         self.pattern = regex.compile(PATTERN)
         self.cache = Cache(self.fill)
 
     def each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def parts(self, p: str) -> list[str] | None:
+        """The pieces that a piece's pre-tokens would be; None if only the library can tell."""
+        core = p.rstrip(SYMBOLS)
+        if core.isalpha() and (core.isascii() or max(core) < SETTLED):
+            return [core, HEAD + p[len(core) :]] if len(core) < len(p) else [p]
+        if not p.isascii() and not (max(p[1:], default="") < SETTLED and (p[0] < SETTLED or p[0] == HEAD)):
+            return None
+        return [x[1:] if x[0] == " " and len(x) > 1 else HEAD + x for x in self.pattern.findall(whole(p))]
+
     def fill(self, todo: list[str]) -> list[bytes]:
-        """Ids of pieces, from those of their pre-tokens.  A pre-token is kept as the piece it would be."""
-        known, old = self.cache.known, self.cache.old
-        parts: dict[str, list[str]] = {}
-        got: dict[str, bytes] = {}
-        strange = []
+        """Ids of pieces, from those of their pre-tokens, which are kept as the pieces they would be."""
+        known, old, got = self.cache.known, self.cache.old, {}
+        kind, tokenize, symbols = "H" if self.kind.itemsize == 2 else "I", self.lib.model.tokenize, self.symbols
+
+        def new(p: str) -> bytes:
+            text = "\u0120" + p if p.isascii() and p.isalpha() else "".join([symbols[b] for b in whole(p).encode()])
+            return array(kind, [t.id for t in tokenize(text)]).tobytes()
+
+        def ids(p: str) -> bytes:
+            x = got.get(p) or known.get(p) or old.get(p)
+            if x is None:
+                x = got[p] = new(p)
+            return x
+
+        strange, out = [], []
         for p in todo:
             if p.isascii() and p.isalpha():
-                got[p] = b""
-            elif p[:-1].isascii() and p[:-1].isalpha() and p[-1] in ".,;:!?":
-                parts[p] = [p[:-1], HEAD + p[-1]]
-            elif max(p[1:], default="") < SETTLED and (p[0] < SETTLED or p[0] == HEAD):
-                pre = self.pattern.findall(whole(p))
-                if len(pre) == 1:
-                    got[p] = b""
-                else:
-                    parts[p] = [x[1:] if x[0] == " " and len(x) > 1 else HEAD + x for x in pre]
-            else:
+                out.append(got.get(p) or new(p))
+                continue
+            parts = self.parts(p)
+            if parts is None:
                 strange.append(p)
-        for x in {x for pair in parts.values() for x in pair}:
-            if x not in got:
-                got[x] = known[x] if x in known else old[x] if x in old else b""
-        kind, tokenize = "H" if self.kind.itemsize == 2 else "I", self.lib.model.tokenize
-        for p, ids in got.items():
-            if not ids:
-                symbols = "\u0120" + p if p.isascii() and p.isalpha() else whole(p).encode().decode("latin-1").translate(self.bytes_to_symbols)
-                got[p] = array(kind, [t.id for t in tokenize(symbols)]).tobytes()
-        got.update(zip(strange, self.each([whole(p) for p in strange]), strict=True))
-        return [got[p] if p in got else b"".join(map(got.__getitem__, parts[p])) for p in todo]
+            out.append(b"" if parts is None else ids(parts[0]) + ids(parts[1]) if len(parts) == 2 else b"".join(map(ids, parts)))
+        if strange:
+            own = dict(zip(strange, self.each([whole(p) for p in strange]), strict=True))
+            out = [own.get(p, x) for p, x in zip(todo, out, strict=True)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:
             return self.each(texts)
-        cut = [None if len(t) > 1 << 20 or any(s in t for s in self.special) else pieces(t) for t in texts]
-        known = self.cache.of([c for c in cut if c is not None]).__getitem__
-        out = [b"".join(map(known, c)) if c is not None else None for c in cut]
-        return [self.piecewise(t) if x is None else x for t, x in zip(texts, out, strict=True)]
+        cut = [None if len(t) > SLICE_CHARS or any(s in t for s in self.special) else pieces(t) for t in texts]
+        ids, at, out = self.cache.values([p for c in cut if c is not None for p in c]), 0, []
+        for t, c in zip(texts, cut, strict=True):
+            out.append(self.piecewise(t) if c is None else b"".join(ids[at : at + len(c)]))
+            at += len(c or ())
+        return out
 
     def piecewise(self, text: str) -> bytes:
         """Long texts in slices; special strings as their own ids."""
@@ -141,8 +154,7 @@ class Encoder:
                 out.append(np.array([self.special[p]], self.kind).tobytes())
             else:
                 for first, s in slices(p):
-                    c = pieces(s, first)
-                    out.append(b"".join(map(self.cache.of([c]).__getitem__, c)))
+                    out += self.cache.values(pieces(s, first))
         return b"".join(out)
 
 
