@@ -132,7 +132,12 @@ def merger(path: str) -> Merger:
 
 
 def count_tokens(docs: DataFrame, key: list[str], path: str, limit: int, text: str = "text") -> DataFrame:
-    """Per row: key columns, ``n_bytes``, ``n_tokens``, ``over_limit``.  Null and empty texts have none."""
+    """Per row: key columns, ``n_bytes``, ``n_tokens``, ``over_limit``.
+
+    Null and empty texts have no tokens.  Very long texts are counted in slices that no token crosses; of equal
+    ranks in a pre-token all occurrences merge at once, overlapping ones from the left.  Repeated rows and null keys
+    are counted like others.  An empty table gives none; columns that are not named in ``key`` are left out.
+    """
     bounded_batches(docs.sparkSession)
     n = len(key)
 

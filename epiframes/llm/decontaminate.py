@@ -193,7 +193,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: list[str], window: int
     ``contaminated``: some word is hit and hit words times ``coverage`` reach the words.  With ``cut``, also
     ``clean_text``: the text without its hit runs (from a run's first word to its last).  Null and empty
     texts have no words; items without words have no window; an empty item table hits nothing; a null
-    item id counts as an empty string; repeated items count once.
+    item id counts as an empty string; repeated items count once.  Repeated rows and null keys are judged like
+    others; very long texts are streamed whole; an empty table gives none; columns that are not named in ``key``
+    are left out.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

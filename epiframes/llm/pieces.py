@@ -139,8 +139,9 @@ def coder(path: str) -> PieceCoder:
 def encode_decode(docs: DataFrame, key: list[str], path: str, text: str = "text", full: bool = False) -> DataFrame:
     """Per row: key columns, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``; with ``full`` also ``ids`` and ``decoded``.
 
-    Null and empty texts have the begin and end ids only.  Long texts are encoded whole; what a worker
-    keeps between batches is bounded by the cache's size.
+    Null and empty texts have the begin and end ids only.  Very long texts are encoded whole; what a worker
+    keeps between batches is bounded by the cache's size.  Repeated rows and null keys are coded like others.
+    An empty table gives none; columns that are not named in ``key`` are left out, so none can clash.
     """
     bounded_batches(docs.sparkSession)
     n = len(key)

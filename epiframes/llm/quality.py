@@ -143,7 +143,8 @@ def compile_rules(rules: tuple[Rule, ...], value: Callable[[str], Column]) -> di
 def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Add a struct ``quality`` (metrics, ``base_failed``, ``failed_rules``, ``kept``) to each row.
 
-    Null and empty texts have no words and fail; repeated rows are judged alike; other columns pass through.
+    Null and empty texts have no words and fail; repeated rows are judged alike; very long texts are measured whole;
+    an empty table gives none; other columns pass through, but one named ``quality`` is replaced.
     """
     m = metrics(F.coalesce(F.col(text), F.lit("")))
     return docs.withColumn("quality", let(F.struct(*[c.alias(k) for k, c in m.items()]), lambda got: verdict(got, rules)))

@@ -24,20 +24,24 @@ from .urls import judge_urls
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and their decoded text, as digests.  Edge cases: see the operator."""
     return encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows hit.  Edge cases: see the operator."""
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     got = decontaminate(docs, items, ["doc_id"])
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that earlier documents hold in strings of 50.  Edge cases: see the operator."""
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and judged spans of every document.  Edge cases: see the operator."""
     got = personal_data(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     counts = [_of_kind(code).alias(f"n_{kind}") for code, kind in enumerate(BASE)]
@@ -49,17 +53,20 @@ def _of_kind(code: int):
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents, written and read back.  Edge cases: see the operator."""
     folder = shared_dir(spark)
     write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_token_files(spark, folder).withColumnRenamed("key", "doc_id")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality metrics and verdict of every document.  Edge cases: see the operator."""
     got = quality(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "quality.*")
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal counts along the curve.  Edge cases: see the operator."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     size = F.octet_length(text_or_empty()).cast("long") + 1
     meta = docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32"))
@@ -68,14 +75,17 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE tokens of every document.  Edge cases: see the operator."""
     return count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 4-word sets reach 0.85.  Edge cases: see the operator."""
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=4, num=85)
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page.  Edge cases: see the operator."""
     got = judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
     fixed = F.col("match.rank") >= 1000  # host and path rules; the others are the method's own words
     return got.select("page_id", "host", "path", F.when(fixed, F.col("match.rule")).alias("rule"), F.coalesce("match.verdict", F.lit("allow")).alias("verdict"))

@@ -20,6 +20,11 @@ suffix at the anchor plus the few bytes before it.
 
 Within a block only the least document of equal families travels, so a string in a third of all
 documents costs one record per block.
+
+What differs from plain suffix sorting: not every suffix is sorted, as step 2 leaves out those that cannot
+repeat (else each byte would be sent fifty times); splitters are whole anchors, so there is nothing to compare
+across boundaries; and the local sort takes the multikey scheme (a symbol at a time, only ties go on) with
+numpy's own sort of each symbol instead of three-way partitions.
 """
 
 from __future__ import annotations
@@ -553,7 +558,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ful
     """Per row: key, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``full`` also ``kept`` (bytes).
 
     Null and empty texts have no bytes; rows with a null key keep all bytes and remove nothing from
-    others; rows that repeat a key are not earlier than each other.
+    others; rows that repeat a key are not earlier than each other.  Very long texts are whole documents of
+    their block.  An empty table gives none; other columns are left out.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
