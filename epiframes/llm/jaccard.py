@@ -268,13 +268,14 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return map_batches(right.join(broadcast_if_small(pairs), "b").join(left, "a").select("a", "b", "sa", "sb"), check, "a long, b long")
 
 
-def _open(members: DataFrame, roots: DataFrame, extra: list[int]) -> DataFrame:
+def _open(members: DataFrame, roots: DataFrame, extra: list[int], least: int) -> DataFrame:
     """(sig, class, root) of open signatures, for the sets that have more of them in a band than it can spare.
 
-    Two sets under one signature are a star of their own and have been verified already.
+    Signatures of fewer than ``least`` sets are left out: two sets under one signature, among all sets, are a star
+    of their own and have been verified; two that are left of a larger group have not.
     """
     placed = members.join(roots.withColumnRenamed("vertex", "class"), "class", "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
-    spread = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y AND m > 2").select("sig")
+    spread = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where(F.expr("x <> y") & (F.col("m") >= least)).select("sig")
     found = placed.join(spread, "sig").withColumn("band", F.col("sig").bitwiseAND((1 << BAND_BITS) - 1).cast("int"))
     enough = found.groupBy("class", "band").agg(F.count("*").alias("k")).where(F.col("k") > F.get(F.lit(extra), F.col("band")))
     return written(found.join(enough.select("class", "band"), ["class", "band"]).select("sig", "class", "root"))
@@ -379,7 +380,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     sets = sets_for(ends(star), None)
     links = written(verified(star, sets, num, den))
     roots = components(links)
-    left = _open(members, roots, extra)
+    left = _open(members, roots, extra, least=3)
     # in a cluster around one text most sets link with that text only: the set that shares most is the hub
     size = left.groupBy("sig").agg(F.count("*").alias("m"))
     weight = left.join(size, "sig").groupBy("class").agg(F.sum("m").alias("w"))
@@ -391,7 +392,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     if found.head(1):
         links = links.union(found)
         roots = components(links)
-        left = _open(left.select("sig", "class"), roots, extra)
+        left = _open(left.select("sig", "class"), roots, extra, least=2)
     crowd = written(left.select("class", "root").distinct().join(classes.select("class", *marks), "class"))
     sets = sets_for(crowd.select("class"), sets)
     met = _met_in_prefix(crowd, sets, may_link, num, den)

@@ -429,6 +429,17 @@ def test_jaccard_of_a_cluster_around_a_hub_and_of_a_common_passage(spark, monkey
     assert met[0].count() < 3 * len(texts)
 
 
+def test_open_signatures_keep_two_that_are_left_of_more(spark):
+    from epiframes.llm.jaccard import _open
+
+    roots = spark.createDataFrame([(9, 9)], "vertex long, root long")
+    members = spark.createDataFrame([(64, 1), (64, 2), (128, 1), (128, 2), (192, 3), (192, 4)], "sig long, class long")
+    extra = [0] * 64
+    assert _open(members, roots, extra, least=3).count() == 0
+    assert {(r.sig, r["class"]) for r in _open(members, roots, extra, least=2).collect()} == {(64, 1), (64, 2), (128, 1), (128, 2), (192, 3), (192, 4)}
+    assert {r["class"] for r in _open(members, roots, [1] * 64, least=2).collect()} == {1, 2}
+
+
 def test_jaccard_names_rows_by_id_and_text(spark):
     rows = [(3, "a b c d e f g h"), (7, "a b c d e f g h"), (7, "other words that are here and clean"), (9, "one two three four five six"), (9, "one two three four five six"), (None, "a b c d e f g h"), (5, None)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows_too=True).collect()
