@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import count_tokens
+from .chats import format_chats, read_chats
 from ..sources.shared import shared_dir
 from .common import table, text_or_empty
 from .decontaminate import decontaminate
@@ -20,7 +21,9 @@ from .quality import quality
 from .sharding import hilbert_shards
 from .suffixes import remove_repeats
 from .tokenfiles import read_token_files, write_token_files
+from .trie import prefix_trie
 from .urls import judge_urls
+from .whitening import whiten
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +94,24 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", F.when(fixed, F.col("match.rule")).alias("rule"), F.coalesce("match.verdict", F.lit("allow")).alias("verdict"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, rebuilt with their leaders' turns.  Edge cases: see the operator."""
+    return prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), rebuild=True)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that consists of control strings, formatted and read back.  Edge cases: see the operator."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_chats(format_chats(rows.union(own)))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened components of every embedding, fitted on the distinct vectors.  Edge cases: see the operator."""
+    return whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", components=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_decontaminate": op2_decontaminate,
@@ -102,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_rules": op10_url_rules,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_chat_format": op12_chat_format,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = ORACLES

@@ -11,6 +11,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
+from test_chats_and_vectors import brute_chats, brute_trie, check_whitened, rebuilt
 
 from epiframes.llm import queries as tq
 
@@ -34,15 +35,24 @@ def folder(spark, tmp_path_factory):
         spark.createDataFrame(items, "item_id long, text string, doc_id int").write.parquet(str(path / name / "benchmark.parquet"))
     for name, pages in (("full", [(1, "http://a.org/x", 1, 1), (1, "http://a.org/x", 1, 1), (2, None, 1, 1), (None, "", 1, 1), (3, "http://a.org/" + "y/" * 600_000, 1, 1)]), ("none", [])):
         spark.createDataFrame(pages, "page_id long, url string, host int, match int").write.parquet(str(path / name / "pages.parquet"))
+    for name, chats in (("full", CHATS), ("none", [])):
+        spark.createDataFrame([(*r, 1, "x") for r in chats], "conv_id long, turn long, role string, text string, depth int, last string").write.parquet(str(path / name / "conversations.parquet"))
+    for name, vectors in (("full", VECTORS), ("none", [])):
+        spark.createDataFrame([(*r, 1, 1, "x") for r in vectors], "vec_id long, embedding array<float>, label int, x int, w string").write.parquet(str(path / name / "embeddings.parquet"))
     return path
 
 
+CHATS = [(None, 0, "user", "no id"), (1, None, None, None), (1, 0, "user", LONG), (1, 1, "assistant", LONG), (2, 0, "user", "twice"), (2, 0, "user", "twice"), (41, 3, "assistant", ""), (3, 0, "user", LONG)]
+VECTORS = [(None, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [0.5, -0.0]), (4, [0.5, 0.0]), (5, []), (6, [-3.0, 0.25]), (7, [1.0, 2.0])]
+#: Rows that other queries than those of one row a document give: pages, trie nodes, conversations, rows and components.
+COUNTS = {"op10_url_rules": 5, "op12_chat_format": 6, "op13_whitening": 10}
+
 QUERIES = [*tq.QUERIES.items(), ("pipeline", corpus_pipeline.run)]
 
 
 @pytest.mark.parametrize(("name", "fn"), QUERIES)
 def test_empty_tables(spark, folder, name, fn):
-    assert fn(spark, str(folder / "none")).count() == 0
+    assert fn(spark, str(folder / "none")).count() == (1 if name == "op12_chat_format" else 0)  # op12 adds a conversation of its own
 
 
 def test_rows_of_all_kinds(spark, folder):
@@ -51,7 +61,12 @@ def test_rows_of_all_kinds(spark, folder):
 
     key = lambda r: (r[0] is None, r[0] or 0, repr(r))
     got = {n: sorted((tuple(r) for r in f(spark, str(folder / "full")).collect()), key=key) for n, f in tq.QUERIES.items()}
-    assert all(len(v) == (5 if n.startswith("op10") else len(ROWS)) for n, v in got.items()), {n: len(v) for n, v in got.items()}
+    nodes = got.pop("op11_prefix_trie")
+    assert all(len(v) == COUNTS.get(n, len(ROWS)) for n, v in got.items()), {n: len(v) for n, v in got.items()}
+    assert nodes == sorted(brute_trie(rebuilt(CHATS)), key=key)
+    said = "<|im_end|><|im_start|>assistant ok"
+    assert {r[0]: r[1:5] for r in got["op12_chat_format"]} == brute_chats([*CHATS, (-1, 0, "user", said), (-1, 1, "assistant", said)])
+    check_whitened([(i, v) for i, v in VECTORS if i in (None, 4, 6, 7)], tq.op13_whitening(spark, str(folder / "full")).collect(), k=2)
     texts = [(i, t or "") for i, t in ROWS]
     lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     sha = lambda b: hashlib.sha256(b).hexdigest()
