@@ -6,7 +6,7 @@ values are joined once, at the end.  All draws are md5 hashes of a seed and keys
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import hashed, uniform
@@ -21,9 +21,13 @@ FILLS = ("error", "zeros", "random", "skip")
 def validate_mix(obs: DataFrame, config: dict[str, dict], fill: str, scaling: DataFrame | None = None) -> None:
     """ValueError unless columns, sources, fill strategy, proportions and scaling agree."""
     require_columns(obs, REQUIRED)
+    check_mix({r[0] for r in obs.select("datasetH1").distinct().collect()}, config, fill, scaling is not None and bool(scaling.head(1)))
+
+
+def check_mix(have: set[str], config: dict[str, dict], fill: str, scaling: bool = False) -> None:
+    """The same over the names of the sources, without a job."""
     if fill not in FILLS:
         raise ValueError(f"Unknown fill strategy: {fill}; one of {FILLS}")
-    have = {r[0] for r in obs.select("datasetH1").distinct().collect()}
     for name in config:
         if name not in have:
             raise ValueError(f"Config datasets not found in the observations: {name}")
@@ -35,7 +39,7 @@ def validate_mix(obs: DataFrame, config: dict[str, dict], fill: str, scaling: Da
             raise ValueError("All proportions need the same total")
     elif not all(m for _, m in by):
         raise ValueError("Each source needs a multiplier")
-    if any(c.get("to_scale") for c in config.values()) and (scaling is None or not scaling.head(1)):
+    if any(c.get("to_scale") for c in config.values()) and not scaling:
         raise ValueError("A scaling distribution is needed")
 
 
@@ -73,6 +77,11 @@ def find_missing_locations(frames: DataFrame, obs: DataFrame, axis: DataFrame) -
     return grid.join(obs.select(*KEY, "location_code").distinct(), [*KEY, "location_code"], "left_anti")
 
 
+def missing_report(missing: DataFrame) -> DataFrame:
+    """What ``fill_error`` would name: the missing places of each frame, in order."""
+    return missing.groupBy("frame_id").agg(F.array_join(F.sort_array(F.collect_set("location_code")), ",").alias("places"), F.countDistinct("location_code").alias("n_missing"))
+
+
 def fill_error(missing: DataFrame) -> None:
     first = missing.select("frame_id", "location_code").orderBy("frame_id", "location_code").limit(20).collect()
     if first:
@@ -99,35 +108,55 @@ def fill_lookup(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by_year, by_sample
 
 
+def donor_directory(obs: DataFrame) -> DataFrame:
+    """Donors by rank: ``pos`` from 0 among the years of a (place, H1), and among the samples of a (place, H1, year).
+
+    ``year`` is null in the entries that rank years; ``n`` is the length of an entry's list.
+    """
+    by_year, by_sample = fill_lookup(obs)
+    cols = ["location_code", "h1", "year", "pos", "n", "donor"]
+    donor = F.struct("datasetH1", "datasetH2", "fluseason", "sample").alias("donor")
+    years, samples = Window.partitionBy("location_code", "datasetH1"), Window.partitionBy("location_code", "datasetH1", "fluseason")
+    ranked = lambda rows, w, order, year: rows.select("location_code", F.col("datasetH1").alias("h1"), year.alias("year"), (F.row_number().over(w.orderBy(order)) - 1).alias("pos"), F.count("*").over(w).alias("n"), donor).select(*cols)
+    return ranked(by_year, years, "fluseason", F.lit(None).cast("int")).unionByName(ranked(by_sample, samples, "sample", F.col("fluseason").cast("int")))
+
+
 def fill_random_donors(missing: DataFrame, obs: DataFrame, seed: int = 0) -> DataFrame:
     """For each missing (frame, location) the donor key and the note for its origin; null where there is none.
 
     Tier 1: same H1, another year; tier 2: same H1 and year, another sample; tier 3: the first other H1,
-    any year.  Within the best tier the candidate with the least hash is taken; each copy draws anew.
-    Donors are arrays per place, so each missing pair stays one row, and a tier is looked at only where
-    the one before it has nothing.
+    any year.  The best tier that has a candidate is drawn from evenly: a hashed position in the donor
+    directory, moved on by one from the frame's own entry, which is left out.  Each copy draws anew.  Every missing
+    pair stays one row, with numbers only; the directory is looked up at the drawn position.
     """
-    by_year, by_sample = fill_lookup(obs)
-    donor = F.struct("datasetH1", "datasetH2", "fluseason", "sample").alias("x")
-    years = by_year.select("location_code", donor).groupBy("location_code", F.col("x.datasetH1").alias("h1")).agg(F.collect_list("x").alias("years"))
-    samples = by_sample.select("location_code", donor).groupBy("location_code", F.col("x.datasetH1").alias("h1"), F.col("x.fluseason").alias("year")).agg(F.collect_list("x").alias("samples"))
-    sources = years.groupBy("location_code").agg(F.sort_array(F.collect_list(F.struct("h1", "years"))).alias("sources"))
-    m = missing.select("frame_id", "location_code", F.col("datasetH1").alias("h1"), F.col("fluseason").alias("year"), F.col("sample").alias("smp"), "origin")
-    j = m.join(years, ["location_code", "h1"], "left").join(samples, ["location_code", "h1", "year"], "left").join(sources, "location_code", "left")
-
-    def least(candidates, note):
-        """The candidate with the least hash as (datasetH1, ..., note), or null."""
-        draw = lambda x: hashed(seed, "frame_id", "location_code", x["datasetH1"], x["datasetH2"], x["fluseason"], x["sample"])
-        best = F.array_min(F.transform(candidates, lambda x: F.struct(draw(x).alias("h"), F.struct(x["datasetH1"].alias("datasetH1"), x["datasetH2"].alias("datasetH2"), x["fluseason"].alias("fluseason"), x["sample"].alias("sample"), note(x).alias("note")).alias("d"))))
-        return best["d"]
-
-    y = lambda x: x["fluseason"].cast("string")
+    directory = donor_directory(obs)
+    years, samples = directory.where("year IS NULL"), directory.where("year IS NOT NULL")
+    m = missing.select("frame_id", "location_code", F.col("datasetH1").alias("h1"), F.col("fluseason").cast("int").alias("year"), F.col("sample").alias("smp"), "origin")
+    head = years.where("pos = 0").select("location_code", "h1", "n")
+    own_year = years.select("location_code", "h1", F.col("donor.fluseason").cast("int").alias("year"), F.col("pos").alias("at1"))
+    n_samples = samples.where("pos = 0").select("location_code", "h1", "year", F.col("n").alias("n2"))
+    own_sample = samples.select("location_code", "h1", "year", F.col("donor.sample").alias("smp"), F.col("pos").alias("at2"))
+    place = Window.partitionBy("location_code").orderBy("h1")
+    two = head.withColumn("r", F.row_number().over(place)).where("r <= 2").groupBy("location_code").agg(*[F.max(F.when(F.col("r") == r, F.col(c))).alias(f"{c}_{r}") for r in (1, 2) for c in ("h1", "n")])
+    j = m.join(head.withColumnRenamed("n", "n1"), ["location_code", "h1"], "left").join(own_year, ["location_code", "h1", "year"], "left")
+    j = j.join(n_samples, ["location_code", "h1", "year"], "left").join(own_sample, ["location_code", "h1", "year", "smp"], "left").join(two, "location_code", "left")
+    # candidates of each tier: the list without the frame's own entry
+    left1, left2 = (F.coalesce(F.col(n), F.lit(0)) - F.col(at).isNotNull().cast("long") for n, at in (("n1", "at1"), ("n2", "at2")))
+    first_is_own = F.col("h1_1") == F.col("h1")
+    other, left3 = F.when(first_is_own, F.col("h1_2")).otherwise(F.col("h1_1")), F.coalesce(F.when(first_is_own, F.col("n_2")).otherwise(F.col("n_1")), F.lit(0))
+    tier = F.when(left1 > 0, 1).when(left2 > 0, 2).when(left3 > 0, 3)
+    j = j.select("frame_id", "location_code", "origin", "h1", "year", "at1", "at2", other.alias("other"), tier.alias("tier"), F.floor(uniform(seed, "frame_id", "location_code") * F.when(tier == 1, left1).when(tier == 2, left2).otherwise(left3)).cast("int").alias("pick"))
+    at = F.when(F.col("tier") == 1, F.col("at1")).when(F.col("tier") == 2, F.col("at2"))
+    drawn = j.select(
+        "frame_id", "location_code", "origin", "tier", F.when(F.col("tier") == 3, F.col("other")).otherwise(F.col("h1")).alias("h1"), F.when(F.col("tier") == 2, F.col("year")).alias("year"), (F.col("pick") + F.coalesce((F.col("pick") >= at).cast("int"), F.lit(0))).alias("pos")
+    )
+    d, x = directory.drop("n").alias("x"), drawn.alias("d")
+    got = x.join(d, (F.col("d.location_code") == F.col("x.location_code")) & (F.col("d.h1") == F.col("x.h1")) & F.col("d.year").eqNullSafe(F.col("x.year")) & (F.col("d.pos") == F.col("x.pos")), "left")
+    y = F.col("donor.fluseason").cast("string")
     # fixed values: the notes' wording
-    one = least(F.filter("years", lambda x: x["fluseason"] != F.col("year")), lambda x: F.concat(F.lit("filled_same_location_year_"), y(x), F.lit("_sample_"), x["sample"]))
-    two = least(F.filter("samples", lambda x: x["sample"] != F.col("smp")), lambda x: F.concat(F.lit("filled_same_location_sample_"), x["sample"]))
-    other = F.get(F.filter("sources", lambda x: x["h1"] != F.col("h1")), F.lit(0))["years"]
-    three = least(other, lambda x: F.concat(F.lit("filled_same_location_"), x["datasetH1"], F.lit("_year_"), y(x)))
-    return j.select("frame_id", "location_code", "origin", F.coalesce(one, two, three).alias("b")).select("frame_id", "location_code", "origin", "b.*")
+    note = F.when(F.col("tier") == 1, F.concat(F.lit("filled_same_location_year_"), y, F.lit("_sample_"), F.col("donor.sample")))
+    note = note.when(F.col("tier") == 2, F.concat(F.lit("filled_same_location_sample_"), F.col("donor.sample"))).when(F.col("tier") == 3, F.concat(F.lit("filled_same_location_"), F.col("donor.datasetH1"), F.lit("_year_"), y))
+    return got.select("d.frame_id", "d.location_code", "d.origin", "donor.*", note.alias("note"))
 
 
 def fill_random(missing: DataFrame, obs: DataFrame, seed: int = 0) -> DataFrame:
@@ -139,19 +168,41 @@ def fill_random(missing: DataFrame, obs: DataFrame, seed: int = 0) -> DataFrame:
     return rows.select("frame_id", "location_code", "season_week", "value", "week_enddate", F.concat("origin", F.lit("["), "note", F.lit("]")).alias("origin"))
 
 
-def pad_weeks(rows: DataFrame, axis: DataFrame, carry: str = "last") -> DataFrame:
+def pad_weeks(rows: DataFrame, axis: DataFrame, carry: str = "last", weeks: int = 53) -> DataFrame:
     """Weeks 1 to 53 for every location of the axis: 0 outside the observed span; inside it a missing week takes
-    the week before it if that was observed, else 0 (``ffill`` carries on through longer gaps)."""
-    rows = rows.join(F.broadcast(axis.select("location_code")), "location_code", "left_semi")
-    w = Window.partitionBy("frame_id", "location_code")
-    span = rows.groupBy("frame_id", "location_code").agg(F.min("season_week").alias("lo"), F.max("season_week").alias("hi"), F.min_by(F.struct("week_enddate", "origin"), "season_week").alias("first"))
-    grid = span.withColumn("season_week", F.explode(F.sequence(F.lit(1), F.lit(53))))
-    full = grid.join(rows.select("frame_id", "location_code", "season_week", F.col("value").alias("v"), F.col("week_enddate").alias("d"), F.col("origin").alias("o")), ["frame_id", "location_code", "season_week"], "left")
-    order = w.orderBy("season_week")
-    before = F.lag("v").over(order) if carry == "last" else F.last("v", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    inside = F.col("season_week").between(F.col("lo"), F.col("hi"))
-    value = F.when(F.col("v").isNotNull(), F.col("v")).when(inside, F.coalesce(before, F.lit(0.0))).otherwise(0.0)
-    return full.select("frame_id", "location_code", "season_week", value.alias("value"), F.coalesce("d", "first.week_enddate").alias("week_enddate"), F.coalesce("o", "first.origin").alias("origin"))
+    the week before it if that was observed, else 0 (``ffill`` carries on through longer gaps).
+
+    One aggregate a frame and place: its rows in order of week are merged with the weeks 1 to 53, each row being
+    followed by the weeks of the gap after it.  An observed null counts as a missing week; rows outside 1 to 53 go;
+    several rows of one week all stay.
+    """
+    rows = rows.join(F.broadcast(axis.select("location_code")), "location_code", "left_semi").where(F.col("season_week").between(1, weeks))
+    cell = F.struct(F.col("season_week").cast("int").alias("w"), F.col("week_enddate").alias("d"), F.col("origin").alias("o"), F.col("value").cast("double").alias("v"))
+    x = F.col("x")
+    merged = rows.groupBy("frame_id", "location_code").agg(F.sort_array(F.collect_list(cell)).alias("x"))
+
+    def pad(w: Column, value: Column) -> Column:
+        return F.struct(w.cast("int").alias("w"), x[0]["d"].alias("d"), x[0]["o"].alias("o"), value.alias("v"))
+
+    def gap(low: Column, high: Column, value) -> Column:
+        """Padding for the weeks low to high, if there are any."""
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda w: pad(w, value(w)))).otherwise(F.expr("array()").cast("array<struct<w:int,d:date,o:string,v:double>>"))
+
+    def part(r: Column, i: Column) -> Column:
+        after, before = F.get(x, i + 1), F.get(x, i - 1)
+        if carry == "last":
+            known = F.coalesce(r["v"], F.when(before["w"] == r["w"] - 1, before["v"]), F.lit(0.0))
+            carried = lambda w: F.when(w == r["w"] + 1, F.coalesce(r["v"], F.lit(0.0))).otherwise(0.0)
+        else:
+            seen = F.filter(F.slice(x, 1, i + 1), lambda y: y["v"].isNotNull())
+            known = F.coalesce(F.get(seen, F.size(seen) - 1)["v"], F.lit(0.0))
+            carried = lambda w: known
+        own = F.struct(r["w"].alias("w"), F.coalesce(r["d"], x[0]["d"]).alias("d"), F.coalesce(r["o"], x[0]["o"]).alias("o"), known.alias("v"))
+        return F.concat(F.array(own), F.when(after.isNotNull(), gap(r["w"] + 1, after["w"] - 1, carried)).otherwise(gap(r["w"] + 1, F.lit(weeks), lambda w: F.lit(0.0))))
+
+    cells = F.concat(gap(F.lit(1), x[0]["w"] - 1, lambda w: F.lit(0.0)), F.flatten(F.transform(x, part)))
+    out = merged.select("frame_id", "location_code", F.inline(cells))
+    return out.select("frame_id", "location_code", F.col("w").alias("season_week"), F.col("v").alias("value"), F.col("d").alias("week_enddate"), F.col("o").alias("origin"))
 
 
 def frame_peaks(rows: DataFrame) -> DataFrame:
@@ -159,23 +210,43 @@ def frame_peaks(rows: DataFrame) -> DataFrame:
     return weekly.groupBy("frame_id").agg(F.max("v").alias("peak"))
 
 
-def ranked_by(rows: DataFrame, value: str, width: float = 1.0) -> DataFrame:
-    """``rank`` from 1 by a number, nulls left out: counted within steps of ``width``, and over the steps before."""
-    stepped = rows.where(F.col(value).isNotNull()).withColumn("_step", F.floor(F.col(value) / width))
-    before = stepped.groupBy("_step").agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_step")) - F.col("_n")).drop("_n")
-    within = stepped.withColumn("rank", F.row_number().over(Window.partitionBy("_step").orderBy(value)))
-    return within.join(before, "_step").withColumn("rank", F.col("rank") + F.col("_before")).drop("_step", "_before")
+#: Distinct values that splitters are chosen from, and splitters: only how evenly the ranking is spread depends on them.
+SPLIT_SAMPLE, SPLITTERS = 4096, 256
+
+
+def splitters(values: DataFrame, value: str, sample: int = SPLIT_SAMPLE, most: int = SPLITTERS) -> DataFrame:
+    """One row with an ascending array ``splits``: every k-th of the distinct values with the least hashes.
+
+    The choice depends on the values alone, so it is the same wherever and however often it is made.
+    """
+    few = values.select(F.col(value).alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(sample)
+    return few.agg(F.sort_array(F.collect_list("v")).alias("s")).select(F.expr(f"filter(s, (v, i) -> pmod(i, cast(ceil(size(s) / {most}) AS int)) = 0)").alias("splits"))
+
+
+def order_index(rows: DataFrame, value: str, sample: int = SPLIT_SAMPLE, most: int = SPLITTERS) -> DataFrame:
+    """Order statistics of a number, nulls left out: (value, ``low``, ``high``), the first and last rank, from 1, of each distinct value.
+
+    Equal values are counted first; distinct ones are dealt between the splitters, ranked there, and moved on by
+    the counts of the buckets before.  No window sees more than one bucket, or one row for each bucket.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    bucket = F.size(F.filter("splits", lambda s: s <= F.col(value))).alias("_bucket")
+    dealt = counts.join(F.broadcast(splitters(counts, value, sample, most))).select(value, "_n", bucket)
+    totals = dealt.groupBy("_bucket").agg(F.sum("_n").alias("_all"))
+    totals = totals.select("_bucket", (F.sum("_all").over(Window.orderBy("_bucket")) - F.col("_all")).alias("_before"))
+    within = F.sum("_n").over(Window.partitionBy("_bucket").orderBy(value))
+    placed = dealt.withColumn("_high", within).join(totals, "_bucket")
+    return placed.select(value, (F.col("_before") + F.col("_high") - F.col("_n") + 1).alias("low"), (F.col("_before") + F.col("_high")).alias("high"))
 
 
 def season_peak_scale(rows: DataFrame, targets: DataFrame, seed: int = 0, keep_fill_origin: bool = False) -> DataFrame:
     """Scale each frame so that its national peak meets a target drawn from the distribution.
 
-    ``targets`` (peak) is ranked by counts of its distinct peaks; the note goes on the frame's first origin for
-    all its rows unless fill origins are kept.  Frames without a positive peak keep their values.
+    ``targets`` (peak; nulls left out) has an index of order statistics, and a frame draws a rank.  The note goes on the
+    frame's first origin for all its rows unless fill origins are kept.  Frames without a positive peak keep their values.
     """
-    ranked = ranked_by(targets, "peak").select((F.col("rank") - 1).alias("pick"), F.col("peak").alias("target"))
-    n = targets.agg(F.count("*").alias("n"))
+    ranked = order_index(targets, "peak").select(F.explode(F.sequence(F.col("low") - 1, F.col("high") - 1)).alias("pick"), F.col("peak").alias("target"))
+    n = targets.agg(F.count("peak").alias("n"))
     pick = F.floor(uniform(seed, "frame_id") * F.col("n")).cast("long")
     drawn = frame_peaks(rows).join(F.broadcast(n)).select("frame_id", "peak", pick.alias("pick")).join(ranked, "pick", "left")
     drawn = drawn.select("frame_id", "target", F.when(F.col("peak") > 0, F.col("target") / F.col("peak")).otherwise(1.0).alias("factor"))

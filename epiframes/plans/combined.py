@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names as nm
+from ..functions import seasons as se
 from ..operators import experiments as ex
 from ..operators import harmonize as hz
 from ..operators import masks as mk
 from ..operators import picks as pk
 from ..operators import truth as tu
-from .bindings import HUB, OBS, QS, SCORES, TRAJ, TRUTH, hub, observations, query, r6, read, scores, season_sql, trajectories, truth, week_sql
+from .bindings import HUB, OBS, QS, SAT, SCORES, TRAJ, TRUTH, hub, observations, query, r6, read, scores, season_sql, trajectories, truth, week_sql
 from .framed import axis, placed_axis
 
 # revisions, locations and run logs from events, nation and orders
@@ -56,10 +57,12 @@ def runs(spark, d):
 # harmonizing
 
 
-@query("P01_clean_observations", f"WITH {OBS} SELECT location_code, count(*) AS n, sum(value) AS value FROM obs WHERE location_code IN ('01', '02') AND season_week <> 10 GROUP BY ALL")
+@query("P01_clean_observations", f"WITH {OBS} SELECT location_code, week_enddate, value FROM obs WHERE season_week NOT IN (10, 11)")
 def _(spark, d):
+    """Week 10 has no values and week 11 lies off the axis."""
     o = observations(spark, d).withColumn("value", F.when(F.col("season_week") != 10, F.col("value")))
-    return hz.clean_observations(o, axis(spark, d).where("location_code IN ('01', '02')")).groupBy("location_code").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    o = o.withColumn("location_code", F.when(F.col("season_week") == 11, "99").otherwise(F.col("location_code")))
+    return hz.clean_observations(o, axis(spark, d))
 
 
 @query("P02_filter_locations", f"WITH {LOC} SELECT abbreviation, location_code FROM loc WHERE location_code NOT IN ('72', '60', '66', '69', 'US')")
@@ -179,17 +182,38 @@ def _(spark, d):
     return r6(tu.pad_calendar(truth(spark, d)))
 
 
-_ASOF = "TIMESTAMP '2024-01-15 12:00:00'"
+# truth that is revised for up to sixty days; forecasts are compared with what is known 35 days after their reference date
+REVS = f"""revs AS (SELECT location, date, CAST(date + CAST(lag AS INTEGER) AS TIMESTAMP) AS as_of, arg_min(value, k) AS value FROM (SELECT CAST(l_suppkey % 4 AS VARCHAR) AS location, CAST({SAT} AS DATE) AS date, l_partkey % 60 AS lag, l_extendedprice AS value,
+  (l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem) GROUP BY ALL)"""
 
 
-@query("J07_truth_as_of", f"WITH {VINT} SELECT location, date, arg_max(value, as_of) AS value FROM vint WHERE as_of <= {_ASOF} GROUP BY ALL")
+def revisions(spark, d):
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    li = read(spark, d, "lineitem").select((F.col("l_suppkey") % 4).cast("string").alias("location"), se.saturday_of(F.to_date("l_shipdate")).alias("date"), (F.col("l_partkey") % 60).cast("int").alias("lag"), F.struct(*order).alias("k"))
+    first = li.groupBy("location", "date", "lag").agg(F.min("k").alias("k"))
+    return first.select("location", "date", F.date_add("date", F.col("lag")).cast("timestamp").alias("as_of"), F.col("k.l_extendedprice").alias("value"))
+
+
+_REFS = "refs AS MATERIALIZED (SELECT DISTINCT reference_date FROM hub)"
+
+
+@query("J07_truth_as_of", f"WITH {HUB}, {_REFS}, {REVS} SELECT reference_date, location, date, arg_max(value, as_of) AS value FROM revs JOIN refs ON as_of <= reference_date GROUP BY ALL")
+def _(spark, d):
+    return tu.truth_as_of(revisions(spark, d), hub(spark, d).select("reference_date"))
+
+
+@query("J07_forecasts_as_of", f"""WITH {HUB}, {REVS}, f AS (SELECT model, location, reference_date, target_end_date, horizon, value AS predicted, CAST(reference_date + 35 AS TIMESTAMP) AS judged FROM hub WHERE round(output_type_id, 6) = 0.5)
+SELECT model, f.location, reference_date, target_end_date, horizon, round(predicted, 4) AS predicted, value AS observed FROM f ASOF LEFT JOIN revs ON f.location = revs.location AND f.target_end_date = revs.date AND f.judged >= revs.as_of""")
 def _(spark, d):
-    return tu.truth_as_of(vintages(spark, d), "2024-01-15 12:00:00")
+    f = hub(spark, d).where("round(output_type_id, 6) = 0.5").select("model", "location", "reference_date", F.col("target_end_date").alias("date"), "horizon", F.col("value").alias("predicted"), F.date_add("reference_date", 35).alias("judged"))
+    j = tu.as_of_join(f, revisions(spark, d).withColumnRenamed("value", "observed"), ["location", "date"], "judged", "as_of", ["observed"])
+    return r6(j.drop("judged").withColumnRenamed("date", "target_end_date"))
 
 
-@query("J08_final_vs_asof", f"WITH {VINT}, a AS (SELECT location, date, arg_max(value, as_of) AS as_of_value FROM vint WHERE as_of <= {_ASOF} GROUP BY ALL), f AS (SELECT location, date, arg_max(value, as_of) AS final FROM vint GROUP BY ALL) SELECT location, date, as_of_value, final FROM a FULL JOIN f USING (location, date)")
+@query("J08_final_vs_asof", f"""WITH {HUB}, {_REFS}, {REVS}, fin AS (SELECT location, date, arg_max(value, as_of) AS final FROM revs GROUP BY ALL), a AS (SELECT reference_date, location, date, arg_max(value, as_of) AS as_of_value FROM revs JOIN refs ON as_of <= reference_date GROUP BY ALL)
+SELECT r.reference_date, fin.location, fin.date, as_of_value, final FROM fin JOIN refs r ON r.reference_date >= fin.date LEFT JOIN a ON a.reference_date = r.reference_date AND a.location = fin.location AND a.date = fin.date""")
 def _(spark, d):
-    return tu.final_vs_asof(vintages(spark, d), "2024-01-15 12:00:00")
+    return tu.final_vs_asof(revisions(spark, d), hub(spark, d).select("reference_date"))
 
 
 @query("J15_source_coverage", f"""WITH {OBS}, a AS (SELECT DISTINCT location_code FROM obs WHERE datasetH1 = 'R' AND location_code < '09'), b AS (SELECT DISTINCT location_code FROM obs WHERE datasetH1 = 'N' AND location_code > '02'), x AS (SELECT DISTINCT location_code FROM obs)
@@ -246,14 +270,10 @@ GRID = _grid_sql()
 _CHANGED = " + ".join(f"CASE WHEN {c} <> '{v}' THEN 1 ELSE 0 END" for c, v in ex.BASELINE.items())
 
 
-@query("J12_scenario_grid", f"WITH {GRID}, {RUNS} SELECT g.*, n FROM grid g JOIN (SELECT scenario_id, count(*) AS n FROM runs GROUP BY ALL) r ON r.scenario_id = g.scenario_id")
+@query("J12_scenario_grid", f"WITH {GRID}, {RUNS} SELECT g.*, coalesce(n, 0) AS n FROM grid g LEFT JOIN (SELECT scenario_id, count(*) AS n FROM runs GROUP BY ALL) r ON r.scenario_id = g.scenario_id")
 def _(spark, d):
-    return ex.scenario_grid(spark).join(runs(spark, d).groupBy("scenario_id").agg(F.count("*").alias("n")), "scenario_id")
-
-
-@query("J12_scenario_grid_all", f"WITH {GRID}, {RUNS} SELECT g.*, r.run_id, r.status FROM runs r JOIN grid g ON r.scenario_id = g.scenario_id")
-def _(spark, d):
-    return runs(spark, d).select("scenario_id", "run_id", "status").join(ex.scenario_grid(spark), "scenario_id")
+    done = runs(spark, d).groupBy("scenario_id").agg(F.count("*").alias("n"))
+    return ex.scenario_grid(spark).join(done, "scenario_id", "left").fillna(0, ["n"])
 
 
 _ESS = f"ess AS (SELECT *, row_number() OVER (ORDER BY scenario_id) - 1 AS i FROM grid WHERE {_CHANGED} <= 1)"
@@ -271,12 +291,7 @@ def _essential_runs(spark, d):
 _ERUNS = f"{GRID}, {_ESS}, {RUNS}, eruns AS (SELECT e.scenario_id, ddpm_name, unet_name, dataset_name, transform_name, enrich_name, r.* EXCLUDE (scenario_id) FROM runs r JOIN ess e ON e.i = r.scenario_id)"
 
 
-@query("J13_essential_scenarios", f"WITH {_ERUNS} SELECT scenario_id, count(*) AS n FROM eruns GROUP BY ALL")
-def _(spark, d):
-    return _essential_runs(spark, d).groupBy("scenario_id").agg(F.count("*").alias("n"))
-
-
-@query("J13_essential_scenarios_all", f"WITH {_ERUNS} SELECT scenario_id, ddpm_name, unet_name, dataset_name, transform_name, enrich_name, run_id FROM eruns")
+@query("J13_essential_scenarios", f"WITH {_ERUNS} SELECT scenario_id, ddpm_name, unet_name, dataset_name, transform_name, enrich_name, run_id FROM eruns")
 def _(spark, d):
     return _essential_runs(spark, d).select("scenario_id", *ex.OPTIONS, "run_id")
 
@@ -479,12 +494,7 @@ def _(spark, d):
     return pk.pick_spread(truth(spark, d), "date", 6, "1996-08-01", "1997-07-31")
 
 
-@query("W13_even_samples", f"WITH {TRAJ} SELECT sample_id, count(*) AS n FROM traj WHERE sample_id IN (0, 9, 19, 29, 39) GROUP BY ALL")
-def _(spark, d):
-    return pk.even_samples(trajectories(spark, d), 40, 5).groupBy("sample_id").agg(F.count("*").alias("n"))
-
-
-@query("W13_even_samples_all", f"WITH {TRAJ} SELECT * FROM traj WHERE sample_id IN (0, 9, 19, 29, 39)")
+@query("W13_even_samples", f"WITH {TRAJ} SELECT * FROM traj WHERE sample_id IN (0, 9, 19, 29, 39)")
 def _(spark, d):
     return pk.even_samples(trajectories(spark, d), 40, 5)
 
@@ -500,16 +510,10 @@ def _(spark, d):
     return tu.season_overlay(observations(spark, d), [1996, 1997])
 
 
-@query("V06_score_long", f"""WITH {SCORES} SELECT model, '0' AS location, round(sum(CASE WHEN location = '0' THEN wis END), 3) AS wis FROM scores GROUP BY model UNION ALL SELECT model, '1', round(sum(CASE WHEN location = '1' THEN wis END), 3) FROM scores GROUP BY model""")
-def _(spark, d):
-    wide = scores(spark, d).groupBy("model").pivot("location", ["0", "1"]).agg(F.round(F.sum("wis"), 3))
-    return wide.unpivot(["model"], ["0", "1"], "location", "wis")
-
-
 _PLACES = ["0", "1", "2", "3"]
 
 
-@query("V06_score_long_all", f"WITH {SCORES} " + " UNION ALL ".join(f"SELECT model, '{p}' AS location, round(sum(CASE WHEN location = '{p}' THEN wis END), 3) AS wis FROM scores GROUP BY model" for p in _PLACES))
+@query("V06_score_long", f"WITH {SCORES} " + " UNION ALL ".join(f"SELECT model, '{p}' AS location, round(sum(CASE WHEN location = '{p}' THEN wis END), 3) AS wis FROM scores GROUP BY model" for p in _PLACES))
 def _(spark, d):
     wide = scores(spark, d).groupBy("model").pivot("location", _PLACES).agg(F.round(F.sum("wis"), 3))
     return wide.unpivot(["model"], _PLACES, "location", "wis")
@@ -545,14 +549,6 @@ def _(spark, d):
     return mk.mask_checkerboard(grid(spark, d), 4, 4).drop("place")
 
 
-@query("K05_named_masks", f"""WITH {_PAX}, h AS (SELECT count(*) // 2 AS half FROM pax), m AS (SELECT 'missing_midseason' AS mask, count(CASE WHEN season_week BETWEEN 19 AND 23 THEN 1 END) AS hidden FROM cells UNION ALL SELECT 'missing_midseason_peak', count(CASE WHEN season_week BETWEEN 27 AND 29 THEN 1 END) FROM cells
-UNION ALL SELECT 'missing_half_subpop', count(CASE WHEN place < half THEN 1 END) FROM cells, h UNION ALL SELECT 'missing_checkerboard_2x2', count(CASE WHEN ((season_week - 1) // 2 + place // 2) % 2 = 0 THEN 1 END) FROM cells UNION ALL SELECT 'missing_midseason_doublegap', count(CASE WHEN season_week BETWEEN 19 AND 23 OR season_week BETWEEN 27 AND 29 THEN 1 END) FROM cells
-UNION ALL SELECT 'missing_ca', count(CASE WHEN location_code = '06' THEN 1 END) FROM cells) SELECT * FROM m""")
-def _(spark, d):
-    shown = ("missing_midseason", "missing_midseason_peak", "missing_half_subpop", "missing_checkerboard_2x2", "missing_midseason_doublegap", "missing_ca")
-    return mk.named_masks(grid(spark, d), 2023).where(F.col("mask").isin(*shown)).groupBy("mask").agg(F.count_if(F.col("keep") == 0).alias("hidden"))
-
-
 def _hidden(a: int, b: int) -> str:
     return f"season_week BETWEEN {a} AND {b}"
 
@@ -577,24 +573,17 @@ _MASKS |= {
 }
 
 
-@query("K05_named_masks_all", f"WITH {_PAX}, h AS (SELECT count(*) // 2 AS half FROM pax), g AS (SELECT cells.*, half FROM cells, h) " + " UNION ALL ".join(f"SELECT '{k}' AS mask, season_week, location_code, CASE WHEN {v} THEN 0 ELSE 1 END AS keep FROM g" for k, v in _MASKS.items()))
+@query("K05_named_masks", f"WITH {_PAX}, h AS (SELECT count(*) // 2 AS half FROM pax), g AS (SELECT cells.*, half FROM cells, h) " + " UNION ALL ".join(f"SELECT '{k}' AS mask, season_week, location_code, CASE WHEN {v} THEN 0 ELSE 1 END AS keep FROM g" for k, v in _MASKS.items()))
 def _(spark, d):
     return mk.named_masks(grid(spark, d), 2023)
 
 
-@query("K06_masked_quantiles_all", f"WITH {OBS}, q AS (SELECT location_code, season_week, unnest({QS}) AS quantile, unnest(quantile_cont(value, {QS})) AS value FROM obs WHERE location_code IN ('02', '05') AND season_week BETWEEN 19 AND 23 GROUP BY location_code, season_week) SELECT location_code, season_week, round(quantile, 4) AS quantile, round(value, 4) AS value FROM q")
+@query("K06_masked_quantiles", f"WITH {OBS}, q AS (SELECT location_code, season_week, unnest({QS}) AS quantile, unnest(quantile_cont(value, {QS})) AS value FROM obs WHERE location_code IN ('02', '05') AND season_week BETWEEN 19 AND 23 GROUP BY location_code, season_week) SELECT location_code, season_week, round(quantile, 4) AS quantile, round(value, 4) AS value FROM q")
 def _(spark, d):
     m = mk.mask_dates_for_locations(grid(spark, d), [("2023-12-07", "2024-01-07")], ["02", "05"])
     return r6(mk.masked_quantiles(observations(spark, d), m, ["location_code", "season_week"]))
 
 
-@query("K06_masked_quantiles", f"WITH {OBS} SELECT location_code, season_week, round(quantile_cont(value, 0.5), 4) AS value FROM obs WHERE location_code IN ('02', '05') AND season_week BETWEEN 19 AND 23 GROUP BY ALL")
-def _(spark, d):
-    m = mk.mask_dates_for_locations(grid(spark, d), [("2023-12-07", "2024-01-07")], ["02", "05"])
-    q = mk.masked_quantiles(observations(spark, d), m, ["location_code", "season_week"])
-    return r6(q.where("round(quantile, 6) = 0.5").drop("quantile"))
-
-
 @query("H08_keep_mask_from_date", f"WITH {TRUTH}, l AS (SELECT max(date) AS z FROM truth) SELECT location, date, CASE WHEN date < DATE '1997-02-01' THEN 1 ELSE 0 END AS keep, CASE WHEN date < z + 2 THEN 1 ELSE 0 END AS keep_late FROM truth, l")
 def _(spark, d):
     t = truth(spark, d).select("location", "date")

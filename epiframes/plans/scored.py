@@ -327,21 +327,6 @@ def _(spark, d):
     return fc.prune_trends(fc.national_samples(t, ["run_id", "date", "sample_id"]), ["run_id"], "date", "1997-01-04", "1997-02-01")
 
 
-_H1 = f"WITH {HUB}, b AS (SELECT model, location, target_end_date, output_type_id AS q, value, DATE '1997-01-02' AS f FROM hub WHERE target_end_date BETWEEN DATE '1996-12-28' AND DATE '1997-02-15'), c AS (SELECT *, CAST(ceil((target_end_date - DATE '1997-01-04') / 7.0) AS INTEGER) AS h FROM b)"
-
-
-@query("H01_export_hub_2023", f"{_H1} SELECT f AS reference_date, 'wk inc flu hosp' AS target, h AS horizon, target_end_date, location, 'quantile' AS output_type, rtrim(printf('%.3f', q), '0') AS output_type_id, round(value, 4) AS value FROM c WHERE h BETWEEN 0 AND 3")
-def _(spark, d):
-    q = hub(spark, d).where("target_end_date BETWEEN '1996-12-28' AND '1997-02-15'").withColumn("reference_date", F.lit("1997-01-02").cast("date")).withColumnRenamed("output_type_id", "quantile")
-    return r6(fc.export_hub_2023(q))
-
-
-@query("H02_export_hub_2022", f"{_H1} SELECT f AS forecast_date, target_end_date, location, 'quantile' AS type, printf('%.3f', q) AS quantile, round(value, 4) AS value, printf('%d wk ahead inc flu hosp', h + 1) AS target FROM c WHERE h BETWEEN 0 AND 3")
-def _(spark, d):
-    q = hub(spark, d).where("target_end_date BETWEEN '1996-12-28' AND '1997-02-15'").withColumn("forecast_date", F.lit("1997-01-02").cast("date")).withColumnRenamed("output_type_id", "quantile")
-    return r6(fc.export_hub_2022(q))
-
-
 _WHOLE = f"""WITH {HUB}, n AS (SELECT model, target_end_date, sample_id, sum(value) AS value FROM samples GROUP BY ALL),
 us AS (SELECT model, target_end_date, unnest({QS}) AS q, unnest(quantile_cont(value, {QS})) AS value FROM n GROUP BY model, target_end_date),
 c AS (SELECT location, target_end_date, output_type_id AS q, value, CAST(((target_end_date - DATE '1995-01-07') // 7) % 4 AS INTEGER) AS h FROM hub
@@ -360,11 +345,11 @@ def whole_hub(spark, d, reference):
     return own.unionByName(us.select(*own.columns)).withColumnRenamed("reference_date", reference)
 
 
-@query("H01_export_hub_2023_all", f"{_WHOLE} SELECT f AS reference_date, 'wk inc flu hosp' AS target, h AS horizon, target_end_date, location, 'quantile' AS output_type, rtrim(printf('%.3f', q), '0') AS output_type_id, round(value, 5) AS value FROM f")
+@query("H01_export_hub_2023", f"{_WHOLE} SELECT f AS reference_date, 'wk inc flu hosp' AS target, h AS horizon, target_end_date, location, 'quantile' AS output_type, rtrim(printf('%.3f', q), '0') AS output_type_id, round(value, 5) AS value FROM f")
 def _(spark, d):
     return fc.export_hub_2023(whole_hub(spark, d, "reference_date")).withColumn("value", F.round("value", 5))
 
 
-@query("H02_export_hub_2022_all", f"{_WHOLE} SELECT f AS forecast_date, target_end_date, location, 'quantile' AS type, printf('%.3f', q) AS quantile, round(value, 5) AS value, printf('%d wk ahead inc flu hosp', h + 1) AS target FROM f")
+@query("H02_export_hub_2022", f"{_WHOLE} SELECT f AS forecast_date, target_end_date, location, 'quantile' AS type, printf('%.3f', q) AS quantile, round(value, 5) AS value, printf('%d wk ahead inc flu hosp', h + 1) AS target FROM f")
 def _(spark, d):
     return fc.export_hub_2022(whole_hub(spark, d, "forecast_date")).withColumn("value", F.round("value", 5))
