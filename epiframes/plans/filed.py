@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.seasons import date_to_epiweek, saturday_of
@@ -96,19 +91,14 @@ def _(spark, d):
 size AS (SELECT run_id, location, max(i) AS n, max(s) AS m FROM w GROUP BY ALL), cells AS (SELECT run_id, location, s, unnest(range(0, n + 1)) AS i FROM (SELECT run_id, location, n, unnest(range(0, m + 1)) AS s FROM size))
 SELECT c.run_id || '/' || c.location AS file, CAST(c.s AS INTEGER) AS sample_id, 0 AS feature, CAST(c.i AS INTEGER) AS week_idx, 0 AS place, coalesce(w.value, 0) AS value FROM cells c LEFT JOIN w ON w.run_id = c.run_id AND w.location = c.location AND w.i = c.i AND w.s = c.s""")
 def _(spark, d):
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        weeks, week = np.unique(pdf["date"].to_numpy(), return_inverse=True)
-        ids, sample = np.unique(pdf["sample_id"].to_numpy(), return_inverse=True)
-        a = np.zeros((len(ids), len(weeks), 1))
-        a[sample, week, 0] = pdf["value"].to_numpy(float)
-        np.save(out := io.BytesIO(), a)
-        return pd.DataFrame({"path": [f"{pdf['run_id'].iloc[0]}/{pdf['location'].iloc[0]}"], "content": [out.getvalue()]})
-
-    files = trajectories(spark, d).groupBy("run_id", "location").applyInPandas(packed, "path string, content binary")
-    return rd.sample_tensors(files)
+    """One .npy file a run and place, written by a sink and read back in byte ranges."""
+    path = shared_dir(spark)
+    sk.write_ensembles(trajectories(spark, d).withColumnRenamed("date", "week"), path)
+    back = rd.read_sample_tensors(spark, path)
+    return back.withColumn("file", F.regexp_replace("file", r"\.npy$", ""))
 
 
-@query("S10_write_tensors", _F17.replace(" WHERE w IN (0, 20, 52, 63)", "").replace("SELECT frame_id, CAST(w AS INTEGER) AS w,", "SELECT frame_id, CAST(w AS INTEGER) AS w, 'mix' AS mix_cfg,"))
+@query("S10_write_tensors", _F17.replace("SELECT frame_id, CAST(w AS INTEGER) AS w,", "SELECT frame_id, CAST(w AS INTEGER) AS w, 'mix' AS mix_cfg,"))
 def _(spark, d):
     path = shared_dir(spark)
     sk.write_tensors(tensor_rows(spark, d), path, "mix")

@@ -12,6 +12,7 @@ from ..functions import seasons as se
 from ..operators import frames as fr
 from ..operators import tensors as tn
 from ..operators import transforms as tr
+from ..sources.shared import written
 from .bindings import OBS, observations, query, r6, read, season_sql, week_sql
 
 _DAYS = "days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem)"
@@ -113,8 +114,13 @@ frames AS (SELECT *, datasetH1 || '/' || datasetH2 || '/' || fluseason || '/' ||
 missing AS (SELECT f.*, a.location_code FROM frames f CROSS JOIN axis a WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.datasetH1 = f.datasetH1 AND o.datasetH2 = f.datasetH2 AND o.fluseason = f.fluseason AND o.sample = f.sample AND o.location_code = a.location_code))"""
 
 
-def frames(spark, d):
-    obs = observations(spark, d)
+def stored(spark, d):
+    """The observations as a table of their own, as the operators that go over them many times find them."""
+    return written(observations(spark, d))
+
+
+def frames(spark, d, obs=None):
+    obs = obs or observations(spark, d)
     return obs, fr.replicate_frames(fr.frame_keys(obs), fr.explicit_multipliers(fr.base_frame_counts(obs), MIX))
 
 
@@ -220,7 +226,7 @@ donors AS (SELECT * FROM ranked WHERE tier = best AND r = 1 + CAST(floor({_u('0'
 
 @query("F11_fill_random", f"WITH {FRAMES}, {DONORS} SELECT d.frame_id, d.location_code, o.season_week, o.value, o.week_enddate, d.frame_id || '[' || note || ']' AS origin FROM donors d JOIN obs o ON o.datasetH1 = d.datasetH1 AND o.datasetH2 = d.datasetH2 AND o.fluseason = d.fluseason AND o.sample = d.sample AND o.location_code = d.location_code")
 def _(spark, d):
-    obs, f = frames(spark, d)
+    obs, f = frames(spark, d, stored(spark, d))
     return fr.fill_random(fr.find_missing_locations(f, obs, axis(spark, d)), obs)
 
 
@@ -263,13 +269,13 @@ def _(spark, d):
 
 @query("F14_build_frames", f"WITH {_BUILT} SELECT frame_id, location_code, season_week, value, week_enddate, origin FROM padded")
 def _(spark, d):
-    return fr.build_frames(observations(spark, d), axis(spark, d), MIX, "zeros")
+    return fr.build_frames(stored(spark, d), axis(spark, d), MIX, "zeros")
 
 
 @query("F14_build_frames_random", f"""WITH {FRAMES}, {_OWN}, {DONORS}, fill AS (SELECT d.frame_id, d.location_code, o.season_week, o.value, o.week_enddate, d.frame_id || '[' || note || ']' AS origin FROM donors d JOIN obs o ON o.datasetH1 = d.datasetH1 AND o.datasetH2 = d.datasetH2 AND o.fluseason = d.fluseason AND o.sample = d.sample AND o.location_code = d.location_code),
 rows0 AS (SELECT * FROM own UNION ALL SELECT * FROM fill), {_padded('rows0')} SELECT frame_id, location_code, season_week, value, week_enddate, origin FROM padded""")
 def _(spark, d):
-    return fr.build_frames(observations(spark, d), axis(spark, d), MIX, "random")
+    return fr.build_frames(stored(spark, d), axis(spark, d), MIX, "random")
 
 
 @query("F15_check_frames", f"WITH {FRAMES}, {_OWN}, {_padded('own')} SELECT frame_id, count(*) AS n FROM padded GROUP BY frame_id HAVING count(*) <> 53 * (SELECT count(*) FROM axis)")
@@ -279,7 +285,7 @@ def _(spark, d):
 
 @query("F16_main_origin", f"WITH {_BUILT}, n AS (SELECT frame_id, origin, count(*) AS c FROM padded GROUP BY ALL) SELECT frame_id, origin AS main_origin FROM n QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY c DESC, origin) = 1")
 def _(spark, d):
-    return fr.main_origin(fr.build_frames(observations(spark, d), axis(spark, d), MIX, "zeros"))
+    return fr.main_origin(fr.build_frames(stored(spark, d), axis(spark, d), MIX, "zeros"))
 
 
 _F17 = f"""WITH {FRAMES}, {_OWN}, {_padded('own')}, c AS (SELECT frame_id, season_week - 1 AS w, CAST(location_code AS INTEGER) - 1 AS p, value FROM padded)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import LOCATIONS, OBSERVATIONS
-
+from .named_files import published
+from .npy import read_npy
 
 
 def _csv(spark: SparkSession, path: str, columns: list[str] | None = None, **options) -> DataFrame:
@@ -21,6 +22,11 @@ def _csv(spark: SparkSession, path: str, columns: list[str] | None = None, **opt
     return df if columns is None else df.select(*columns)
 
 
+def _below(glob: str) -> dict:
+    """Options of a read that takes all files of a kind below a folder."""
+    return {"recursiveFileLookup": True, "pathGlobFilter": glob}
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
 
@@ -32,8 +38,10 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_hub_forecasts(spark: SparkSession, path: str, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """All ``<model>/<date>-<model>.csv`` below a folder in one read; model and date come from the path."""
-    raw = spark.read.options(header=True, recursiveFileLookup=True, pathGlobFilter="*.csv", enforceSchema=False).csv(path)
+    """All ``<model>/<date>-<model>.csv`` below a folder in one read; model and date come from the path.
+
+    Of a folder with manifests only the files that these list are read."""
+    raw = spark.read.options(header=True, enforceSchema=False, **_below("*.csv")).csv(published(spark, path) or path)
     file = F.col("_metadata.file_path")
     out = raw.select("*", F.url_decode(F.regexp_extract(file, r"/([^/]+)/[^/]+\.csv$", 1)).alias("model"), F.regexp_extract(file, r"/(\d{4}-\d{2}-\d{2})-[^/]+\.csv$", 1).try_cast("date").alias("file_date"))
     out = out.where(F.col("file_date").isNotNull())
@@ -42,7 +50,7 @@ def read_hub_forecasts(spark: SparkSession, path: str, ignore: tuple[str, ...] =
 
 def read_run_forecasts(spark: SparkSession, path: str, skip: str = "-copaint.csv") -> DataFrame:
     """Forecasts in nested run folders; model is ``<folder before ::conf_>::<config>``."""
-    raw = spark.read.options(header=True, recursiveFileLookup=True, pathGlobFilter="*.csv").csv(path)
+    raw = spark.read.options(header=True, **_below("*.csv")).csv(published(spark, path) or path)
     file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     folder = F.regexp_extract(file, r"/([^/]*::conf_[^/]*)/", 1)
     out = raw.select("*", file.alias("_file"), folder.alias("folder")).where(~F.endswith("_file", F.lit(skip)) & (F.col("folder") != ""))
@@ -52,7 +60,7 @@ def read_run_forecasts(spark: SparkSession, path: str, skip: str = "-copaint.csv
 
 def read_trajectories(spark: SparkSession, path: str, example: str = "example") -> DataFrame:
     """Scenario-hub Parquet, optional columns as nulls; per model the first file (by path) that has sample rows."""
-    raw = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(path)
+    raw = spark.read.options(mergeSchema=True, **_below("*.parquet")).parquet(*(published(spark, path) or [path]))
     for c, kind in (("run_grouping", "double"), ("stochastic_run", "string"), ("output_type_id", "double")):
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast(kind))
@@ -91,7 +99,13 @@ def sample_tensors(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(unpack, "file string, sample_id int, feature int, week_idx int, place int, value double")
 
 
-def read_sample_tensors(spark: SparkSession, path: str) -> DataFrame:
+def read_sample_tensors(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """All .npy ensembles below a folder, in byte ranges planned from their headers; a filter on sample_id prunes ranges.
+
+    ``whole_files`` reads each file at once instead, through Spark, for stores that nothing else reaches.
+    """
+    if not whole_files:
+        return read_npy(spark, path)
     return sample_tensors(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path))
 
 

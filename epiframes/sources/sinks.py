@@ -2,66 +2,34 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-from urllib.parse import unquote
-
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .named_files import write_named
+from .npy import file_system, npy_bytes
+
 
 def write_observations(df: DataFrame, path: str) -> None:
     df.withColumn("sample", F.col("sample").cast("string")).write.partitionBy("datasetH1").parquet(path)
 
 
-def _published(spark: SparkSession, staging: str, path: str, name: Callable[[dict[str, str], int], str]) -> None:
-    """Rename what a partitioned write has left in ``staging`` to ``path``/``name``(partition values, number).
-
-    Only names move, through the file system's own interface; readers skip the staging folder, whose name is hidden.
-    """
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    fs = place(staging).getFileSystem(spark._jsc.hadoopConfiguration())
-    found, made = fs.listFiles(place(staging), True), {}
-    while found.hasNext():
-        file = found.next().getPath()
-        if file.getName().startswith("part-"):
-            steps = [x.partition("=") for x in str(file.getParent()).split("/")]
-            values = {k: unquote(v) for k, eq, v in steps if eq}
-            k = made[tuple(values.values())] = made.get(tuple(values.values()), -1) + 1
-            target = place(f"{path}/{name(values, k)}")
-            fs.mkdirs(target.getParent())
-            if not fs.rename(file, target):
-                raise OSError(f"{target} cannot be written")
-    fs.delete(place(staging), True)
-
-
-def _numbered(stem: str, end: str, k: int) -> str:
-    return f"{stem}{end}" if not k else f"{stem}.{k}{end}"
-
-
 def write_hub_forecasts(df: DataFrame, path: str, date: str = "reference_date") -> None:
     """``<model>/<date>-<model>.csv``, one file for each model and date, rows in order: what ``read_hub_forecasts`` reads."""
     # the date is repeated as data, as the hub's files hold it themselves
-    rows = df.withColumn("_date", F.col(date).cast("string")).repartition("model", "_date")
     inner = [c for c in df.columns if c != "model"]
-    staging = f"{path}/_staging-{uuid.uuid4().hex}"
-    rows.sortWithinPartitions("model", "_date", *inner).write.partitionBy("model", "_date").option("header", True).csv(staging)
-    _published(df.sparkSession, staging, path, lambda v, k: f"{v['model']}/{_numbered(v['_date'] + '-' + v['model'], '.csv', k)}")
+    write_named(df.withColumn("_date", F.col(date).cast("string")), path, "{model}/{_date}-{model}.csv", ["model", "_date"], order=inner)
 
 
 def write_run_forecasts(df: DataFrame, path: str, date: str = "reference_date") -> None:
     """``<folder>/<date>.csv`` for each run folder and date: what ``read_run_forecasts`` reads."""
-    rows = df.withColumn("_date", F.col(date).cast("string")).repartition("folder", "_date")
-    staging = f"{path}/_staging-{uuid.uuid4().hex}"
-    rows.sortWithinPartitions("folder", "_date").write.partitionBy("folder", "_date").option("header", True).csv(staging)
-    _published(df.sparkSession, staging, path, lambda v, k: f"{v['folder']}/{_numbered(v['_date'], '.csv', k)}")
+    write_named(df.withColumn("_date", F.col(date).cast("string")), path, "{folder}/{_date}.csv", ["folder", "_date"])
 
 
 def write_trajectories(df: DataFrame, path: str) -> None:
-    """``<model>/<n>.parquet``: what ``read_trajectories`` reads."""
-    staging = f"{path}/_staging-{uuid.uuid4().hex}"
-    df.repartition("model").write.partitionBy("model").parquet(staging)
-    _published(df.sparkSession, staging, path, lambda v, k: f"{v['model']}/{_numbered('samples', '.parquet', k)}")
+    """``<model>/samples.parquet``: what ``read_trajectories`` reads."""
+    write_named(df, path, "{model}/samples.parquet", ["model"], kind="parquet")
 
 
 def write_tensors(df: DataFrame, path: str, mix: str) -> None:
@@ -69,5 +37,26 @@ def write_tensors(df: DataFrame, path: str, mix: str) -> None:
     df.withColumn("mix_cfg", F.lit(mix)).write.parquet(path)
 
 
+def write_ensembles(df: DataFrame, path: str) -> None:
+    """``<run_id>/<location>.npy`` for each run and place, samples by weeks by one place: what ``read_sample_tensors`` reads.
+
+    Samples and weeks are numbered in order within the file; cells that no row has are 0.  A file is built in the task that holds its rows.
+    """
+
+    def save(pdf: pd.DataFrame) -> pd.DataFrame:
+        weeks, week = np.unique(pdf["week"].to_numpy(), return_inverse=True)
+        ids, sample = np.unique(pdf["sample_id"].to_numpy(), return_inverse=True)
+        a = np.zeros((len(ids), len(weeks), 1))
+        a[sample, week, 0] = pdf["value"].to_numpy(float)
+        system, root = file_system(path)
+        target = f"{root}/{pdf['run_id'].iloc[0]}/{pdf['location'].iloc[0]}.npy"
+        system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(target) as out:
+            out.write(npy_bytes(a))
+        return pd.DataFrame({"file": [target], "cells": [a.size]})
+
+    df.groupBy("run_id", "location").applyInPandas(save, "file string, cells long").agg(F.sum("cells")).collect()
+
+
 def write_summary_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.json(path)

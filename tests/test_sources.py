@@ -16,6 +16,9 @@ from epiframes.operators.picks import place_to_code
 from epiframes.schemas import OBSERVATIONS, RUNS
 from epiframes.sources import readers as rd
 from epiframes.sources import sinks as sk
+from epiframes.sources.named_files import published
+from epiframes.sources.npy import read_npy
+from epiframes.sources.shared import owned, shared_dir
 
 
 def test_truth_and_locations(spark, tmp_path):
@@ -78,6 +81,81 @@ def test_hub_files_and_summary(spark, tmp_path):
     assert [json.loads(x) for p in (tmp_path / "s").glob("*.json") for x in p.read_text().splitlines()] == [{"n": 3}]
 
 
+@pytest.mark.parametrize("shape", [(7, 3, 4), (5, 2, 3, 4), (1, 1, 1)])
+@pytest.mark.parametrize("dtype", ["<f8", "<f4", ">i4"])
+def test_tensor_ranges(spark, tmp_path, shape, dtype):
+    """Small ranges, several files and folders, filters on the sample, other types than doubles."""
+    arrays = {"a.npy": np.arange(np.prod(shape)).reshape(shape).astype(dtype), "b/c.npy": -np.arange(np.prod(shape)).reshape(shape).astype(dtype)}
+    (tmp_path / "b").mkdir()
+    for name, a in arrays.items():
+        np.save(tmp_path / name, a)
+    (tmp_path / "notes.txt").write_text("x")
+    df = read_npy(spark, str(tmp_path), range_bytes=50)
+    assert df.rdd.getNumPartitions() >= (2 if shape[0] == 1 else 6)
+    want = {(f, i[0], 0 if len(shape) == 3 else i[1], i[-2], i[-1], float(v)) for f, a in arrays.items() for i, v in np.ndenumerate(a)}
+    assert {tuple(r) for r in df.collect()} == want
+    for text, keep in (("sample_id = 2", {2}), ("sample_id IN (0, 4) AND value > -5", {0, 4}), ("sample_id >= 1 AND sample_id < 3", {1, 2}), ("sample_id > 90", set()), ("sample_id BETWEEN 1 AND 2 AND sample_id = 2", {2})):
+        got = df.where(text)
+        assert {tuple(r) for r in got.collect()} == {w for w in want if w[1] in keep and not ("value" in text and w[5] <= -5)}
+        assert got.rdd.getNumPartitions() <= 2 * max(1, len(keep))
+    assert {tuple(r) for r in rd.read_sample_tensors(spark, str(tmp_path), whole_files=True).select("sample_id", "feature", "week_idx", "place", "value").collect()} == {w[1:] for w in want}
+
+
+def test_tensor_files_that_are_refused(spark, tmp_path):
+    np.save(tmp_path / "f.npy", np.asfortranarray(np.zeros((2, 3, 4))))
+    with pytest.raises(Exception, match="C-ordered"):
+        read_npy(spark, str(tmp_path / "f.npy")).count()
+    np.save(tmp_path / "o.npy", np.array([[["a"]]], dtype=object), allow_pickle=True)
+    with pytest.raises(Exception, match="only numbers"):
+        read_npy(spark, str(tmp_path / "o.npy")).count()
+
+
+def test_failed_hub_leaves_nothing(spark, tmp_path):
+    """A job that breaks off in one task publishes no file, and a later one is read alone."""
+    path = str(tmp_path / "hub")
+    rows = [(f"m{i}", dt.date(2023, 10, 14), "01", float(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "model string, reference_date date, location string, value double")
+    broken = df.withColumn("model", F.when(F.col("model") == "m7", F.repeat(F.lit("x"), F.lit(300))).otherwise(F.col("model")))
+    with pytest.raises(Exception, match="name too long"):
+        sk.write_hub_forecasts(broken, path)
+    assert published(spark, path) == []
+    assert not [p for p in (tmp_path / "hub").rglob("*.csv")]
+    sk.write_hub_forecasts(df, path)
+    assert len(published(spark, path)) == 12
+    (tmp_path / "hub" / "m1" / "2020-01-01-m1.csv").write_text("reference_date,location,value\n2020-01-01,01,5\n")
+    got = rd.read_hub_forecasts(spark, path).select("model", F.col("value").cast("double")).collect()
+    assert sorted(map(tuple, got)) == sorted((m, v) for m, _, _, v in rows)
+
+
+def test_folders_belong_to_their_block(spark):
+    import threading
+
+    def exists(path):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+    outer = written_here(spark)
+    with owned(spark):
+        inner, seen = written_here(spark), []
+
+        def other():
+            seen.append(written_here(spark))
+            with owned(spark):
+                seen.append(written_here(spark))
+
+        t = threading.Thread(target=other)
+        t.start()
+        t.join()
+        assert exists(inner) and exists(seen[0]) and not exists(seen[1])
+    assert exists(outer) and exists(seen[0]) and not exists(inner)
+
+
+def written_here(spark):
+    path = shared_dir(spark)
+    spark.range(1).write.parquet(path)
+    return path
+
+
 def test_run_log(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"run_id": "a", "scenario_id": 1, "status": "FINISHED"}\n{"run_id": "b", "scenario_id": 1, "status": "FAILED"}\n')
     assert [r.run_id for r in rd.read_run_log(spark, str(tmp_path / "r.json"), RUNS).collect()] == ["a"]
