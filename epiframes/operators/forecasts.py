@@ -15,9 +15,20 @@ PAIRS = tuple((QUANTILES[i], QUANTILES[-1 - i]) for i in range(11))
 
 
 def ensemble_quantiles(samples: DataFrame, keys: list[str], levels: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """Exact quantiles over samples, linear between neighbours: rows (keys, quantile, value)."""
-    agg = samples.groupBy(*keys).agg(F.percentile("value", F.lit(list(levels))).alias("_v"))
-    return agg.select(*keys, F.explode(F.arrays_zip(F.lit(list(levels)).alias("quantile"), F.col("_v").alias("value"))).alias("_z")).select(*keys, "_z.quantile", "_z.value")
+    """Exact quantiles over samples, linear between neighbours: rows (keys, quantile, value); equal to ``percentile``.
+
+    A cell's values are sorted (Spark spills what does not fit) and each row gives the levels that lie between
+    it and the next one, so nothing of a cell's size is held in an aggregate.  Nulls do not count.
+    """
+    cell = Window.partitionBy(*keys)
+    order = cell.orderBy("value")
+    at, n = F.row_number().over(order) - 1, F.count("*").over(cell)
+    rows = samples.where(F.col("value").isNotNull()).select(*keys, F.col("value").cast("double").alias("value"), at.alias("_i"), n.alias("_n"), F.lead(F.col("value").cast("double")).over(order).alias("_next"))
+    mine = F.filter(F.lit(list(levels)), lambda q: F.floor(q * (F.col("_n") - 1)) == F.col("_i"))
+    each = rows.select("*", F.explode(mine).alias("quantile"))
+    past = F.col("quantile") * (F.col("_n") - 1) - F.col("_i")
+    between = (1 - past) * F.col("value") + past * F.col("_next")
+    return each.select(*keys, "quantile", F.when((past > 0) & (F.col("_next") != F.col("value")), between).otherwise(F.col("value")).alias("value"))
 
 
 def national_samples(samples: DataFrame, keys: list[str], places: DataFrame | None = None) -> DataFrame:

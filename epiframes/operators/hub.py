@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bitmaps import bitmaps, counted, with_positions
 from ..schemas import QUANTILES
 
 
@@ -35,9 +36,10 @@ def required(q=None):
 
 
 def quantile_completeness(df: DataFrame, keys: tuple[str, ...] = ("model", "reference_date")) -> DataFrame:
-    """Keep only keys with all 23 levels."""
-    have = df.where(required()).groupBy(*keys).agg(F.countDistinct(F.round(F.col("output_type_id").cast("double"), 6)).alias("n"))
-    return df.join(have.where(F.col("n") == len(QUANTILES)).select(*keys), list(keys), "left_semi")
+    """Keep only keys with all 23 levels: one bit a level, joined by "or"."""
+    place = F.array_position(F.lit([round(x, 6) for x in QUANTILES]), F.round(F.col("output_type_id").cast("double"), 6))
+    have = df.where(required()).groupBy(*keys).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (place - 1).cast("int"))).alias("levels"))
+    return df.join(have.where(F.bit_count("levels") == len(QUANTILES)).select(*keys), list(keys), "left_semi")
 
 
 def score_input(forecasts: DataFrame, truth: DataFrame, on_season: bool = False) -> DataFrame:
@@ -67,15 +69,15 @@ def drop_null_truth(df: DataFrame) -> DataFrame:
 
 
 def overlap_report(a: DataFrame, b: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """For each column: values in the first only, in both, in the second only."""
-    out = None
-    for c in columns:
-        x = a.select(F.col(c).cast("string").alias("v")).distinct().withColumn("l", F.lit(1))
-        y = b.select(F.col(c).cast("string").alias("v")).distinct().withColumn("r", F.lit(1))
-        one = x.join(y, "v", "full").agg(F.count_if(F.col("r").isNull()).alias("left_only"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"), F.count_if(F.col("l").isNull()).alias("right_only"))
-        one = one.select(F.lit(c).alias("dimension"), "left_only", "both", "right_only")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """For each column: values in the first only, in both, in the second only; all columns in one pass over both tables."""
+    texts = [F.col(c).cast("string").alias(c) for c in columns]
+    both = a.select(*texts, F.lit("l").alias("_side")).unionByName(b.select(*texts, F.lit("r").alias("_side")))
+    maps = bitmaps(with_positions(both, list(columns)), ["_side"], list(columns))
+    sides = counted(maps, ["_side"], list(columns)).agg(*[F.coalesce(F.sum(F.when(F.col("_side") == s, F.col(f"n_{c}"))), F.lit(0)).alias(f"{s}_{c}") for s in "lr" for c in columns])
+    whole = counted(maps, [], list(columns))
+    either, left, right = (lambda c: F.coalesce(f"n_{c}", F.lit(0))), (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
+    lines = [F.struct(F.lit(c).alias("dimension"), (either(c) - right(c)).alias("left_only"), (left(c) + right(c) - either(c)).alias("both"), (either(c) - left(c)).alias("right_only")) for c in columns]
+    return sides.crossJoin(whole).select(F.inline(F.array(*lines)))  # one row each
 
 
 def missing_set(required_rows: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:

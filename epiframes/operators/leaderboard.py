@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bitmaps import bitmaps, counted, distinct_counts, with_positions
+
 PARTS = ("dispersion", "overprediction", "underprediction")
 
 
@@ -39,7 +41,8 @@ def components_by_location(scores: DataFrame, name: str = "States_Sum") -> DataF
 
 def missing_report(scores: DataFrame, models: DataFrame, locations: int, horizons: int, dates: int, critical: float = 0.9) -> DataFrame:
     """Expected, actual and missing cells per model; a model without rows is fully missing."""
-    have = scores.groupBy("model").agg(F.count("*").alias("actual"), F.countDistinct("location").alias("l"), F.countDistinct("horizon").alias("h"), F.countDistinct("target_end_date").alias("d"))
+    have = distinct_counts(scores, ["model"], ["location", "horizon", "target_end_date"], actual=(F.count("*"), F.sum("_o_actual")))
+    have = have.withColumnsRenamed({"n_location": "l", "n_horizon": "h", "n_target_end_date": "d"})
     out = models.select("model").distinct().join(have, "model", "left")
     expected = F.lit(locations * horizons * dates)
     actual = F.coalesce("actual", F.lit(0))
@@ -51,9 +54,12 @@ def missing_report(scores: DataFrame, models: DataFrame, locations: int, horizon
 def model_inclusion(scores: DataFrame, date: str = "target_end_date", allow: int = 5) -> DataFrame:
     """(model, season, include, include_combined): within ``allow`` dates of the season's count; combined
     needs every season, and absence from one counts as failing it."""
-    seasons = scores.groupBy("season").agg(F.countDistinct(date).alias("most"))
-    have = scores.groupBy("model", "season").agg(F.countDistinct(date).alias("n"))
-    grid = scores.select("model").distinct().crossJoin(F.broadcast(seasons))
+    # the bitmap of a season's dates is that of its models' joined, so the scores are gone over once
+    maps = bitmaps(with_positions(scores, [date]), ["model", "season"], [date])
+    seasons = counted(maps, ["season"], [date]).withColumnRenamed(f"n_{date}", "most")
+    have = counted(maps, ["model", "season"], [date]).withColumnRenamed(f"n_{date}", "n")
+    # models by seasons: both are dimensions
+    grid = have.select("model").distinct().crossJoin(seasons)
     flags = grid.join(have, ["model", "season"], "left").withColumn("include", F.coalesce(F.col("n") >= F.col("most") - allow, F.lit(False)))
     every = flags.groupBy("model").agg(F.bool_and("include").alias("include_combined"))
     return flags.select("model", "season", "include").join(every, "model")

@@ -72,7 +72,8 @@ def dedupe_history(*tables: DataFrame) -> DataFrame:
 
 
 def append_payload(history: DataFrame, payload: DataFrame, season: int) -> DataFrame:
-    """Other seasons of the history and the payload's rows of this season."""
+    """Other seasons of the history and the payload's rows of this season, as a table; on disk ``sources.history`` replaces
+    that season's files alone."""
     return history.where(F.col("fluseason") != season).unionByName(payload.where(F.col("fluseason") == season))
 
 

@@ -242,10 +242,10 @@ def _(spark, d):
     return tu.dedupe_history(t, t).groupBy("location").agg(F.count("*").alias("n"))
 
 
-@query("U05_append_payload", f"WITH {OBS} SELECT fluseason, sum(value) AS value FROM (SELECT fluseason, value FROM obs WHERE fluseason <> 1997 UNION ALL SELECT fluseason, value * 2 FROM obs WHERE fluseason = 1997) GROUP BY ALL")
+@query("U05_append_payload_table", f"WITH {OBS} SELECT fluseason, location_code, week_enddate, datasetH2, sample, CASE WHEN fluseason = 1997 THEN value * 2 ELSE value END AS value FROM obs")
 def _(spark, d):
-    o = observations(spark, d).select("fluseason", "value")
-    return tu.append_payload(o, o.withColumn("value", F.col("value") * 2), 1997).groupBy("fluseason").agg(F.sum("value").alias("value"))
+    o = observations(spark, d).select("fluseason", "location_code", "week_enddate", "datasetH2", "sample", "value")
+    return tu.append_payload(o, o.withColumn("value", F.col("value") * 2), 1997)
 
 
 @query("A32_weekly_resample", "SELECT CAST(user_id % 3 AS VARCHAR) AS k, CAST(date_trunc('week', ts) AS DATE) + 6 AS week_end, round(sum(value), 4) AS value FROM events GROUP BY ALL")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seasons import date_to_epiweek, saturday_of
 from ..schemas import RUNS as RUN_LOG
+from ..sources import history as hs
 from ..sources import readers as rd
 from ..sources import sinks as sk
 from ..sources.shared import shared_dir
@@ -87,6 +88,20 @@ def _(spark, d):
     return r6(rd.read_observations(spark, path))
 
 
+_HISTORY = "datasetH1", "datasetH2", "fluseason", "sample", "location_code", "season_week", "value"
+
+
+@query("U05_append_payload", f"WITH {OBS} SELECT {', '.join(_HISTORY[:-1])}, CASE WHEN fluseason = 1997 THEN value * 2 ELSE value END AS value FROM obs")
+def _(spark, d):
+    """All seasons are written, and 1997 is replaced by a payload twice, of which the second time changes nothing."""
+    path = shared_dir(spark)
+    rows = observations(spark, d).select(*_HISTORY)
+    hs.write_seasons(rows, path)
+    for _again in range(2):
+        hs.replace_season(rows.withColumn("value", F.col("value") * 2), path, 1997)
+    return hs.read_history(spark, path).select(*_HISTORY)
+
+
 @query("S08_read_sample_tensors", f"""WITH {TRAJ}, w AS (SELECT run_id, location, date, dense_rank() OVER (PARTITION BY run_id, location ORDER BY date) - 1 AS i, dense_rank() OVER (PARTITION BY run_id, location ORDER BY sample_id) - 1 AS s, value FROM traj),
 size AS (SELECT run_id, location, max(i) AS n, max(s) AS m FROM w GROUP BY ALL), cells AS (SELECT run_id, location, s, unnest(range(0, n + 1)) AS i FROM (SELECT run_id, location, n, unnest(range(0, m + 1)) AS s FROM size))
 SELECT c.run_id || '/' || c.location AS file, CAST(c.s AS INTEGER) AS sample_id, 0 AS feature, CAST(c.i AS INTEGER) AS week_idx, 0 AS place, coalesce(w.value, 0) AS value FROM cells c LEFT JOIN w ON w.run_id = c.run_id AND w.location = c.location AND w.i = c.i AND w.s = c.s""")

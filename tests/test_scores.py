@@ -1,8 +1,10 @@
 """Scores on known values."""
 
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from epiframes.operators.scoring import score
 
@@ -55,3 +57,42 @@ def test_a_single_quantile_and_a_missing_median(spark):
     assert r.wis == pytest.approx(2) and r.ae_median == 2 and r.dispersion == 0 and r.interval_coverage_50 is None
     r = scored(spark, 12, [(0.25, 8), (0.75, 14)])
     assert r.ae_median is None and r.wis == pytest.approx(pinball(12, [(0.25, 8), (0.75, 14)])) and r.interval_coverage_50 == 1
+
+
+def test_quantiles_equal_percentile(spark):
+    """Cells of one to forty values and a large one, ties, nulls and cells of nulls only, bit for bit."""
+    from epiframes.operators.forecasts import ensemble_quantiles
+    from epiframes.schemas import QUANTILES
+
+    rnd = random.Random(4)
+    rows = [(c, None, rnd.choice([round(rnd.uniform(-50, 1e5), 2), 7.0, None])) for c in range(60) for _ in range(rnd.randint(1, 40))]
+    rows += [(99, "x", rnd.random()) for _ in range(5000)] + [(100, "y", None)]
+    df = spark.createDataFrame(rows, "c int, k string, value double").repartition(5)
+    got = {(r.c, r["quantile"]): r.value for r in ensemble_quantiles(df, ["c", "k"]).collect()}
+    want = df.groupBy("c").agg(F.percentile("value", F.lit(list(QUANTILES))).alias("p")).collect()
+    assert got == {(r.c, q): v for r in want if r.p for q, v in zip(QUANTILES, r.p, strict=True)}
+    assert "ObjectHashAggregate" not in ensemble_quantiles(df, ["c"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_counts(spark):
+    """Dates, whole numbers of both signs and of several ranges of positions, texts, nulls, groups without values."""
+    from epiframes.functions.bitmaps import distinct_counts
+
+    rnd = random.Random(6)
+    day = lambda: rnd.choice([None, dt.date(1900, 1, 1), dt.date(2024, 1, 1) + dt.timedelta(rnd.randint(-400, 400))])
+    rows = [(rnd.choice("ab"), day(), rnd.choice([None, 0, -1, 1, rnd.randint(-10**6, 10**6)]), rnd.choice([None, "", "x", "é", f"w{rnd.randint(0, 60)}"])) for _ in range(900)] + [("c", None, None, None)]
+    df = spark.createDataFrame(rows, "g string, d date, i long, s string").repartition(4)
+    got = distinct_counts(df, ["g"], ["d", "i", "s"], n=(F.count("*"), F.sum("_o_n")), top=(F.max("i"), F.max("_o_top"))).collect()
+    want = df.groupBy("g").agg(F.countDistinct("d").alias("n_d"), F.countDistinct("i").alias("n_i"), F.countDistinct("s").alias("n_s"), F.count("*").alias("n"), F.max("i").alias("top")).collect()
+    key = lambda r: (r.g, r.n, r.top, r.n_d, r.n_i, r.n_s)
+    assert {key(r) for r in got} == {key(r) for r in want} and len(got) == 3
+    assert distinct_counts(df.where("g = 'c'"), ["g"], ["s"]).head().n_s == 0
+
+
+def test_overlap_of_empty_tables(spark):
+    from epiframes.operators.hub import overlap_report
+
+    a = spark.createDataFrame([("x", 1), ("y", 1), (None, 2)], "k string, n int")
+    got = {r.dimension: tuple(r)[1:] for r in overlap_report(a, a.where("false"), ("k", "n")).collect()}
+    assert got == {"k": (2, 0, 0), "n": (2, 0, 0)}
+    assert {tuple(r)[1:] for r in overlap_report(a.where("false"), a.where("false"), ("k",)).collect()} <= {(0, 0, 0)}

@@ -181,3 +181,31 @@ def test_guards(spark):
     assert [r.location_code for r in place_to_code(ok, loc).collect()] == ["01", "01", "US"]
     with pytest.raises(Exception, match="unknown place"):
         place_to_code(spark.createDataFrame([("XX",)], "place string"), loc).collect()
+
+
+def test_history_by_season(spark, tmp_path):
+    """A replaced season changes its own files only; doing it again changes nothing; a write that broke off is not seen."""
+    from epiframes.sources import history as hs
+
+    path = str(tmp_path / "h")
+    files = lambda: {p.relative_to(path).as_posix(): p.stat().st_mtime_ns for p in (tmp_path / "h").rglob("*") if p.is_file() and not p.name.startswith((".", "_SUCCESS"))}
+    rows = [(y, p, float(y + i)) for y in (2020, 2021, 2022) for i, p in enumerate(["01", "02", "02"])]
+    df = spark.createDataFrame(rows, "fluseason int, location_code string, value double")
+    read = lambda: sorted((r.fluseason, r.location_code, r.value) for r in hs.read_history(spark, path).collect())
+    hs.write_seasons(df, path)
+    assert read() == sorted(rows)
+    before = files()
+    assert hs.write_seasons(df.repartition(3), path) and files() == before
+    new = df.withColumn("value", -F.col("value"))
+    hs.replace_season(new, path, 2021)
+    changed = {k for k in files() if k not in before}
+    assert all("2021" in k for k in changed) and all(files()[k] == t for k, t in before.items())
+    want = sorted((y, p, -v if y == 2021 else v) for y, p, v in rows)
+    assert read() == want
+    after = files()
+    hs.replace_season(new, path, 2021)
+    assert files() == after and hs.replace_season(new, path, 1999) is None
+    new.where("fluseason = 2022").write.parquet(f"{path}/fluseason=2022/version=half")
+    assert read() == want
+    hs.replace_season(df, path, 2021)  # back to a version that is there already
+    assert read() == sorted(rows)
