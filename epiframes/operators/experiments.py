@@ -73,7 +73,7 @@ def attach_scenario(board: DataFrame, grid: DataFrame) -> DataFrame:
 
 def loss_vs_score(losses: DataFrame, board: DataFrame) -> DataFrame:
     """Losses per scenario beside the scores of its models."""
-    return board.join(F.broadcast(losses), "scenario_id")
+    return board.join(losses, "scenario_id")
 
 
 def run_summary_stats(runs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def ensemble_quantiles(samples: DataFrame, keys: list[str], levels: tuple[float,
 def national_samples(samples: DataFrame, keys: list[str], places: DataFrame | None = None) -> DataFrame:
     """Sum over places within each sample; only real places where these are given."""
     if places is not None:
-        samples = samples.join(F.broadcast(places.select("location")), "location", "left_semi")
+        samples = samples.join(places.select("location"), "location", "left_semi")
     return samples.groupBy(*keys).agg(F.sum("value").alias("value"))
 
 

@@ -29,7 +29,7 @@ def component_summary(scores: DataFrame) -> DataFrame:
 
 
 def sum_over_locations(scores: DataFrame, valid: DataFrame) -> DataFrame:
-    return scores.join(F.broadcast(valid.select("location")), "location", "left_semi").groupBy("model", "group", "season", "target_end_date", "horizon").agg(F.sum("wis").alias("wis"))
+    return scores.join(valid.select("location"), "location", "left_semi").groupBy("model", "group", "season", "target_end_date", "horizon").agg(F.sum("wis").alias("wis"))
 
 
 def components_by_location(scores: DataFrame, name: str = "States_Sum") -> DataFrame:
@@ -67,7 +67,7 @@ def model_inclusion(scores: DataFrame, date: str = "target_end_date", allow: int
 
 def leaderboard(scores: DataFrame) -> DataFrame:
     """wis sums and relative means for each season and Combined, over included models, ranked; one pass over the scores."""
-    flags = F.broadcast(model_inclusion(scores))
+    flags = model_inclusion(scores)
     joined = scores.join(flags, ["model", "season"])
     labels = F.array_compact(F.array(F.when(F.col("include"), F.col("season")), F.when(F.col("include_combined"), F.lit("Combined"))))
     agg = joined.select("model", F.explode(labels).alias("season"), "wis", "relative_wis").groupBy("season", "model").agg(F.sum("wis").alias("wis"), F.avg("relative_wis").alias("relative_wis"))

@@ -60,7 +60,9 @@ def named_masks(grid: DataFrame, season: int) -> DataFrame:
     y, z = season, season + 1
     mid, peak, gap, past = (f"{y}-12-07", f"{z}-01-07"), (f"{z}-02-01", f"{z}-02-15"), (f"{z}-12-07", f"{z}-02-15"), (f"{z}-08-01", f"{z}-01-07")
     # fixed values: the masks' names, dates and block sizes
-    half = F.col("place") < F.floor(F.lit(grid.select("place").distinct().count()) / 2)
+    # one row beside the grid, so that nothing runs while the plan is made
+    grid = grid.join(F.broadcast(grid.agg(F.countDistinct("place").alias("_places"))))
+    half = F.col("place") < F.floor(F.col("_places") / 2)
     at = lambda codes: F.col("location_code").isin(*codes)
     last = season_week(week_saturday(F.lit(y), F.lit(52)))
     rules: dict[str, Column] = {

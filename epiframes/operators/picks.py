@@ -42,8 +42,8 @@ def date_window(df: DataFrame, limits: dict[str, tuple[str, str]], date: str, se
 
 def place_to_code(df: DataFrame, locations: DataFrame, place: str = "place") -> DataFrame:
     """US, a code or an abbreviation as a code; anything else is an error raised by the row that has it."""
-    dim = F.broadcast(locations.select(F.col("abbreviation").alias(place), F.col("location_code").alias("_by_name")))
-    codes = F.broadcast(locations.select(F.col("location_code").alias(place), F.lit(True).alias("_is_code")))
+    dim = locations.select(F.col("abbreviation").alias(place), F.col("location_code").alias("_by_name"))
+    codes = locations.select(F.col("location_code").alias(place), F.lit(True).alias("_is_code"))
     j = df.join(dim, place, "left").join(codes, place, "left")
     code = F.when((F.col(place) == "US") | F.col("_is_code"), F.col(place)).otherwise(F.col("_by_name"))
     bad = F.raise_error(F.concat(F.lit("unknown place: "), F.col(place)))

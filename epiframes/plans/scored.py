@@ -327,6 +327,20 @@ def _(spark, d):
     return fc.prune_trends(fc.national_samples(t, ["run_id", "date", "sample_id"]), ["run_id"], "date", "1997-01-04", "1997-02-01")
 
 
+_NOISE = "(sqrt(-2 * ln(greatest((('0x' || substr(md5('rescalea|' || t.sample_id || '|' || t.location), 1, 8))::BIGINT / 4294967296.0), 1e-12))) * cos(2 * pi() * (('0x' || substr(md5('rescaleb|' || t.sample_id || '|' || t.location), 1, 8))::BIGINT / 4294967296.0)))"
+
+
+@query("H06_rescale_to_last_obs", f"""WITH {TRAJ}, l AS (SELECT location, arg_max(value, (date, value)) AS o FROM (SELECT location, date, sum(value) AS value FROM traj GROUP BY ALL) GROUP BY location), st AS (SELECT location, sample_id, arg_min(value, (date, value)) AS s FROM (SELECT location, sample_id, date, sum(value) AS value FROM traj GROUP BY ALL) GROUP BY ALL)
+SELECT run_id, t.location, date, t.sample_id, round(CASE WHEN s > 0 THEN value * o / s * greatest(0.9, least(1.1, 1 + 0.05 * {_NOISE})) ELSE value END, 4) AS value FROM traj t JOIN l ON l.location = t.location JOIN st ON st.location = t.location AND st.sample_id = t.sample_id""")
+def _(spark, d):
+    """Samples scaled from their first week's sum to the last week's of their place."""
+    t = trajectories(spark, d)
+    by = lambda keys: t.groupBy(*keys, "date").agg(F.sum("value").alias("value"))
+    last = by(["location"]).groupBy("location").agg(F.max_by("value", F.struct("date", "value")).alias("value"))
+    start = by(["location", "sample_id"]).groupBy("location", "sample_id").agg(F.min_by("value", F.struct("date", "value")).alias("value"))
+    return r6(fc.rescale_to_last_obs(t, last, start))
+
+
 _WHOLE = f"""WITH {HUB}, n AS (SELECT model, target_end_date, sample_id, sum(value) AS value FROM samples GROUP BY ALL),
 us AS (SELECT model, target_end_date, unnest({QS}) AS q, unnest(quantile_cont(value, {QS})) AS value FROM n GROUP BY model, target_end_date),
 c AS (SELECT location, target_end_date, output_type_id AS q, value, CAST(((target_end_date - DATE '1995-01-07') // 7) % 4 AS INTEGER) AS h FROM hub
