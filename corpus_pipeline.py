@@ -18,7 +18,7 @@ from epiframes.llm.jaccard import near_duplicates
 from epiframes.llm.pieces import encode_decode
 from epiframes.llm.pii import masked, personal_data
 from epiframes.llm.quality import quality
-from epiframes.sources.shared import made, release, shared_dir
+from epiframes.sources.shared import owned, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -103,8 +103,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", *COLUMNS)
     folder = shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
-        mark = made()
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        release(spark, mark)
+        with owned(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs

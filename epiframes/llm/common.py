@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import written  # noqa: F401  (the operators take it from here)
 
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -31,13 +31,6 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Cut lineage: write to the shared folder and read again, so lost executors cost no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,11 +5,13 @@ over the items' words; each document streams its words through it, tracking the
 factor of some item.  Where that length reaches the window, the window's words are hit.  Only stretches
 of words that the items know, and that are long enough to hold a window, enter the automaton.
 
-Items are taken in blocks of at most ``BLOCK_WORDS`` words, so what a task holds has a fixed bound however
-many items there are; each further block is one more pass over the documents' words.  The driver and each
-worker hold one block at a time; an item longer than a block is cut into pieces that overlap by a window
-less one word, which have the same windows.  With several blocks each pass writes the runs and items of the
-documents that it hits, and these are merged per document at the end.
+Up to ``BLOCK_WORDS`` words of items are one automaton that every worker holds, and the documents are read once.
+With more, the items lie in blocks of at most so many words (an item longer than a block is cut into pieces that
+overlap by a window less one word, which have the same windows), and the documents are read three times, however
+many blocks there are: once for their anchors, once to send the texts that share an anchor with a block to
+that block, once for the verdict.  An anchor is the hash of the least of the short word runs in a window, so equal
+windows have equal anchors and a document has few of them.  A block's task builds its automaton and streams the
+texts sent to it; blocks that many documents meet are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
-from .common import bounded_batches, map_batches, text_or_empty, written
+from .common import bounded_batches, map_batches, partitions, text_or_empty, written
 
 BLOCK_WORDS = 100_000
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -231,21 +234,75 @@ def _columns(rows: list[list], cut: bool) -> dict[str, list]:
     return {name: [r[i] for r in rows] for i, name in enumerate(names)}
 
 
+#: Words of the runs that anchors are chosen from; and texts that one task of a block gets, about.
+RUN, TEXTS_EACH = 5, 20_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def run_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """64-bit hashes of all runs of k words: equal runs have equal hashes, in any text."""
+    if len(words) < k:
+        return np.zeros(0, np.uint64)
+    known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    out = np.zeros(len(h) - k + 1, np.uint64)
+    for j in range(k):
+        out = out * _ODD + h[j : len(h) - k + 1 + j]
+    out ^= out >> np.uint64(29)
+    return out * _ODD
+
+
+def anchors(words: list[bytes], k: int) -> np.ndarray:
+    """For windows of k words the least hash of the runs inside each; of short windows the hash of the window itself."""
+    if len(words) < k:
+        return np.zeros(0, np.uint64)
+    if k <= RUN:
+        return np.unique(run_hashes(words, k))
+    runs = run_hashes(words, RUN)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(runs, k - RUN + 1).min(axis=1))
+
+
+def _anchored(rows: DataFrame, keep: str, sizes, window: int) -> DataFrame:
+    """Rows (what is kept, size, anchor); the words are the last column.  ``sizes`` gives a row's window sizes."""
+
+    def run(batch):
+        n = batch.num_columns - 1
+        at, out = [], {"_k": [], "_anchor": []}
+        for i, t in enumerate(batch.column(n).to_pylist()):
+            words = words_of(t) if isinstance(t, str) else bytes(t).split()
+            for k in sizes(len(words)):
+                got = anchors(words, k).view(np.int64)
+                at += [i] * len(got)
+                out["_k"] += [k] * len(got)
+                out["_anchor"] += got.tolist()
+        yield {name: batch.column(j).take(pa.array(at, pa.int32())) for j, name in enumerate(batch.schema.names[:n])} | out
+
+    return map_batches(rows, run, keep + ", _k int, _anchor long")
+
+
 def _judged_by_blocks(texts: DataFrame, pieces: DataFrame, blocks: list[list[int]], key: list[str], keys: str, schema: str, window: int, coverage: int, cut: bool) -> DataFrame:
-    """One pass for each block; its hits are kept by key and digest of the text, as keys may be null or repeated."""
+    """Texts meet the blocks that they share an anchor with; hits are kept by key and digest of the text, as keys may be null or repeated."""
     spark, n_key = texts.sparkSession, len(key)
-    texts = texts.withColumn("_digest", F.sha2("_text", 256))
-    folder = shared_dir(spark)
+    digested = texts.withColumn("_digest", F.sha2("_text", 256)).select(*key, "_digest", "_text")
+    named = spark.createDataFrame([(c, i) for i, chunks in enumerate(blocks) for c in chunks], "chunk long, _block int")
+    filed = written(pieces.join(named, "chunk").select("_block", "item", "words"))
+    theirs = written(_anchored(filed.select("_block", "words"), "_block int", lambda n: (min(n, window),), window).distinct())
+    lengths = sorted(r._k for r in theirs.select("_k").distinct().collect())
+    ours = _anchored(digested, keys + ", _digest string", lambda n: lengths, window)
+    met = written(ours.join(theirs, ["_k", "_anchor"]).select(*key, "_digest", "_block").distinct())
+    # blocks that many texts meet go to several tasks
+    deals = [(r._block, int(1 + r.n // TEXTS_EACH)) for r in met.groupBy("_block").agg(F.count("*").alias("n")).collect()]
+    deal = F.broadcast(spark.createDataFrame(deals, "_block int, _deals int"))  # one row a block
+    sent = _same(digested.alias("l"), met.join(deal, "_block").alias("r"), key, "inner")
+    sent = sent.select(*[F.col(f"l.`{k}`") for k in key], "l._digest", "l._text", "r._block", F.pmod(F.xxhash64("l._digest"), F.col("r._deals")).cast("int").alias("_part"), F.lit(1).alias("_kind"))
+    held = filed.join(deal, "_block").select("_block", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1)).alias("_part"), "item", "words", F.lit(0).alias("_kind"))
+    both = sent.unionByName(held, allowMissingColumns=True).repartition(partitions(spark), "_block", "_part").sortWithinPartitions("_block", "_part", "_kind")
     found = keys + ", _digest string, _runs array<int>, _items array<string>"
-    for i, chunks in enumerate(blocks):
-        block = spark.sparkContext.broadcast(_block(pieces, chunks))
-        map_batches(texts, _hits_of(block, window, key), found).write.parquet(f"{folder}/{i}")
-        block.destroy()
-    hits = spark.read.schema(found).parquet(*[f"{folder}/{i}" for i in range(len(blocks))])
+    hits = written(_streamed_blocks(both.select(*key, "_digest", "_text", "_block", "_part", "_kind", "item", "words"), found, key, window))
     hits = hits.groupBy(*key, "_digest").agg(F.flatten(F.collect_set("_runs")).alias("_runs"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("_items"))
 
     def counted(batch):
-        kept = {k: batch.column(i) for i, k in enumerate([*key, "_text", "_digest"])}
+        kept = {k: batch.column(i) for i, k in enumerate([*key, "_digest", "_text"])}
         kept["_n"] = [len(words_of(t)) for t in kept["_text"].to_pylist()]
         yield kept
 
@@ -257,24 +314,45 @@ def _judged_by_blocks(texts: DataFrame, pieces: DataFrame, blocks: list[list[int
             rows.append(_verdict(n, runs, who or (), coverage) + ([without(t[0], runs)] if cut else []))
         yield out | _columns(rows, cut)
 
-    left = map_batches(texts, counted, keys + ", _text string, _digest string, _n long" if cut else keys + ", _digest string, _n long").alias("l")
+    left = map_batches(digested, counted, keys + ", _digest string" + (", _text string" if cut else "") + ", _n long").alias("l")
+    joined = _same(left, hits.alias("r"), key, "left")
+    return map_batches(joined.select(*[F.col(f"l.`{k}`") for k in key], "l._n", "r._runs", "r._items", *(["l._text"] if cut else [])), judged, schema)
+
+
+def _same(left: DataFrame, right: DataFrame, key: list[str], how: str) -> DataFrame:
+    """Joined by key, null or not, and digest; the sides are called l and r."""
     same = F.col("l._digest") == F.col("r._digest")
     for k in key:
         same &= F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
-    both = left.join(hits.alias("r"), same, "left")
-    return map_batches(both.select(*[F.col(f"l.`{k}`") for k in key], "l._n", "r._runs", "r._items", *(["l._text"] if cut else [])), judged, schema)
+    return left.join(right, same, how)
 
 
-def _hits_of(block, window: int, key: list[str]):
-    def hits(batch):
-        automaton = _automaton(block, window)
-        found = [automaton.match(words_of(t)) for t in batch.column(len(key)).to_pylist()]
-        at = [i for i, (runs, _) in enumerate(found) if runs]
-        out = {k: batch.column(i).take(pa.array(at, pa.int32())) for i, k in enumerate(key)}
-        out["_digest"] = batch.column(len(key) + 1).take(pa.array(at, pa.int32()))
-        yield out | {"_runs": [[x for r in found[i][0] for x in r] for i in at], "_items": [sorted(found[i][1]) for i in at]}
+def _streamed_blocks(rows: DataFrame, found: str, key: list[str], window: int) -> DataFrame:
+    """Sorted rows of blocks: a block's items come first and make its automaton, its texts follow."""
+    n_key = len(key)
 
-    return hits
+    def run_all(batches):
+        at, items, automaton = None, [], None
+        for batch in batches:
+            cols = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("_block", "_part", "_kind", "item", "words", "_text")]
+            took, runs_of, items_of = [], [], []
+            for i, (block, part, kind, item, words, text) in enumerate(zip(*cols, strict=True)):
+                if (block, part) != at:
+                    at, items, automaton = (block, part), [], None
+                if kind == 0:
+                    items.append((item, bytes(words).split()))
+                    continue
+                automaton = automaton or ItemAutomaton(items, window)
+                runs, who = automaton.match(words_of(text))
+                if runs:
+                    took.append(i)
+                    runs_of.append([x for r in runs for x in r])
+                    items_of.append(sorted(who))
+            index = pa.array(took, pa.int32())
+            kept = [batch.column(i).take(index) for i in range(n_key + 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(runs_of, pa.list_(pa.int32())), pa.array(items_of, pa.list_(pa.string()))], names=[*batch.schema.names[: n_key + 1], "_runs", "_items"])
+
+    return rows.mapInArrow(run_all, found)
 
 
 _BUILT: dict = {}

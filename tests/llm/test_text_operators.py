@@ -10,7 +10,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -158,31 +157,42 @@ def test_decontaminate(spark):
     assert tuple(none) == (0, 0)
 
 
-def test_decontaminate_holds_one_bounded_block(spark, monkeypatch):
+@pytest.mark.parametrize("each", [20_000, 3])
+def test_decontaminate_in_many_blocks(spark, monkeypatch, each):
+    """More items than one block, null and repeated keys, a text of over 1 MiB, blocks dealt to several tasks."""
     from epiframes.llm import decontaminate as module
 
     vocab = [f"w{i}" for i in range(14)]
-    items = [*enumerate(made(vocab, 40, 40, 13, " ")), (40, " ".join(random.Random(14).choices(vocab, k=500))), (None, "Alpha, Beta"), (33, "Alpha, Beta")]
+    items = [*enumerate(made(vocab, 40, 40, 13, " ")), (40, " ".join(random.Random(14).choices(vocab, k=500))), (None, "Alpha, Beta"), (33, "Alpha, Beta"), (50, "one two three four five six seven"), (51, None), (52, "...")]
     rnd = random.Random(15)
-    texts = [" ".join(rnd.choice([items[rnd.randrange(40)][1], "x y z", items[40][1][rnd.randrange(900) :][:120], "ALPHA beta!"]) for _ in range(rnd.randint(0, 6))) for _ in range(120)] + [None, ""]
-    rows = [*enumerate(texts), (None, texts[0]), (None, texts[1]), (3, texts[4]), (5, texts[5])]
+    texts = [" ".join(rnd.choice([items[rnd.randrange(40)][1], "x y z", items[40][1][rnd.randrange(900) :][:120], "ALPHA beta!", "zero one two three four five six seven eight"]) for _ in range(rnd.randint(0, 6))) for _ in range(120)] + [None, ""]
+    long = "nothing known here " * 60_000 + items[3][1] + " and more " * 10 + items[40][1][:300]
+    rows = [*enumerate(texts), (None, texts[0]), (None, texts[1]), (3, texts[4]), (5, texts[5]), (6, long), (None, long)]
     monkeypatch.setattr(module, "BLOCK_WORDS", 200)
-    sizes, live, put, drop = [], [], type(spark.sparkContext).broadcast, Broadcast.destroy
-
-    def broadcast(sc, value):
-        assert not live
-        sizes.append(sum(len(words) for _, words in value[1]))
-        live.append(1)
-        return put(sc, value)
-
-    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
-    monkeypatch.setattr(Broadcast, "destroy", lambda b, *a: (live.clear(), drop(b, *a)))
+    monkeypatch.setattr(module, "TEXTS_EACH", each)
+    pieces = module.item_pieces(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 200, 13)
+    blocks = module.item_blocks(pieces, 200)
+    assert len(blocks) > 6 and all(pieces.where(F.col("chunk").isin(c)).agg(F.sum("n")).head()[0] <= 200 for c in blocks)
     df, ds = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string").repartition(4)
     got = decontaminate(df, ds, ["doc_id"], cut=True).collect()
     want = [(i, *brute.contamination(t, [("" if k is None else k, x) for k, x in items])) for i, t in rows]
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated)) for r in got)
     assert all(len(brute.item_words(r.clean_text)) == r.n_words - r.n_hit for r in got)
-    assert len(sizes) > 6 and max(sizes) <= 200
+    assert decontaminate(df.where("false"), ds, ["doc_id"]).count() == 0
+
+
+def test_anchors():
+    """Equal windows have a common anchor, wherever they are."""
+    from epiframes.llm.decontaminate import anchors, run_hashes
+
+    rnd = random.Random(9)
+    for k in (1, 4, 5, 6, 9, 13):
+        a = [rnd.choice([b"a", b"b", b"c", b"d"]) for _ in range(60)]
+        b = [rnd.choice([b"a", b"b", b"x"]) for _ in range(30)] + a[20 : 20 + k] + [b"z"]
+        assert set(anchors(a, k)) & set(anchors(b, k)) and set(anchors(a[20 : 20 + k], k)) <= set(anchors(b, k))
+        assert len(anchors(a[: k - 1], k)) == 0
+        same = {tuple(a[i : i + k]) for i in range(61 - k)}
+        assert len(set(run_hashes(a, k))) == len(same)
 
 
 def test_suffixes(spark):
