@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, written
 from .quality import let
 
 #: Rules up to which the table is a literal in the plan.
@@ -62,6 +63,7 @@ PREFIX_RULES = (
 BLOCKED_WORDS = (
     "spam", "pills", "casino", "porn", "viagra", "malware", "phishing", "xxx", "sex", "cialis", "poker", "gambling", "betting", "jackpot", "payday", "escort",
     "hentai", "torrent", "warez", "keygen", "adserver", "doubleclick", "clickbait", "spyware", "ransomware", "botnet",
+    "adult", "ads", "bet", "bets", "lottery", "tracker", "adtech", "popups", "hookup", "steroids",
 )
 BLOCKED_PATHS = ("porn", "xxx", "viagra", "cialis", "casino", "warez", "keygen", "crack", "torrent", "phishing", "malware", "exe", "apk", "adclick", "popunder")
 
@@ -131,7 +133,9 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: list[UrlRule] | None =
         placed = pages.withColumns({"host": host, "path": path}).drop("match")
         keys = placed.select("host", "path").distinct()
         key = F.concat("host", "path")
-        fetched = keys.withColumn("token", F.explode(_tokens(key))).join(rule_table(pages.sparkSession, keys, rules), "token")
+        # up to a counted size the rules go to the URLs, so tokens that nearly every URL holds are not shuffled
+        filed = broadcast_if_small(written(rule_table(pages.sparkSession, keys, rules)))
+        fetched = keys.withColumn("token", F.explode(_tokens(key))).join(filed, "token")
         best = fetched.where(F.regexp_like(key, F.col("pattern"))).groupBy("host", "path").agg(F.max(F.struct("rank", "rule", "verdict")).alias("match"))
         return placed.join(best, ["host", "path"], "left").select(*placed.columns, "match")
     table, size = bucket_table(rules, token_counts(pages, url, rules))

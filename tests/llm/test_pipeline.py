@@ -50,3 +50,31 @@ def test_near_duplicate_stage_with_repeated_ids_and_rows(spark, tmp_path):
     left = sorted((r.doc_id or -1, r.text or "") for r in corpus_pipeline.jaccard_join(spark, df, str(tmp_path)).collect())
     want = [(-1, near), (-1, near), (3, near), (4, ""), (4, ""), (5, ""), (7, rows[2][1]), (9, rows[3][1])]
     assert left == want
+
+
+def test_whole_pipeline_on_odd_rows(spark, tmp_path):
+    """run() on repeated rows, null ids and texts, an empty text and one of over 1 MiB."""
+    import hashlib
+
+    import numpy as np
+    import public_tokenizers
+    import sentencepiece
+
+    rnd = random.Random(12)
+    words = [*["the", "of", "and"] * 8, *[f"word{i}" for i in range(400)]]
+    plain = [" ".join(rnd.choices(words, k=150)) for _ in range(6)]
+    long = "\n".join(" ".join(rnd.choices([*words, *(f"long{i}" for i in range(3000))], k=40)) for _ in range(4500))
+    assert len(long) > 1 << 20
+    rows = [(1, plain[0]), (1, plain[0]), (2, plain[1]), (3, plain[1] + " tail"), (4, long), (5, None), (6, ""), (None, plain[2]), (7, plain[3]), (7, plain[4])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], schema).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "not in any of them " * 5)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+    def coded(i, t):
+        ids = lib.encode(t, add_bos=True, add_eos=True)
+        return i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+    want = [coded(i, t) for i, t in ((1, plain[0]), (2, plain[1]), (4, long), (None, plain[2]), (7, plain[3]), (7, plain[4]))]
+    got = [tuple(r)[:3] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))

@@ -79,13 +79,15 @@ def test_thousands_of_url_rules(spark, monkeypatch, most):
         r = module.prefix_rule(rnd.choice(["allow", "block"]), ".".join(label() for _ in range(rnd.randint(1, 3))), "/" + "/".join(label() for _ in range(rnd.randint(0, 2))))
         rules[r.rule] = r
     rules = list(rules.values()) + [module.word_rule("block", w) for w in ("news1", "shop2")]
-    urls = ["http://" + ".".join(label() for _ in range(rnd.randint(1, 4))) + "/" + "/".join(label() for _ in range(rnd.randint(0, 3))) for _ in range(1500)] + [None, "", "http://news1", "x"]
+    urls = ["http://" + ".".join(label() for _ in range(rnd.randint(1, 4))) + "/" + "/".join(label() for _ in range(rnd.randint(0, 3))) for _ in range(1500)] + [None, "", "http://news1", "x", "http://a1.b2/" + "cc3/" * 300_000 + "shop4"]
     got = judge_urls(spark.createDataFrame(list(enumerate(urls + urls[:20])), "page_id long, url string"), rules=rules).collect()
     compiled = [(r.rank, r.rule, r.verdict, re.compile(r.pattern)) for r in rules]
     assert len(got) == len(urls) + 20
     for r in got:
         want = max(((k, n, v) for k, n, v, p in compiled if p.search(r.host + r.path)), default=None)
         assert (tuple(r.match) if r.match else None) == want
+    none = judge_urls(spark.createDataFrame([(1, None), (2, "")], "page_id long, url string"), rules=rules).collect()
+    assert [r.match for r in none] == [None, None]
 
 
 def test_url_paths_and_empty_pages(spark):
@@ -195,6 +197,25 @@ def test_anchors():
         assert len(set(run_hashes(a, k))) == len(same)
 
 
+def test_jaccard_beyond_broadcasts(spark, monkeypatch):
+    """With no table small enough to be broadcast: near copies, copies, null ids and very long texts still meet."""
+    from epiframes.llm import common, jaccard
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    assert jaccard.broadcast_if_small is common.broadcast_if_small
+    rnd = random.Random(31)
+    base = [" ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 30)) for _ in range(rnd.choice([6, 30, 120]))) for _ in range(25)]
+    long = " ".join(f"w{i % 5000} x{i % 7919}" for i in range(110_000))
+    texts = [*base, *(t.replace("a1", "zz", 1) for t in base), *base[:5], None, "", "one two", "ONE two", long, long + " tail", long.replace("w17 ", "q ", 3)]
+    rows = [*enumerate(texts), (None, base[0]), (3, base[3])]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=4, num=85).collect()
+    want = brute.jaccard([(i, t) for i, t in rows if i is not None], 4, 85)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.component_id is None if r.doc_id is None else (r.n_shingles, r.component_id) == want[r.doc_id], r.doc_id
+    assert {r.component_id for r in got if r.doc_id is not None and r.doc_id >= len(texts) - 3} == {len(texts) - 3}
+
+
 def test_suffixes(spark):
     rnd = random.Random(3)
     base = ["".join(rnd.choice("abcd e") for _ in range(n)) for n in (60, 80, 150, 400, 49, 50, 51)]
