@@ -67,13 +67,18 @@ def slices(text: str, limit: int = SLICE_CHARS) -> Iterator[tuple[bool, str]]:
     yield first, text[at:]
 
 
+def irregular(text: str) -> bool:
+    """Whether some space is not followed by a character that is no white space."""
+    return bool(_IRREGULAR.search(text))
+
+
 def pieces(text: str, first: bool = True) -> list[str]:
     """The text cut before each space that a non-space follows; the space itself is left out.
 
     Byte-level pre-tokens never cross such a cut: a run of white space before a word gives its last
     space to the word.  The first piece of a text has no space before it and is marked.
     """
-    out = _CUT.split(text) if _IRREGULAR.search(text) else text.split(" ")
+    out = _CUT.split(text) if irregular(text) else text.split(" ")
     if first:
         out[0] = HEAD + out[0]
     return out

@@ -21,18 +21,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import PATTERN, byte_symbols
-from .chunks import HEAD, SLICE_CHARS, Cache, grouped, pieces, slices, whole
+from .chunks import HEAD, SLICE_CHARS, Cache, grouped, irregular, pieces, slices, whole
 from .common import bounded_batches, map_batches, partitions, text_or_empty
 
 MAGIC, VERSION = b"EFTK", 2
 _HEAD = struct.Struct("<4sIqqqI")  # magic, version, documents, those of them with a null key (they come first), ids, crc32 of what follows
 #: Bytes of ids that are counted at once.
 COUNT_BYTES = 1 << 20
+#: Characters that are encoded at once.
+GROUP_CHARS = 2 << 20
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 19
 #: Characters below are letters, digits or neither in every version of Unicode; others are left to the library.
@@ -138,13 +141,43 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:
             return self.each(texts)
-        cut = [None if len(t) > SLICE_CHARS or any(s in t for s in self.special) else pieces(t) for t in texts]
-        ids, at, out = self.cache.values([p for c in cut if c is not None for p in c]), 0, []
-        for t, c in zip(texts, cut, strict=True):
-            out.append(self.piecewise(t) if c is None else b"".join(ids[at : at + len(c)]))
-            at += len(c or ())
+        plain, out = [], [b""] * len(texts)
+        for i, t in enumerate(texts):
+            if len(t) > SLICE_CHARS or any(s in t for s in self.special):
+                out[i] = self.piecewise(t)
+            elif irregular(t):
+                out[i] = b"".join(self.cache.values(pieces(t)))
+            else:
+                plain.append(i)
+        for i, ids in zip(plain, self.regular([texts[i] for i in plain]), strict=True):
+            out[i] = ids
         return out
 
+    def regular(self, texts: list[str]) -> list[bytes]:
+        """Texts whose pieces lie between single spaces: each distinct piece is looked up once, and ids are gathered by number."""
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        ends = np.asarray(cut.offsets)[1:].astype(np.int64)
+        named = cut.flatten().dictionary_encode()
+        number = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct = named.dictionary
+        whole_list = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct)
+        table = self.cache.values(pc.binary_join(whole_list, " ")[0].as_py().split(" "))  # no piece holds a space
+        # a text's first piece has no space before it
+        heads = [HEAD + t.partition(" ")[0] for t in texts]
+        place = {p: len(table) + k for k, p in enumerate(dict.fromkeys(heads))}
+        number[np.concatenate([[0], ends[:-1]])] = [place[p] for p in heads]
+        table += self.cache.values(list(place))
+        ids = np.frombuffer(b"".join(table), self.kind)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
+        start = np.cumsum(size) - size
+        each = size[number]
+        until = np.cumsum(each)
+        total = ids[np.arange(until[-1]) + np.repeat(start[number] - until + each, each)]
+        stops = until[ends - 1].tolist()
+        return [total[x:y].tobytes() for x, y in zip([0, *stops[:-1]], stops, strict=True)]
+
     def piecewise(self, text: str) -> bytes:
         """Long texts in slices; special strings as their own ids."""
         parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if self.special else [text]
@@ -202,7 +235,7 @@ def ordered_ids(docs: DataFrame, key: str, path: str, end_id: int, text: str) ->
     def encoded(batch):
         out: list[bytes] = []
         end = np.array([end_id], kind).tobytes()
-        for group in grouped(batch.column(1).to_pylist()):
+        for group in grouped(batch.column(1).to_pylist(), GROUP_CHARS):
             out += [x + end for x in encoder(path).encode(group)]
         share = (batch.column(2).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) / 2.0**64  # in the order of signed longs
         null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
