@@ -31,13 +31,12 @@ class Cache:
         if need and len(known) + len(need) > self.entries:
             self.old, self.known, need = known, {}, set().union(*groups)
         if need:
-            again = need.intersection(self.old)
-            self.known.update((k, self.old[k]) for k in again)
-            todo = list(need.difference(again))
+            again = {k: self.old[k] for k in need if k in self.old}
+            self.known.update(again)
+            todo = [k for k in need if k not in again]
             self.known.update(zip(todo, self.fill(todo), strict=True))
         return self.known
 
-
     def values(self, flat: list[str]) -> list:
         """The value of each piece, with one look-up for those that are known."""
         out = list(map(self.known.get, flat))
@@ -46,8 +45,9 @@ class Cache:
         if todo:
             if len(self.known) + len(todo) > self.entries:
                 self.old, self.known = self.known, {}
-            new = {p: self.old[p] for p in todo.intersection(self.old)}
-            todo = list(todo.difference(new)) if new else list(todo)
+            old = self.old
+            new = {p: old[p] for p in todo if p in old}
+            todo = [p for p in todo if p not in new]
             new.update(zip(todo, self.fill(todo), strict=True))
             self.known.update(new)
             for i in gaps:

@@ -12,21 +12,18 @@ from __future__ import annotations
 import json
 import os
 import re
-import string
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import PATTERN, byte_symbols
+from .bytebpe import byte_symbols
 from .chunks import HEAD, SLICE_CHARS, Cache, grouped, irregular, pieces, slices, whole
 from .common import bounded_batches, map_batches, partitions, text_or_empty
 
@@ -38,10 +35,8 @@ COUNT_BYTES = 1 << 20
 GROUP_CHARS = 2 << 20
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 19
-#: Characters below are letters, digits or neither in every version of Unicode; others are left to the library.
-SETTLED = "\u0500"
-#: ASCII characters that are neither letters, digits nor white space.
-SYMBOLS = string.punctuation
+#: Pieces that are encoded as one text.
+JOINED = 1 << 12
 #: Bytes of each of the four ids that a control byte describes.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -79,8 +74,8 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]
 class Encoder:
     """The library's ids, text by text, with a bounded cache of pieces between cuts no token crosses.
 
-    Pieces that are not known fall into pre-tokens, and only pre-tokens that are not known go to the library's
-    model.  Cuts and splits hold for byte-level BPE as such; with any other set-up whole texts are encoded.
+    Only pieces that are not known go to the library, many at a time.  Cuts hold for byte-level BPE as such;
+    with any other set-up whole texts are encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -93,49 +88,33 @@ class Encoder:
         spec = json.loads(self.lib.to_str())
         way = spec["pre_tokenizer"] or {}
         self.by_pieces = way.get("type") == "ByteLevel" and way.get("use_regex") and not way.get("add_prefix_space") and not (spec["normalizer"] or spec["truncation"] or spec["padding"])
-        self.symbols = byte_symbols()
-        self.pattern = regex.compile(PATTERN)
+        self.by_pieces = self.by_pieces and not any(" " in t for t in self.special)
+        self.spaced = np.zeros(self.lib.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.lib.get_vocab().items() if t.startswith(byte_symbols()[32])]] = True
         self.cache = Cache(self.fill)
 
     def each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def parts(self, p: str) -> list[str] | None:
-        """The pieces that a piece's pre-tokens would be; None if only the library can tell."""
-        core = p.rstrip(SYMBOLS)
-        if core.isalpha() and (core.isascii() or max(core) < SETTLED):
-            return [core, HEAD + p[len(core) :]] if len(core) < len(p) else [p]
-        if not p.isascii() and not (max(p[1:], default="") < SETTLED and (p[0] < SETTLED or p[0] == HEAD)):
-            return None
-        return [x[1:] if x[0] == " " and len(x) > 1 else HEAD + x for x in self.pattern.findall(whole(p))]
-
     def fill(self, todo: list[str]) -> list[bytes]:
-        """Ids of pieces, from those of their pre-tokens, which are kept as the pieces they would be."""
-        known, old, got = self.cache.known, self.cache.old, {}
-        kind, tokenize, symbols = "H" if self.kind.itemsize == 2 else "I", self.lib.model.tokenize, self.symbols
-
-        def new(p: str) -> bytes:
-            text = "\u0120" + p if p.isascii() and p.isalpha() else "".join([symbols[b] for b in whole(p).encode()])
-            return array(kind, [t.id for t in tokenize(text)]).tobytes()
-
-        def ids(p: str) -> bytes:
-            x = got.get(p) or known.get(p) or old.get(p)
-            if x is None:
-                x = got[p] = new(p)
-            return x
-
-        strange, out = [], []
-        for p in todo:
-            if p.isascii() and p.isalpha():
-                out.append(got.get(p) or new(p))
+        """Ids of pieces: many are encoded as one text, which the tokens that begin with a space cut again."""
+        out = [b""] * len(todo)
+        joined, single = [], []
+        for i, p in enumerate(todo):
+            (joined if p and p[0] != HEAD and " " not in p else single).append(i)
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            ids = self.lib.encode_batch_fast([" " + " ".join([todo[i] for i in part])], add_special_tokens=False)[0].ids
+            ids = np.array(ids, self.kind)
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) != len(part):  # some cut is none
+                single += part
                 continue
-            parts = self.parts(p)
-            if parts is None:
-                strange.append(p)
-            out.append(b"" if parts is None else ids(parts[0]) + ids(parts[1]) if len(parts) == 2 else b"".join(map(ids, parts)))
-        if strange:
-            own = dict(zip(strange, self.each([whole(p) for p in strange]), strict=True))
-            out = [own.get(p, x) for p, x in zip(todo, out, strict=True)]
+            raw, ends = ids.tobytes(), (first * self.kind.itemsize).tolist()
+            for i, a, b in zip(part, ends, [*ends[1:], len(raw)], strict=True):
+                out[i] = raw[a:b]
+        for i, x in zip(single, self.each([whole(todo[i]) for i in single]), strict=True):
+            out[i] = x
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
