@@ -89,8 +89,9 @@ class Encoder:
         way = spec["pre_tokenizer"] or {}
         self.by_pieces = way.get("type") == "ByteLevel" and way.get("use_regex") and not way.get("add_prefix_space") and not (spec["normalizer"] or spec["truncation"] or spec["padding"])
         self.by_pieces = self.by_pieces and not any(" " in t for t in self.special)
+        space = byte_symbols()[32]
         self.spaced = np.zeros(self.lib.get_vocab_size(), bool)
-        self.spaced[[i for t, i in self.lib.get_vocab().items() if t.startswith(byte_symbols()[32])]] = True
+        self.spaced[[i for t, i in self.lib.get_vocab().items() if t.startswith(space)]] = True
         self.cache = Cache(self.fill)
 
     def each(self, texts: list[str]) -> list[bytes]:
