@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SLICE_CHARS, Cache, grouped, pieces, slices, whole
-from .common import bounded_batches, map_batches, text_or_empty
+from .common import bounded_batches, kept, map_batches, text_or_empty
 
 #: Fixed value: the public pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -122,13 +122,8 @@ class Merger:
         return n
 
 
-_MERGERS: dict[str, Merger] = {}
-
-
 def merger(path: str) -> Merger:
-    if path not in _MERGERS:
-        _MERGERS[path] = Merger(path)
-    return _MERGERS[path]
+    return kept(__name__, path, lambda: Merger(path))
 
 
 def count_tokens(docs: DataFrame, key: list[str], path: str, limit: int, text: str = "text") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import gc
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What this Python worker keeps from task to task: what was made, by the module of its operator and a name.
+_KEPT: dict[tuple[str, Hashable], object] = {}
+
+
+def kept(module: str, name: Hashable, make: Callable[[], object]):
+    """Look-up tables and caches that a Python worker makes once for one operator's tasks."""
+    if (module, name) not in _KEPT:
+        _KEPT[module, name] = make()
+    return _KEPT[module, name]
+
+
+def keep_only(module: str) -> None:
+    """At a task's start: workers serve many stages, and what other operators keep would fill the executor."""
+    others = [k for k in _KEPT if k[0] != module]
+    for k in others:
+        del _KEPT[k]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with one dict of columns for each batch of output."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,6 +65,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
+        keep_only(fn.__module__)
         for batch in batches:
             for cols in fn(batch):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := cols[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, partitions, text_or_empty, written
+from .common import bounded_batches, keep_only, kept, map_batches, partitions, text_or_empty, written
 
 BLOCK_WORDS = 100_000
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -332,6 +332,7 @@ def _streamed_blocks(rows: DataFrame, found: str, key: list[str], window: int) -
     n_key = len(key)
 
     def run_all(batches):
+        keep_only(__name__)
         at, items, automaton = None, [], None
         for batch in batches:
             cols = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("_block", "_part", "_kind", "item", "words", "_text")]
@@ -355,16 +356,14 @@ def _streamed_blocks(rows: DataFrame, found: str, key: list[str], window: int) -
     return rows.mapInArrow(run_all, found)
 
 
-_BUILT: dict = {}
-
-
 def _automaton(block, window: int) -> ItemAutomaton:
     """Built once per Python worker and block; a worker holds one."""
     mark, items = block.value
-    if (mark, window) not in _BUILT:
-        _BUILT.clear()
-        _BUILT[mark, window] = ItemAutomaton(items, window)
-    return _BUILT[mark, window]
+    held = kept(__name__, "automaton", dict)
+    if (mark, window) not in held:
+        held.clear()
+        held[mark, window] = ItemAutomaton(items, window)
+    return held[mark, window]
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bounded_batches, broadcast_if_small, map_batches, partitions, text_or_empty, written
+from .common import bounded_batches, broadcast_if_small, keep_only, map_batches, partitions, text_or_empty, written
 from .components import components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -39,8 +39,8 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 EXTRA = 2
 #: A signature's low bits name its band.
 BAND_BITS = 6
-#: Signatures that a task holds before it passes them on.
-FLUSH = 1 << 20
+#: Signatures that a task holds before it passes them on: some 60 bytes each while they are sorted and dealt.
+FLUSH = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -198,13 +198,18 @@ def tied(docs: DataFrame, plans: list[Plan], width: int, num: int, den: int) ->
     n = partitions(docs.sparkSession)
 
     def emit(batches):
+        keep_only(__name__)
         sigs: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
+        owners: list[int] = []
         seen: set[int] = set()
         held = 0
 
         def flush():
-            sig, cls, osig, pair = _stars(np.concatenate(sigs), np.concatenate(owners))
+            sig, cls = np.concatenate(sigs), np.repeat(np.array(owners, np.int64), [len(s) for s in sigs])
+            sigs.clear()
+            owners.clear()
+            seen.clear()
+            sig, cls, osig, pair = _stars(sig, cls)
             yield from _send(n, 0, _bucket(sig, n), np.stack([sig.view(np.int64), cls], 1))
             if len(osig):
                 yield from _send(n, 1, _bucket(mix(pair[1].view(np.uint64)), n), np.stack([osig.view(np.int64), pair[0], pair[1]], 1))
@@ -219,15 +224,16 @@ def tied(docs: DataFrame, plans: list[Plan], width: int, num: int, den: int) ->
                 for k in _bands_for(len(s), plans, num, den):
                     if plans[k].budget:
                         sigs.append(signatures(s, k, plans[k]))
-                        owners.append(np.full(len(sigs[-1]), c, np.int64))
+                        owners.append(c)
                         held += len(sigs[-1])
                 if held >= FLUSH:
                     yield from flush()
-                    sigs, owners, held, seen = [], [], 0, set()
+                    held = 0
         if held:
             yield from flush()
 
     def gather(batches):
+        keep_only(__name__)
         heads: list[np.ndarray] = []
         for batch in batches:
             for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):

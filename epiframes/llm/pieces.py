@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from .chunks import Cache, grouped
-from .common import bounded_batches, map_batches, text_or_empty
+from .common import bounded_batches, kept, map_batches, text_or_empty
 
 SPACE = "▁"
 _RUNS = re.compile(r" +[^ ]*")
@@ -127,13 +127,8 @@ class PieceCoder:
         return [np.frombuffer(b"".join((ends[0], *map(known, k), ends[1])), self.kind) if k else np.array([self.begin, self.end], self.kind) for k in cut]
 
 
-_CODERS: dict[str, PieceCoder] = {}
-
-
 def coder(path: str) -> PieceCoder:
-    if path not in _CODERS:
-        _CODERS[path] = PieceCoder(path)
-    return _CODERS[path]
+    return kept(__name__, path, lambda: PieceCoder(path))
 
 
 def encode_decode(docs: DataFrame, key: list[str], path: str, text: str = "text", full: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bytebpe import byte_symbols
 from .chunks import HEAD, SLICE_CHARS, Cache, grouped, irregular, pieces, slices, whole
-from .common import bounded_batches, map_batches, partitions, text_or_empty
+from .common import bounded_batches, kept, map_batches, partitions, text_or_empty
 
 MAGIC, VERSION = b"EFTK", 2
 _HEAD = struct.Struct("<4sIqqqI")  # magic, version, documents, those of them with a null key (they come first), ids, crc32 of what follows
@@ -171,13 +171,8 @@ class Encoder:
         return b"".join(out)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(__name__, path, lambda: Encoder(path))
 
 
 class Order(NamedTuple):

@@ -78,3 +78,66 @@ def test_whole_pipeline_on_odd_rows(spark, tmp_path):
     want = [coded(i, t) for i, t in ((1, plain[0]), (2, plain[1]), (4, long), (None, plain[2]), (7, plain[3]), (7, plain[4]))]
     got = [tuple(r)[:3] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+class _Captured:
+    """Stands for a DataFrame; keeps the functions that its batches would go through."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.functions = spark, []
+
+    def mapInArrow(self, fn, schema):
+        self.functions.append(fn)
+        return self
+
+    def select(self, *columns):
+        return self
+
+    repartitionById = select
+
+
+def test_workers_drop_what_other_operators_keep(spark):
+    """Workers serve all stages: the coder's tables beside the join's arrays overfilled an executor."""
+    import weakref
+
+    import public_tokenizers
+
+    from epiframes.llm import common, jaccard, pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    for start in ("batches", "signatures"):
+        held = weakref.ref(pieces.coder(path))
+        common.keep_only(pieces.__name__)
+        assert held() is pieces.coder(path)
+        docs = _Captured(spark)
+        if start == "batches":
+            common.map_batches(docs, lambda batch: iter(()), "x long")
+        else:
+            jaccard.tied(docs, [], 5, 80, 100)
+        assert list(docs.functions[0]([])) == []
+        assert held() is None
+
+
+def test_signatures_are_dealt_in_bounded_memory(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from epiframes.llm import jaccard
+
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rnd.choices(words, k=300)) for _ in range(250)]
+    plans = [jaccard.allocate(lo, hi, 1000, 80, 100) for lo, hi in jaccard.band_bounds(400)]
+    docs = _Captured(spark)
+    jaccard.tied(docs, plans, 5, 80, 100)
+    # each batch says the same in other words, as each comes with a word of its own
+    batches = (pa.RecordBatch.from_arrays([pa.array([f"b{k}x " + t.replace("w", f"b{k}x") for t in texts])], names=["t"]) for k in range(44))
+    tracemalloc.start()
+    try:
+        sent = sum(sum(map(len, b.column(2).to_pylist())) for b in docs.functions[0](batches))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent > 0.8 * (16 << 20)  # a million signatures were held before
+    assert most < 64 << 20
