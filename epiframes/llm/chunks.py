@@ -41,13 +41,13 @@ class Cache:
         """The value of each piece, with one look-up for those that are known."""
         out = list(map(self.known.get, flat))
         gaps = [i for i, v in enumerate(out) if v is None]
-        todo = {flat[i] for i in gaps}
-        if todo:
-            if len(self.known) + len(todo) > self.entries:
+        if gaps:
+            new = dict.fromkeys([flat[i] for i in gaps])
+            if len(self.known) + len(new) > self.entries:
                 self.old, self.known = self.known, {}
-            old = self.old
-            new = {p: old[p] for p in todo if p in old}
-            todo = [p for p in todo if p not in new]
+            again = map(self.old.get, new)
+            new = dict(zip(new, again, strict=True)) if self.old else new
+            todo = [p for p, v in new.items() if v is None]
             new.update(zip(todo, self.fill(todo), strict=True))
             self.known.update(new)
             for i in gaps:

@@ -37,6 +37,11 @@ GROUP_CHARS = 2 << 20
 BLOCK_IDS = 1 << 19
 #: Pieces that are encoded as one text.
 JOINED = 1 << 12
+#: Letters in every version of Unicode since long: where they end, and where they begin after a single line break, a
+#: pre-token ends, whatever follows.  So does one of ASCII signs before a line break.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωЀ-ҁ"
+_PARTS = re.compile(rf"(?<=[{LETTERS}])(?=[!-@\[-`{{-~\n])|(?<=[!-/:-@\[-`{{-~])(?=\n)|(?<=[!-~]\n)(?=[{LETTERS}])")
+_WORD = re.compile(rf"[{LETTERS}]+")
 #: Bytes of each of the four ids that a control byte describes.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -74,8 +79,8 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]
 class Encoder:
     """The library's ids, text by text, with a bounded cache of pieces between cuts no token crosses.
 
-    Only pieces that are not known go to the library, many at a time.  Cuts hold for byte-level BPE as such;
-    with any other set-up whole texts are encoded.
+    Only pieces that are not known go to the library, many at a time, cut into words and signs first.  Cuts hold
+    for byte-level BPE as such; with any other set-up whole texts are encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -89,35 +94,73 @@ class Encoder:
         way = spec["pre_tokenizer"] or {}
         self.by_pieces = way.get("type") == "ByteLevel" and way.get("use_regex") and not way.get("add_prefix_space") and not (spec["normalizer"] or spec["truncation"] or spec["padding"])
         self.by_pieces = self.by_pieces and not any(" " in t for t in self.special)
-        space = byte_symbols()[32]
+        model = spec["model"]
+        self.by_pieces = self.by_pieces and model["type"] == "BPE"
+        symbols = byte_symbols()
+        space = symbols[32]
         self.spaced = np.zeros(self.lib.get_vocab_size(), bool)
         self.spaced[[i for t, i in self.lib.get_vocab().items() if t.startswith(space)]] = True
         self.cache = Cache(self.fill)
+        if self.by_pieces:
+            self.words = self.words_only(model)
+            # what stands for each byte; bytes 1 and 32, which no word holds, for the space of a word and for the cut before it
+            self.symbol = np.array([ord(c) for c in symbols], "<u4")
+            self.symbol[1], self.symbol[32] = ord(space), 32
+
+    def words_only(self, model: dict):
+        """The library on words in symbols, one pre-token each: it has nothing to match, and keeps nothing, as each comes once."""
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        same = {k: v for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if (v := model.get(k)) is not None}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        out = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **same))
+        out.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        return out
 
     def each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def fill(self, todo: list[str]) -> list[bytes]:
-        """Ids of pieces: many are encoded as one text, which the tokens that begin with a space cut again."""
+        """Ids of pieces, those of several words or signs put together from their parts.
+
+        Many are encoded as one text, which the tokens that begin with a space cut again.
+        """
         out = [b""] * len(todo)
-        joined, single = [], []
+        words, joined, single, several = [], [], [], []
+        word = _WORD.fullmatch
         for i, p in enumerate(todo):
-            (joined if p and p[0] != HEAD and " " not in p else single).append(i)
-        for at in range(0, len(joined), JOINED):
-            part = joined[at : at + JOINED]
-            ids = self.lib.encode_batch_fast([" " + " ".join([todo[i] for i in part])], add_special_tokens=False)[0].ids
-            ids = np.array(ids, self.kind)
-            first = np.flatnonzero(self.spaced[ids])
-            if len(first) != len(part):  # some cut is none
-                single += part
-                continue
-            raw, ends = ids.tobytes(), (first * self.kind.itemsize).tolist()
-            for i, a, b in zip(part, ends, [*ends[1:], len(raw)], strict=True):
-                out[i] = raw[a:b]
+            if word(p):
+                words.append(i)
+            elif len(parts := _PARTS.split(p)) > 1 and parts[0] != HEAD:
+                several.append((i, [parts[0], *[HEAD + x for x in parts[1:]]]))
+            else:
+                (joined if p and p[0] != HEAD and " " not in p else single).append(i)
+        for some, encoded in ((words, self.symbols_of), (joined, self.text_of)):
+            for at in range(0, len(some), JOINED):
+                part = some[at : at + JOINED]
+                ids = np.array(encoded([todo[i] for i in part]), self.kind)
+                first = np.flatnonzero(self.spaced[ids])
+                if len(first) != len(part):  # some cut is none
+                    single += part
+                    continue
+                raw, ends = ids.tobytes(), (first * self.kind.itemsize).tolist()
+                for i, a, b in zip(part, ends, [*ends[1:], len(raw)], strict=True):
+                    out[i] = raw[a:b]
         for i, x in zip(single, self.each([whole(todo[i]) for i in single]), strict=True):
             out[i] = x
+        if several:  # the parts have no parts, so this goes one step down
+            found = iter(self.cache.values([x for _, parts in several for x in parts]))
+            for i, parts in several:
+                out[i] = b"".join([next(found) for _ in parts])
         return out
 
+    def text_of(self, part: list[str]) -> list[int]:
+        return self.lib.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids
+
+    def symbols_of(self, part: list[str]) -> list[int]:
+        raw = np.frombuffer(("\x01" + " \x01".join(part)).encode(), np.uint8)
+        return self.words.encode_batch_fast([self.symbol[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:
             return self.each(texts)

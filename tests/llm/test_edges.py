@@ -101,3 +101,48 @@ def test_pipeline_keeps_ids_and_columns(spark, folder):
         out = stage(spark, docs, str(folder / "full"))
         assert out.columns == list(corpus_pipeline.COLUMNS), name
         assert out.where("doc_id = 1 AND length(text) > 1000000").count() == 1 or name == "quality_rules"
+
+
+def test_token_ids_of_pieces_of_several_parts():
+    """Words, signs and line breaks in any order, as the library has them."""
+    import random
+
+    import public_tokenizers
+
+    from epiframes.llm.tokenfiles import Encoder
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(3)
+    signs = [*"abcXYZ\u00e9\u00df\u00f1\u024f\u0431\u042f\u03a9\u03c2\u03d0", *"  \n\n\t\r.,;!'\"$#&-_@[`{~", *"0129\u00b2\u00bd", "'s", "'ll", "don't", " \n", "\n\n"]
+    signs += ["\u00a0", "\u3000", "\u2003", "\u02bc", "\u00aa", "\u6f22", "\u0301", "\x01", "\x00", "\U0001f600", "\u0481", "\u0482", "\u0378", "\u2028", "\u00d7", "\x7f", "\x85", "\x1c"]
+    for _ in range(4):
+        texts = ["".join(rnd.choices(signs, k=rnd.randrange(60))) for _ in range(2000)]
+        assert e.encode(texts) == e.each(texts)
+
+
+def test_library_sees_each_word_once():
+    """A word with other signs behind it is not a new piece for the library."""
+    import random
+
+    import public_tokenizers
+
+    from epiframes.llm.tokenfiles import Encoder
+
+    class Told:
+        def __init__(self, lib):
+            self.lib, self.chars = lib, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.chars += sum(map(len, texts))
+            return self.lib.encode_batch_fast(texts, **options)
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefgh", k=10)) for _ in range(300)]
+    text = " ".join(w + end for end in ("", ".", ",", "!!", "$$$", ".\nThen") for w in words)
+    want = e.each([text])
+    told = [Told(getattr(e, name)) for name in ("lib", "words") if hasattr(e, name)]
+    for name, x in zip(("lib", "words"), told):
+        setattr(e, name, x)
+    assert e.encode([text]) == want
+    assert sum(x.chars for x in told) < 2 * 12 * len(words)
