@@ -126,15 +126,28 @@ class Encoder:
         Many are encoded as one text, which the tokens that begin with a space cut again.
         """
         out = [b""] * len(todo)
-        words, joined, single, several = [], [], [], []
+        words, joined, single = [], [], []
+        several, sizes, flat = [], [], []
         word = _WORD.fullmatch
         for i, p in enumerate(todo):
-            if word(p):
+            if p.isalpha() and (p.isascii() or word(p)):
                 words.append(i)
             elif len(parts := _PARTS.split(p)) > 1 and parts[0] != HEAD:
-                several.append((i, [parts[0], *[HEAD + x for x in parts[1:]]]))
+                several.append(i)
+                sizes.append(len(parts))
+                flat.append(parts[0])
+                flat += [HEAD + x for x in parts[1:]]
             else:
                 (joined if p and p[0] != HEAD and " " not in p else single).append(i)
+        if several:  # the parts have no parts, so this goes one step down
+            found, at = self.cache.values(flat), 0
+            for i, n in zip(several, sizes, strict=True):
+                out[i] = b"".join(found[at : at + n])
+                at += n
+            # words that are parts too are known by now
+            for i in words:
+                out[i] = self.cache.known.get(todo[i], b"")
+            words = [i for i in words if not out[i]]
         for some, encoded in ((words, self.symbols_of), (joined, self.text_of)):
             for at in range(0, len(some), JOINED):
                 part = some[at : at + JOINED]
@@ -148,10 +161,6 @@ class Encoder:
                     out[i] = raw[a:b]
         for i, x in zip(single, self.each([whole(todo[i]) for i in single]), strict=True):
             out[i] = x
-        if several:  # the parts have no parts, so this goes one step down
-            found = iter(self.cache.values([x for _, parts in several for x in parts]))
-            for i, parts in several:
-                out[i] = b"".join([next(found) for _ in parts])
         return out
 
     def text_of(self, part: list[str]) -> list[int]:
