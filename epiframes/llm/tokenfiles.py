@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import byte_symbols
-from .chunks import HEAD, SLICE_CHARS, Cache, grouped, irregular, pieces, slices, whole
+from .chunks import grouped, slices
 from .common import bounded_batches, kept, map_batches, partitions, text_or_empty
 
 MAGIC, VERSION = b"EFTK", 2
@@ -37,11 +37,12 @@ GROUP_CHARS = 2 << 20
 BLOCK_IDS = 1 << 19
 #: Pieces that are encoded as one text.
 JOINED = 1 << 12
+#: Pieces of a worker's table, and the bytes of the longest ones in it: bound its memory and never change results.
+TABLE_ENTRIES, KEPT_BYTES = 500_000, 256
 #: Letters in every version of Unicode since long: where they end, and where they begin after a single line break, a
 #: pre-token ends, whatever follows.  So does one of ASCII signs before a line break.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωЀ-ҁ"
-_PARTS = re.compile(rf"(?<=[{LETTERS}])(?=[!-@\[-`{{-~\n])|(?<=[!-/:-@\[-`{{-~])(?=\n)|(?<=[!-~]\n)(?=[{LETTERS}])")
-_WORD = re.compile(rf"[{LETTERS}]+")
+_LETTER = re.compile(f"[{LETTERS}]")
 #: Bytes of each of the four ids that a control byte describes.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -76,14 +77,77 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]
     return keys, sizes, ranks, nulls
 
 
+def _flags() -> np.ndarray:
+    """Of each byte, in bits: an ASCII letter, a sign that ends letters, a sign that ends before a line break, visible ASCII."""
+    found = [re.compile(x) for x in ("[A-Za-z]", r"[!-@\[-`{-~\n]", r"[!-/:-@\[-`{-~]", "[!-~]")]
+    return np.array([sum(1 << k for k, x in enumerate(found) if c < 128 and x.match(chr(c))) for c in range(256)], np.uint8)
+
+
+FLAGS = _flags()
+#: Letters of two bytes, by code point.
+TWO_BYTES = np.array([bool(_LETTER.match(chr(c))) for c in range(1 << 11)])
+#: White space in UTF-8 beyond ASCII, by its two or three bytes; U+180E was white space once.
+WHITE = np.array([int.from_bytes(c.encode(), "big") for c in "\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))])
+
+
+def flagged(data: np.ndarray) -> np.ndarray:
+    """The flags of UTF-8 bytes; both bytes of a longer letter are letters."""
+    flags = FLAGS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xD2))
+    lead = lead[TWO_BYTES[(data[lead] & 31).astype(np.int32) << 6 | data[lead + 1] & 63]]
+    flags[lead] = flags[lead + 1] = 1
+    return flags
+
+
+def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces of texts begin, which lie one behind the other as UTF-8, and the last one's end.
+
+    No pre-token crosses a cut: before a space with no white space behind it, where letters end, where ASCII signs end
+    before a line break, and after a single line break before a letter.  ``ends``: of all texts.
+    """
+    flags = flagged(data)
+    line = data == 10
+    cut = np.zeros(len(data) + 1, bool)
+    inner = cut[1:-1]
+    inner |= (flags[:-1] & flags[1:] >> 1 & 1).view(bool)
+    inner |= (flags[:-1] & 4).astype(bool) & line[1:]
+    cut[2:-1] |= (flags[:-2] & 8).astype(bool) & line[1:-1] & (flags[2:] & 1).view(bool)
+    space = data == 32
+    space[ends - 1] = False  # what follows is another text
+    space = np.flatnonzero(space)
+    after = data[space + 1]
+    some = np.flatnonzero((after == 0xC2) | (after >= 0xE1) & (after <= 0xE3))
+    at = space[some] + 1
+    code = data[at].astype(np.int32) << 8 | data[at + 1]
+    code = np.where(after[some] == 0xC2, code, code << 8 | data[np.minimum(at + 2, len(data) - 1)])
+    good = (after > 32) & (after != 127)
+    good[some] = ~np.isin(code, WHITE)
+    cut[space[good]] = True
+    cut[0] = True
+    cut[ends] = True
+    return np.flatnonzero(cut).astype(np.int32)
+
+
+def gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ids one behind the other."""
+    at = np.repeat(start - starts(size), size)
+    at += np.arange(len(at))
+    return ids[at]
+
+
+def starts(size: np.ndarray) -> np.ndarray:
+    return np.cumsum(size) - size
+
+
 class Encoder:
-    """The library's ids, text by text, with a bounded cache of pieces between cuts no token crosses.
+    """The library's ids of pieces between cuts no token crosses, kept in a bounded table.
 
-    Only pieces that are not known go to the library, many at a time, cut into words and signs first.  Cuts hold
-    for byte-level BPE as such; with any other set-up whole texts are encoded.
+    Texts are cut as bytes, and each distinct piece of a group is looked up once; only pieces that the table does not
+    have go to the library, many at a time.  Cuts hold for byte-level BPE as such; with any other set-up whole texts
+    are encoded.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, entries: int = TABLE_ENTRIES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the cores out
         from tokenizers import Tokenizer
 
@@ -100,12 +164,12 @@ class Encoder:
         space = symbols[32]
         self.spaced = np.zeros(self.lib.get_vocab_size(), bool)
         self.spaced[[i for t, i in self.lib.get_vocab().items() if t.startswith(space)]] = True
-        self.cache = Cache(self.fill)
         if self.by_pieces:
             self.words = self.words_only(model)
-            # what stands for each byte; bytes 1 and 32, which no word holds, for the space of a word and for the cut before it
             self.symbol = np.array([ord(c) for c in symbols], "<u4")
-            self.symbol[1], self.symbol[32] = ord(space), 32
+        # the table: pieces, how many ids each has, the ids, and the group that saw the piece last
+        self.entries = entries
+        self.known, self.size, self.ids, self.seen, self.group = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, self.kind), np.zeros(0, np.int64), 0
 
     def words_only(self, model: dict):
         """The library on words in symbols, one pre-token each: it has nothing to match, and keeps nothing, as each comes once."""
@@ -117,110 +181,126 @@ class Encoder:
         out.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         return out
 
-    def each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+    def each(self, texts: list[str], lib=None) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in (lib or self.lib).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def fill(self, todo: list[str]) -> list[bytes]:
-        """Ids of pieces, those of several words or signs put together from their parts.
+    def fill(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and how many each has.
 
-        Many are encoded as one text, which the tokens that begin with a space cut again.
+        Words and pieces with a space before them are encoded as one text, which the tokens that begin with a space cut again.
         """
-        out = [b""] * len(todo)
-        words, joined, single = [], [], []
-        several, sizes, flat = [], [], []
-        word = _WORD.fullmatch
-        for i, p in enumerate(todo):
-            if p.isalpha() and (p.isascii() or word(p)):
-                words.append(i)
-            elif len(parts := _PARTS.split(p)) > 1 and parts[0] != HEAD:
-                several.append(i)
-                sizes.append(len(parts))
-                flat.append(parts[0])
-                flat += [HEAD + x for x in parts[1:]]
-            else:
-                (joined if p and p[0] != HEAD and " " not in p else single).append(i)
-        if several:  # the parts have no parts, so this goes one step down
-            found, at = self.cache.values(flat), 0
-            for i, n in zip(several, sizes, strict=True):
-                out[i] = b"".join(found[at : at + n])
-                at += n
-            # words that are parts too are known by now
-            for i in words:
-                out[i] = self.cache.known.get(todo[i], b"")
-            words = [i for i in words if not out[i]]
-        for some, encoded in ((words, self.symbols_of), (joined, self.text_of)):
+        offsets, data = _raw(new)
+        first = offsets[:-1]
+        other = (flagged(data) & 1) == 0
+        spaced = data[first] == 32
+        other[first[spaced]] = np.diff(offsets)[spaced] == 1
+        word = ~np.logical_or.reduceat(other, first)
+        rest = np.flatnonzero(~word)
+        texts = dict(zip(rest.tolist(), new.take(pa.array(rest)).to_pylist(), strict=True))
+        joined = np.array([i for i, p in texts.items() if len(p) > 1 and p[0] == " " and " " not in p[1:]], np.int64)
+        single = [i for i, p in texts.items() if not (len(p) > 1 and p[0] == " " and " " not in p[1:])]
+        order, size, ids = [], [], []
+        for some, encoded in ((np.flatnonzero(word & spaced), self.symbols_of), (joined, self.text_of)):
             for at in range(0, len(some), JOINED):
                 part = some[at : at + JOINED]
-                ids = np.array(encoded([todo[i] for i in part]), self.kind)
-                first = np.flatnonzero(self.spaced[ids])
-                if len(first) != len(part):  # some cut is none
-                    single += part
+                got = np.array(encoded(new.take(pa.array(part))), self.kind)
+                begin = np.flatnonzero(self.spaced[got])
+                if len(begin) != len(part):  # some cut is none
+                    single += part.tolist()
                     continue
-                raw, ends = ids.tobytes(), (first * self.kind.itemsize).tolist()
-                for i, a, b in zip(part, ends, [*ends[1:], len(raw)], strict=True):
-                    out[i] = raw[a:b]
-        for i, x in zip(single, self.each([whole(todo[i]) for i in single]), strict=True):
-            out[i] = x
-        return out
-
-    def text_of(self, part: list[str]) -> list[int]:
-        return self.lib.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids
-
-    def symbols_of(self, part: list[str]) -> list[int]:
-        raw = np.frombuffer(("\x01" + " \x01".join(part)).encode(), np.uint8)
-        return self.words.encode_batch_fast([self.symbol[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids
+                order.append(part)
+                size.append(np.diff(begin, append=len(got)))
+                ids.append(got)
+        heads = np.flatnonzero(word & ~spaced)
+        for some, found in ((heads, self.each(self.in_symbols(new.take(pa.array(heads)), " ").split(" ")[1:], self.words)), (single, self.each(new.take(pa.array(single, pa.int64())).to_pylist()))):
+            order.append(np.array(some, np.int64))
+            size.append(np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize)
+            ids.append(np.frombuffer(b"".join(found), self.kind))
+        order, size, ids = np.concatenate(order), np.concatenate(size), np.concatenate(ids)
+        back = np.argsort(order)
+        return gathered(ids, starts(size)[back], size[back]), size[back]
+
+    def in_symbols(self, words: pa.Array, before: str) -> str:
+        offsets, data = _raw(words)
+        return np.insert(self.symbol[data], offsets[:-1], ord(before)).tobytes().decode("utf-32-le")
+
+    def text_of(self, part: pa.Array) -> list[int]:
+        return self.lib.encode_batch_fast(["".join(part.to_pylist())], add_special_tokens=False)[0].ids
+
+    def symbols_of(self, part: pa.Array) -> list[int]:
+        return self.words.encode_batch_fast([self.in_symbols(part, " ")], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Special strings as their own ids, long texts in slices."""
         if not self.by_pieces:
             return self.each(texts)
-        plain, out = [], [b""] * len(texts)
-        for i, t in enumerate(texts):
-            if len(t) > SLICE_CHARS or any(s in t for s in self.special):
-                out[i] = self.piecewise(t)
-            elif irregular(t):
-                out[i] = b"".join(self.cache.values(pieces(t)))
-            else:
-                plain.append(i)
-        for i, ids in zip(plain, self.regular([texts[i] for i in plain]), strict=True):
-            out[i] = ids
-        return out
+        special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        spans: list[str] = []
+        made: list[list[bytes | int]] = []  # of each text: ids of special strings, and numbers of spans
+        for t in texts:
+            made.append(of := [])
+            for p in special.split(t) if any(s in t for s in self.special) else [t]:
+                if p in self.special:
+                    of.append(np.array([self.special[p]], self.kind).tobytes())
+                else:
+                    for first, s in slices(p):
+                        of.append(len(spans))
+                        spans.append(s if first else " " + s)
+        found = [x for g in grouped(spans, GROUP_CHARS) for x in self.regular(g)]
+        return [found[of[0]] if len(of) == 1 and isinstance(of[0], int) else b"".join(found[x] if isinstance(x, int) else x for x in of) for of in made]
 
     def regular(self, texts: list[str]) -> list[bytes]:
-        """Texts whose pieces lie between single spaces: each distinct piece is looked up once, and ids are gathered by number."""
-        if not texts:
-            return []
-        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
-        ends = np.asarray(cut.offsets)[1:].astype(np.int64)
-        named = cut.flatten().dictionary_encode()
-        number = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct = named.dictionary
-        whole_list = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct)
-        table = self.cache.values(pc.binary_join(whole_list, " ")[0].as_py().split(" "))  # no piece holds a space
-        # a text's first piece has no space before it
-        heads = [HEAD + t.partition(" ")[0] for t in texts]
-        place = {p: len(table) + k for k, p in enumerate(dict.fromkeys(heads))}
-        number[np.concatenate([[0], ends[:-1]])] = [place[p] for p in heads]
-        table += self.cache.values(list(place))
-        ids = np.frombuffer(b"".join(table), self.kind)
-        size = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
-        start = np.cumsum(size) - size
+        """Each distinct piece is looked up once, and ids are gathered by number."""
+        column = pa.array(texts, pa.string())
+        ends, data = _raw(column)
+        if not len(data):
+            return [b""] * len(texts)
+        cut = cuts(data, ends[1:])
+        named = pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), column.buffers()[2]).dictionary_encode()
+        number = named.indices.to_numpy()
+        ids, start, size = self.table(named.dictionary)
         each = size[number]
-        until = np.cumsum(each)
-        total = ids[np.arange(until[-1]) + np.repeat(start[number] - until + each, each)]
-        stops = until[ends - 1].tolist()
-        return [total[x:y].tobytes() for x, y in zip([0, *stops[:-1]], stops, strict=True)]
-
-    def piecewise(self, text: str) -> bytes:
-        """Long texts in slices; special strings as their own ids."""
-        parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if self.special else [text]
-        out = []
-        for p in parts:
-            if p in self.special:
-                out.append(np.array([self.special[p]], self.kind).tobytes())
-            else:
-                for first, s in slices(p):
-                    out += self.cache.values(pieces(s, first))
-        return b"".join(out)
+        total = gathered(ids, start[number], each)
+        stops = np.concatenate([[0], np.cumsum(each)])[np.searchsorted(cut, ends)].tolist()
+        return [total[x:y].tobytes() for x, y in zip(stops, stops[1:])]
+
+    def table(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each piece start and how many they are; what was not known is from now on."""
+        self.group += 1
+        # the group's pieces are fewer than the table's, so they are what is hashed
+        met = pc.index_in(self.known, value_set=distinct).fill_null(-1).to_numpy()
+        again = np.flatnonzero(met >= 0)
+        place = np.full(len(distinct), -1)
+        place[met[again]] = again
+        self.seen[again] = self.group
+        gaps = np.flatnonzero(place < 0)
+        if not len(gaps):
+            return self.ids, starts(self.size)[place], self.size[place]
+        new = distinct.take(pa.array(gaps))
+        more, more_size = self.fill(new)
+        ids, size = np.concatenate([self.ids, more]), np.concatenate([self.size, more_size])
+        start = starts(size)
+        place[gaps] = len(self.known) + np.arange(len(gaps))
+        out = ids, start[place], size[place]
+        self.known, self.size, self.ids = pa.concat_arrays([self.known, new]), size, ids
+        self.seen = np.concatenate([self.seen, np.full(len(new), self.group)])
+        short = pc.binary_length(new).to_numpy() <= KEPT_BYTES
+        if len(size) > self.entries or not short.all():
+            keep = np.concatenate([np.ones(len(size) - len(new), bool), short])
+            if keep.sum() > self.entries:  # three quarters, those seen last, stay
+                last = np.flatnonzero(keep)[np.argsort(self.seen[keep], kind="stable")]
+                keep[last[: len(last) - self.entries * 3 // 4]] = False
+            keep = np.flatnonzero(keep)
+            self.known, self.seen = self.known.take(pa.array(keep)), self.seen[keep]
+            self.ids, self.size = gathered(ids, start[keep], size[keep]), size[keep]
+        return out
+
+
+def _raw(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of strings that begin at the start of their buffers."""
+    _, offsets, data = strings.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(strings) + 1) if len(strings) else np.zeros(1, np.int32)
+    return offsets, np.frombuffer(data, np.uint8, offsets[-1]) if offsets[-1] else np.zeros(0, np.uint8)
 
 
 def encoder(path: str) -> Encoder:

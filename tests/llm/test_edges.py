@@ -146,3 +146,44 @@ def test_library_sees_each_word_once():
         setattr(e, name, x)
     assert e.encode([text]) == want
     assert sum(x.chars for x in told) < 2 * 12 * len(words)
+
+
+def test_encoder_makes_no_objects_of_pieces():
+    """The work in Python does not grow with the words, known or not: they are cut, looked up and put together as arrays."""
+    import cProfile
+    import pstats
+    import random
+
+    import public_tokenizers
+
+    from epiframes.llm.tokenfiles import Encoder
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(5)
+    words = list({"".join(rnd.choices("abcdefgh", k=8)) for _ in range(20_000)})
+    texts = [" ".join(words[i : i + 500]) + ".\n" + ", ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    for some in (texts, texts[::-1]):  # unknown ones, then known ones
+        told = cProfile.Profile()
+        got = told.runcall(e.encode, some)
+        assert pstats.Stats(told).total_calls < len(words) // 4
+        assert got == e.each(some)
+
+
+def test_cuts_between_odd_signs_and_a_full_table():
+    """The library's ids, also where white space is odd or pieces leave the table; long pieces are not kept in it."""
+    import random
+
+    import public_tokenizers
+
+    from epiframes.llm.tokenfiles import KEPT_BYTES, Encoder
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"), entries=200)
+    rnd = random.Random(6)
+    signs = ["a", "the", "Ωμ", "я", "ÿ", "×", "÷", "Ϊ", "7", "'s", ".", "“", "—", "漢字", "한", "́", "<|endoftext|>", "\n", "\r\n", "\t", " ", "  ", "\x1c", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u200b", "\u3000", "\ufeff"]
+    for _ in range(20):
+        texts = ["".join(rnd.choices(rnd.sample(signs, rnd.choice([2, 4, 12])), k=rnd.choice([0, 1, 3, 9, 30]))) for _ in range(300)]
+        assert e.encode(texts) == e.each(texts)
+        assert len(e.known) <= 200
+    long = ["漢" * 5000, "x" * 5000, ""]
+    assert e.encode(long) == e.each(long)
+    assert max(len(p.encode()) for p in e.known.to_pylist()) <= KEPT_BYTES
