@@ -13,6 +13,7 @@ suffix at the anchor plus the few bytes before it.
    their leading bytes.  The splitters compare whole anchors, so suffixes that could match never
    straddle a boundary.  Buckets sort by multikey quicksort (eight bytes a symbol, only ties go on to the
    next) and compare neighbours: first whole families, then the single windows of families that differ.
+   A bucket is held as it was sent, packed, and sorted a bounded part at a time.
    Anchors with many different families in the sample (a common line with different text around it)
    are hot: their single windows, once per block and document, are dealt by a hash of the window's
    bytes, so that equal windows meet and one anchor is spread over all buckets.
@@ -30,6 +31,8 @@ numpy's own sort of each symbol instead of three-way partitions.
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,20 +47,25 @@ from .common import bounded_batches, map_batches, partitions, text_or_empty, wri
 SPAN, K = 50, 24
 SIDE = SPAN - K  # most bytes before an anchor in its window, and after its k-gram
 WIDE = SPAN + SIDE  # bytes of a family: SIDE before the anchor, SPAN from it on
-#: A family as it travels: anchor first, so that sorted rows share their beginnings; and back again.
-TURN = np.concatenate([np.arange(SIDE, WIDE), np.arange(SIDE), [WIDE, WIDE + 1]])
-BACK = np.argsort(TURN)
-BLOCK_BYTES, SEGMENT = 4 << 20, 1 << 20
+#: Symbols of a family: anchor and bytes after it, then the bytes before it and the offsets.
+ANCHOR_FIRST = [*range(SIDE, WIDE - 8, 8), WIDE - 8, *range(0, SIDE - 8, 8), SIDE - 8, WIDE - 6]
+#: Bytes of a block, and those whose anchors are looked for at a time.
+BLOCK_BYTES, SEGMENT = 4 << 20, 1 << 16
 SAMPLE_BLOCKS, SAMPLE_EACH = 500, 200
 #: An anchor is hot from this share of a bucket on, and from so many different families in the sample.
 HOT_PART, HOT_LEAST = 4, 8
 #: Families whose windows are compared at a time.
 STEP = 20_000
+#: Families and windows that a task sorts at a time, and bytes of packed ones that it holds in memory.
+PART, WINDOWS, HELD = 500_000, 600_000, 16 << 20
+#: Bytes of packed families that a block sends at a time.
+BATCH = 2 << 20
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _A = _rng.integers(1, 1 << 63, 5, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
+_PRINT = np.uint64((1 << 40) - 1)
 
 
 def _zip(x: bytes, level: int = 3) -> bytes:
@@ -123,40 +131,58 @@ def _anchors(data: np.ndarray, use: np.ndarray, base: int) -> tuple[np.ndarray,
     new[1:] = (where[1:] != where[:-1]) | (use[1:] != use[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(use)) - 1
-    return best[first] >> np.uint64(24), where[first] + base, use[first] + base, use[last] + base
+    return _even(best[first] >> np.uint64(24)), where[first] + base, use[first] + base, use[last] + base
 
 
-def multikey(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _even(x: np.ndarray) -> np.ndarray:
+    """A permutation of 40-bit numbers: anchors are least hashes, so most are small and would meet in the first buckets."""
+    x = x * _A[1] & _PRINT
+    x ^= x >> np.uint64(20)
+    return x * _A[2] & _PRINT
+
+
+class Symbols:
+    """Rows of bytes as columns of big-endian eight-byte symbols, each made when it is asked for; they may overlap, ``at`` has their places."""
+
+    def __init__(self, rows: np.ndarray, at: list[int] | None = None) -> None:
+        self.rows = np.ascontiguousarray(rows)
+        self.at = at or [*range(0, rows.shape[1] - 8, 8), rows.shape[1] - 8]
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, j: int) -> np.ndarray:
+        return np.ndarray(len(self.rows), ">u8", self.rows, self.at[j], self.rows.strides[:1]).astype(np.uint64)
+
+
+def multikey(cols: list[np.ndarray] | Symbols) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort over rows of symbols: the order, and where a row differs from the one before."""
-    order = np.argsort(cols[0], kind="stable")
-    first = cols[0][order]
+    first = cols[0]
+    order = np.argsort(first, kind="stable")
+    first = first[order]
     new = np.ones(len(order), bool)
     new[1:] = first[1:] != first[:-1]
-    for col in cols[1:]:
+    del first
+    for j in range(1, len(cols)):
         tied = ~new
         tied[:-1] |= ~new[1:]
         at = np.flatnonzero(tied)
         if not len(at):
             break
         group = np.cumsum(new)[at]
-        sub = order[at]
-        inner = np.lexsort((col[sub], group))
-        order[at] = sub[inner]
-        value, group = col[order[at]], group[inner]
+        value = cols[j][order[at]]
+        mixed = np.zeros(int(group[-1]) + 1, bool)  # the others, copies mostly, stay as they are
+        mixed[group[1:][(value[1:] != value[:-1]) & (group[1:] == group[:-1])]] = True
+        mine = np.flatnonzero(mixed[group])
+        at, value, group = at[mine], value[mine], group[mine]
+        inner = np.lexsort((value, group))
+        order[at] = order[at[inner]]
+        value = value[inner]
         split = np.flatnonzero((value[1:] != value[:-1]) & (group[1:] == group[:-1])) + 1
         new[at[split]] = True
     return order, new
 
 
-def _symbols(rows: np.ndarray) -> list[np.ndarray]:
-    """Rows of bytes as columns of big-endian eight-byte symbols."""
-    n, w = rows.shape
-    wide = np.zeros((n, -(-w // 8) * 8), np.uint8)
-    wide[:, :w] = rows
-    cols = wide.view(">u8").astype(np.uint64)
-    return [np.ascontiguousarray(cols[:, j]) for j in range(cols.shape[1])]
-
-
 def _leads(order: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Group number of each row, in row order."""
     out = np.empty(len(order), np.int64)
@@ -167,11 +193,13 @@ def _leads(order: np.ndarray, new: np.ndarray) -> np.ndarray:
 def _family_rows(b: Block, pos: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Bytes around each anchor as far as its windows reach, then the two offsets."""
     padded = np.concatenate([np.zeros(SIDE, np.uint8), b.data, np.zeros(SPAN, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, WIDE)[pos]
+    rows = np.lib.stride_tricks.sliding_window_view(padded, WIDE)
     far, near = pos - first, pos - last
     j = np.arange(WIDE)
     out = np.empty((len(pos), WIDE + 2), np.uint8)
-    out[:, :WIDE] = np.where((j >= (SIDE - far)[:, None]) & (j < (SIDE - near + SPAN)[:, None]), rows, 0)
+    for i in range(0, len(pos), STEP):
+        a = slice(i, i + STEP)
+        out[a, :WIDE] = np.where((j >= (SIDE - far[a])[:, None]) & (j < (SIDE - near[a] + SPAN)[:, None]), rows[pos[a]], 0)
     out[:, WIDE], out[:, WIDE + 1] = far, near
     return out
 
@@ -348,7 +376,7 @@ def removed_runs(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
                 hit = wanted[np.minimum(np.searchsorted(wanted, fp), len(wanted) - 1)] == fp
                 pos, first, last, doc = pos[hit], first[hit], last[hit], doc[hit]
                 rows = _family_rows(b, pos, first, last)
-                order, new = multikey(_symbols(rows))
+                order, new = multikey(Symbols(rows))
                 group = _leads(order, new)
                 least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
                 np.minimum.at(least, group, b.keys[doc])
@@ -358,7 +386,7 @@ def removed_runs(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
                     _runs_row(out, block, first[later], last[later])
                     yield _sent([(_home(block, n), 1, *out[0])])
                 keep = order[~later[order]]
-                lead = np.ascontiguousarray(rows[keep, SIDE : SIDE + K]).view(f"S{K}").ravel()
+                lead = _lead(rows[keep, SIDE : SIDE + K])
                 if len(hot):
                     many = hot[np.minimum(np.searchsorted(hot, lead), len(hot) - 1)] == lead
                     mine = keep[many][np.argsort(lead[many], kind="stable")]
@@ -370,36 +398,32 @@ def removed_runs(blocks: DataFrame, shared: DataFrame, n: int) -> DataFrame:
                 by = np.lexsort((lead, where))
                 keep, where = keep[by], where[by]
                 edge = np.searchsorted(where, np.arange(ranges + 1))
-                sent = []
+                sent, held = [], 0
                 for i in range(ranges):
                     mine = keep[edge[i] : edge[i + 1]]
                     if len(mine):
-                        body = np.int64(len(mine)).tobytes() + rows[mine][:, TURN].tobytes()
-                        body += _planes(first[mine]) + _planes(b.keys[doc[mine]])
-                        sent.append((i, 0, block, _zip(body)))
+                        sent.append((i, 0, block, _packed(_turned(rows[mine], SIDE), first[mine], b.keys[doc[mine]])))
+                        held += len(sent[-1][3])
+                    if held > BATCH:
+                        yield _sent(sent)
+                        sent, held = [], 0
                 if sent:
                     yield _sent(sent)
 
     def match(batches):
-        parts: list[tuple] = []
-        windows: list[tuple] = []
+        families, windows = Held(WIDE + 2), Held(SPAN)
         for batch in batches:
             for kind, block, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 if kind == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([payload.as_py()], pa.binary())], names=["block", "runs"])
-                    continue
-                raw = _unzip(payload.as_buffer())
-                m = int(np.frombuffer(raw, np.int64, 1)[0])
-                if kind == 2:
-                    at = 8 + m * SPAN
-                    windows.append((block, np.frombuffer(raw, np.uint8, m * SPAN, 8).reshape(m, SPAN), _from_planes(raw, m, at), _from_planes(raw, m, at + 8 * m)))
-                    continue
-                at = 8 + m * (WIDE + 2)
-                parts.append((block, np.frombuffer(raw, np.uint8, m * (WIDE + 2), 8).reshape(m, WIDE + 2)[:, BACK], _from_planes(raw, m, at), _from_planes(raw, m, at + 8 * m)))
-        if parts:
+                else:
+                    (windows if kind == 2 else families).add(block, payload.as_buffer())
+        for parts in _family_parts(families):
             yield from _bucket_runs(parts)
-        if windows:
-            yield from _equal_windows(windows)
+        families.file.close()
+        for parts in _window_parts(windows, n):
+            yield from _equal_windows(parts)
+        windows.file.close()
 
     joined = blocks.join(shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "hits")).alias("lists")), "block", "left")
     sent = joined.mapInArrow(send, "bucket int, kind byte, block long, payload binary")
@@ -416,6 +440,83 @@ def _home(block: int, n: int) -> int:
     return (block + (block >> 32)) % n
 
 
+def _turned(rows: np.ndarray, n: int) -> np.ndarray:
+    """The first n bytes of families last: they travel anchor first, so that sorted rows share their beginnings."""
+    return np.concatenate([rows[:, n:WIDE], rows[:, :n], rows[:, WIDE:]], axis=1)
+
+
+def _packed(rows: np.ndarray, place: np.ndarray, key: np.ndarray) -> bytes:
+    return _zip(np.int64(len(rows)).tobytes() + rows.tobytes() + _planes(place) + _planes(key))
+
+
+def _lead(rows: np.ndarray) -> np.ndarray:
+    """The first bytes of rows, as strings of the anchors' length."""
+    return np.ascontiguousarray(rows[:, :K]).view(f"S{K}").ravel()
+
+
+class Held:
+    """Rows of one bucket as they were sent: packed, and beyond ``HELD`` bytes in a file without a name."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.many = width, 0
+        self.names: list[tuple[int, int]] = []
+        self.file = tempfile.SpooledTemporaryFile(HELD, dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+
+    def add(self, block: int, payload: pa.Buffer) -> None:
+        self.many += (zstandard.frame_content_size(payload) - 8) // (self.width + 16)
+        self.names.append((block, self.file.write(payload)))
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Block, rows, first starts and keys."""
+        self.file.seek(0)
+        for block, size in self.names:
+            raw = _unzip(self.file.read(size))
+            m = int(np.frombuffer(raw, np.int64, 1)[0])
+            at = 8 + m * self.width
+            yield block, np.frombuffer(raw, np.uint8, m * self.width, 8).reshape(m, self.width), _from_planes(raw, m, at), _from_planes(raw, m, at + 8 * m)
+
+
+def _family_parts(held: Held) -> Iterator[list[tuple]]:
+    """The families of a bucket in ranges of whole anchors, of about ``PART`` families at most."""
+    times, seen = -(-held.many // PART), 0
+    cuts: list[np.ndarray] = []
+    if times > 1:
+        for _, rows, *_ in held:
+            cuts.append(_lead(rows[-seen % 64 :: 64]))
+            seen += len(rows)
+        some = np.sort(np.concatenate(cuts))
+        cuts = list(np.unique(some[[len(some) * i // times for i in range(1, times)]]))
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True) if held.many else ():
+        parts = []
+        for block, rows, first, key in held:
+            lead = _lead(rows) if cuts else rows
+            mine = slice(0 if low is None else np.searchsorted(lead, low), len(rows) if high is None else np.searchsorted(lead, high))
+            if mine.start < mine.stop:
+                parts.append((block, _turned(rows[mine], SPAN), first[mine], key[mine]))
+        if parts:
+            yield parts
+
+
+def _window_parts(held: Held, n: int) -> Iterator[list[tuple]]:
+    """The windows of a bucket of n, dealt by their hash again to parts of about ``WINDOWS``."""
+    times = -(-held.many // WINDOWS)
+    for i in range(times):
+        parts = []
+        for block, rows, place, key in held:
+            if times > 1:
+                mine = np.flatnonzero(_window_hash(Symbols(rows)) // np.uint64(n) % np.uint64(times) == i)
+                rows, place, key = rows[mine], place[mine], key[mine]
+            if len(rows):
+                parts.append((block, rows, place, key))
+        if parts:
+            yield parts
+
+
+def _returned(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "runs"])
+
+
 def _expanded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The single windows of families: whose, offset before the anchor, and starts after the family's first."""
     far, near = rows[:, WIDE].astype(np.int64), rows[:, WIDE + 1].astype(np.int64)
@@ -425,10 +526,10 @@ def _expanded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return who, far[who] - after, after
 
 
-def _window_hash(cols: list[np.ndarray]) -> np.ndarray:
-    h = np.zeros(len(cols[0]), np.uint64)
-    for col in cols:
-        h = (h ^ col) * _A[0]
+def _window_hash(cols: Symbols) -> np.ndarray:
+    h = np.zeros(len(cols.rows), np.uint64)
+    for j in range(len(cols)):
+        h = (h ^ cols[j]) * _A[0]
         h ^= h >> np.uint64(29)
     return h
 
@@ -437,7 +538,7 @@ def _hot_windows(rows: np.ndarray, first: np.ndarray, key: np.ndarray, block: in
     """Windows of hot families, to buckets by a hash of their bytes; those that an earlier document of the block holds go at once."""
     who, offset, after = _expanded(rows)
     windows = np.lib.stride_tricks.sliding_window_view(rows[:, :WIDE], SPAN, axis=1)[who, SIDE - offset]
-    cols = _symbols(windows)
+    cols = Symbols(windows)
     place, key, where = first[who] + after, key[who], (_window_hash(cols) % np.uint64(n)).astype(np.int64)
     order, new = multikey(cols)
     same = _leads(order, new)
@@ -455,25 +556,27 @@ def _hot_windows(rows: np.ndarray, first: np.ndarray, key: np.ndarray, block: in
     for i in range(n):
         mine = keep[edge[i] : edge[i + 1]]
         if len(mine):
-            sent.append((i, 2, block, _zip(np.int64(len(mine)).tobytes() + windows[mine].tobytes() + _planes(place[mine]) + _planes(key[mine]))))
+            sent.append((i, 2, block, _packed(windows[mine], place[mine], key[mine])))
     yield _sent(sent)
 
 
 def _equal_windows(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Give back the windows of hot anchors that an earlier document holds."""
-    place, key = (np.concatenate([p[j] for p in parts]) for j in (2, 3))
-    order, new = multikey(_symbols(np.concatenate([p[1] for p in parts])))
+    names = [(p[0], len(p[2])) for p in parts]
+    windows, place, key = (np.concatenate([p[j] for p in parts]) for j in (1, 2, 3))
+    parts.clear()
+    order, new = multikey(Symbols(windows))
     same = _leads(order, new)
     low = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, same, key)
     later, at = key > low[same], 0
-    for block, _, mine, _ in parts:
-        gone = mine[later[at : at + len(mine)]]
-        at += len(mine)
+    out: list = []
+    for block, many in names:
+        gone = place[at : at + many][later[at : at + many]]
+        at += many
         if len(gone):
-            rows: list = []
-            _runs_row(rows, block, gone, gone)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([rows[0][1]], pa.binary())], names=["block", "runs"])
+            _runs_row(out, block, gone, gone)
+    yield from _returned(out)
 
 
 def _bucket_runs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -483,9 +586,8 @@ def _bucket_runs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     rows = np.concatenate([p[1] for p in parts])
     first, key = (np.concatenate([p[j] for p in parts]) for j in (2, 3))
     last = first + rows[:, WIDE] - rows[:, WIDE + 1].astype(np.int64)
-    del parts
-    # anchor and bytes after it lead, then the bytes before it and the offsets
-    order, new = multikey(_symbols(np.concatenate([rows[:, SIDE:WIDE], rows[:, :SIDE][:, ::-1], rows[:, WIDE:]], axis=1)))
+    parts.clear()
+    order, new = multikey(Symbols(rows, ANCHOR_FIRST))
     group = _leads(order, new)
     least = np.full(int(group[order[-1]]) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, key)
@@ -517,10 +619,12 @@ def _bucket_runs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     by = np.argsort(own[at], kind="stable")
     at, lo, hi = at[by], lo[by], hi[by]
     edge = np.searchsorted(own[at], np.arange(len(names) + 1))
+    out: list = []
     for i, block in enumerate(names):
         mine = slice(edge[i], edge[i + 1])
         if edge[i] < edge[i + 1]:
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_zip(_planes(lo[mine]) + _planes(hi[mine] - lo[mine]))], pa.binary())], names=["block", "runs"])
+            _runs_row(out, block, lo[mine], hi[mine])
+    yield from _returned(out)
 
 
 def _window_runs(rows, heads, group, least, members, first, part, parts) -> list[tuple]:
@@ -530,14 +634,14 @@ def _window_runs(rows, heads, group, least, members, first, part, parts) -> list
     for i in range(0, len(heads), STEP):
         who, offset, after = _expanded(rows[heads[i : i + STEP]])
         if parts > 1:
-            mine = _window_hash(_symbols(view[heads[i + who], SIDE - offset])) % np.uint64(parts) == part
+            mine = _window_hash(Symbols(view[heads[i + who], SIDE - offset])) % np.uint64(parts) == part
             who, offset, after = who[mine], offset[mine], after[mine]
         for col, x in zip(found, (who + i, offset, after), strict=True):
             col.append(x)
     who, offset, after = (np.concatenate(x) for x in found)
     if not len(who):
         return []
-    order, new = multikey(_symbols(view[heads[who], SIDE - offset]))
+    order, new = multikey(Symbols(view[heads[who], SIDE - offset]))
     same = _leads(order, new)
     owner = least[group[heads]][who]
     low = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
@@ -562,7 +666,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ful
     their block.  An empty table gives none; other columns are left out.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BLOCK_BYTES)
     n = partitions(spark)
     blocks = pack_blocks(docs, key, text)
     shared = shared_anchors(blocks, n)
@@ -577,6 +681,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ful
     return blocks.join(runs, "block", "left").select("payload", "lists").mapInArrow(cut, schema).withColumnRenamed("key", key)
 
 
+def _counted(flags: np.ndarray) -> np.ndarray:
+    """How many flags stand before each place."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
 def _cut(b: Block, lists: list[bytes], full: bool) -> pa.RecordBatch:
     change = np.zeros(len(b.data) + 1, np.int32)
     for x in lists:
@@ -585,16 +696,18 @@ def _cut(b: Block, lists: list[bytes], full: bool) -> pa.RecordBatch:
         first, more = _from_planes(raw, n, 0), _from_planes(raw, n, 8 * n)
         np.add.at(change, first, 1)
         np.add.at(change, first + more + SPAN, -1)
-    gone = np.cumsum(change[:-1]) > 0
+    gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+    del change
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
     begins[b.start[b.start < len(gone)]] |= gone[b.start[b.start < len(gone)]]
-    total, starts = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(begins)])
+    total, starts = _counted(gone), _counted(begins)
     digests, kept = [], []
     for a, e in zip(b.start.tolist(), b.end.tolist(), strict=True):
         left = b.data[a:e][~gone[a:e]].tobytes()
         digests.append(hashlib.sha256(left).hexdigest())
-        kept.append(left)
-    cols = [pa.array(b.keys, mask=b.null), pa.array(b.size), pa.array(total[b.end] - total[b.start]), pa.array(starts[b.end] - starts[b.start]), pa.array(digests)]
+        if full:
+            kept.append(left)
+    cols = [pa.array(b.keys, mask=b.null), pa.array(b.size), pa.array(total[b.end] - total[b.start], pa.int64()), pa.array(starts[b.end] - starts[b.start], pa.int64()), pa.array(digests)]
     names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return pa.RecordBatch.from_arrays(cols + ([pa.array(kept, pa.binary())] if full else []), names=names + ["kept"] * full)

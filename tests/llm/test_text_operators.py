@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +282,68 @@ def test_suffixes_compare_a_bounded_number_of_windows(monkeypatch):
     assert max(most) < 1.2 * 27 * 20_000
 
 
+def _removed(batches):
+    from epiframes.llm import suffixes
+
+    out = []
+    for batch in batches:
+        for block, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            raw = suffixes._unzip(x)
+            first, more = (suffixes._from_planes(raw, len(raw) // 16, at) for at in (0, len(raw) // 2))
+            out += [(block, p) for a, m in zip(first.tolist(), more.tolist(), strict=True) for p in range(a, a + m + 1)]
+    return sorted(set(out))
+
+
+def test_suffixes_deal_anchors_evenly():
+    """Anchors are least hashes: their fingerprints must not crowd into the first buckets."""
+    from epiframes.llm import suffixes
+
+    data = np.random.default_rng(33).integers(97, 123, 1 << 20, dtype=np.uint8)
+    fp = suffixes.Block(np.arange(1), np.zeros(1, bool), np.array([len(data)]), data).families()[0]
+    cut = suffixes._listed(fp, np.zeros(len(fp), np.int64), 64)[2]
+    assert cut[-1] == len(np.unique(fp)) > 50_000
+    assert np.diff(cut).max() < 1.2 * cut[-1] / 64
+
+
+def test_suffixes_sort_a_large_bucket_in_parts(monkeypatch):
+    """A bucket of many families and windows comes back the same from parts, out of a file, and no part is large."""
+    from epiframes.llm import suffixes
+
+    rng = np.random.default_rng(34)
+    base = rng.integers(97, 100, (1500, suffixes.WIDE + 2), dtype=np.uint8)
+    base[:, -2], base[:, -1] = suffixes.SIDE, 0
+    base[:, suffixes.SIDE : suffixes.SIDE + suffixes.K] = base[rng.integers(0, 700, 1500), suffixes.SIDE : suffixes.SIDE + suffixes.K]
+    base[:40, suffixes.SIDE : suffixes.SIDE + suffixes.K] = 0
+    families, windows, want = suffixes.Held(suffixes.WIDE + 2), suffixes.Held(suffixes.SPAN), ([], [])
+    for block in range(25):
+        rows = base[rng.choice(len(base), 400, replace=False)]
+        rows = rows[np.lexsort(rows[:, suffixes.SIDE : suffixes.SIDE + suffixes.K].T[::-1])]
+        first, key = np.arange(400) * 100, rng.integers(0, 60, 400)
+        families.add(block, pa.py_buffer(suffixes._packed(suffixes._turned(rows, suffixes.SIDE), first, key)))
+        windows.add(block, pa.py_buffer(suffixes._packed(rows[:, : suffixes.SPAN], first, key)))
+        for found, offsets in zip(want, (range(suffixes.SIDE + 1), (0,)), strict=True):
+            found += [(row[j : j + suffixes.SPAN].tobytes(), k, (block, a + j)) for row, a, k in zip(rows, first.tolist(), key.tolist(), strict=True) for j in offsets]
+    assert families.many == windows.many == 10_000
+    most, sort = [], suffixes.multikey
+    monkeypatch.setattr(suffixes, "multikey", lambda cols: (most.append(len(cols[0])), sort(cols))[1])
+    for part, held_bytes in ((1_000, 5_000), (suffixes.PART, suffixes.HELD)):
+        monkeypatch.setattr(suffixes, "PART", part)
+        monkeypatch.setattr(suffixes, "WINDOWS", part)
+        monkeypatch.setattr(suffixes, "STEP", 20)
+        for held, parts, run, found in ((families, suffixes._family_parts, suffixes._bucket_runs, want[0]), (windows, lambda h: suffixes._window_parts(h, 4), suffixes._equal_windows, want[1])):
+            monkeypatch.setattr(suffixes, "HELD", held_bytes)
+            again = suffixes.Held(held.width)
+            held.file.seek(0)
+            for block, size in held.names:
+                again.add(block, pa.py_buffer(held.file.read(size)))
+            least: dict = {}
+            for text, k, _ in found:
+                least[text] = min(k, least.get(text, k))
+            most.clear()
+            assert _removed(x for p in parts(again) for x in run(p)) == sorted({at for text, k, at in found if k > least[text]})
+            assert max(most) < 1.6 * part
+
+
 def test_personal_data(spark):
     parts = ["a@b.c", "_x@d.fr", "@", ".", "1.2.3.4", "256.1.1.1", "0001.2.3.4", "4111111111111111", "4111 1111 1111 1111", "-", " ", "+1 (234) 567-8901", "+", "12", "é", 'token = "', "04dbebab91ab85687d33eeaaf9ac699e1188f962", '"', "x", "字", "a.b%c@d-e.co.uk", "+44 20 7946 0958..", "\n", "🙂"]
     texts = [*made(parts, 500, 14, 5), "a" * 20000, "1" * 20000, "1 " * 9000, "a@" * 6000, "1." * 6000, None, ""]
